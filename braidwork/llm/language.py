@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Documents per label, characters per document and sentences per language that the centroids are fitted on.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SENTENCES = 400, 4000, 1200
 #: Hash buckets of n-grams, lengths of n-grams, centroids per language.
-BUCKETS, ORDERS, CENTROIDS = 1 << 14, (1, 2, 3, 4), 4
+BUCKETS, ORDERS, CENTROIDS = 1 << 14, (2, 3), 4
 #: Words that a stretch has at least; sentences longer than LONG words are cut for scoring.
 STRETCH_WORDS, LONG = 12, 40
 #: Cosine, as a share of what the sample's sentences reach, below which a sentence has no language.
@@ -255,7 +255,7 @@ def identify(documents: DataFrame, model: Model, id_col: str = "doc_id", text_co
 
     lang is "und" where all was rejected. status: short (fewer than STRETCH_WORDS words of running text, which may have no
     stretch at all: seg_no 0, lang null), mixed (several languages), missing (the label names none), wrong (another one),
-    unknown (no language found) or right. Null and blank texts are short. Columns not named here are ignored.
+    unknown (no language found) or right. Null and blank texts are short. Rows with a null id are left out. Columns not named here are ignored.
     """
     schema = "doc_id long, seg_no int, lang string, confidence double, start long, end long, words int, segments int, label string, status string"
     names = [x.split()[0] for x in schema.split(", ")]
@@ -290,5 +290,5 @@ def identify(documents: DataFrame, model: Model, id_col: str = "doc_id", text_co
                 out.append((doc_id, no, model.languages[which] if which >= 0 else "und", sure, spans[a][0], spans[b - 1][1], sum(words[a:b]), len(segments), label, status))
         return out
 
-    texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), label_code(F.col(lang_col)).alias("code"))
+    texts = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), label_code(F.col(lang_col)).alias("code"))
     return texts.mapInPandas(read, schema)
