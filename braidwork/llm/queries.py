@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, language, mixing, packing, splitting
+from . import dedup, language, mixing, neighbours, packing, splitting
 
 TRIPLE = ["subject", "relation", "object"]
 
@@ -38,6 +38,14 @@ def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return _pieces(spark, sf)
 
 
+def p4_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf, "entity_embeddings"), k=10)
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.similar_pairs(p4_neighbours(spark, sf), 0.90).select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"))
+
+
 def _containers(spark: SparkSession, sf: str) -> DataFrame:
     capacity = table(spark, sf, "size_limits").where("limit_name = 'container'").first()["max_tokens"]
     return packing.pack_documents(table(spark, sf, "documents"), capacity)
@@ -80,7 +88,7 @@ def p8_stretches(spark: SparkSession, sf: str) -> DataFrame:
     return _languages(spark, sf)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_pieces, p6_found, p6_containers, p7_found, p7_records, p7_shares, p8_found, p8_stretches)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_pieces, p4_found, p4_neighbours, p6_found, p6_containers, p7_found, p7_records, p7_shares, p8_found, p8_stretches)}
 
 
 _TRIPLE_KEYS = r"""
