@@ -194,14 +194,15 @@ def index_neighbours(vectors: DataFrame, k: int, dim: int, probes: int = PROBES)
 
     key = ["cell", "ib", "qb"]
     items = placed.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("ni")).cast("int").alias("ib"), every("nq").alias("qb"), "id", "x", "codes")
-    asks = placed.select("id", "x", F.explode("probe").alias("cell")).join(blocks, "cell").select("cell", "id", "x", F.pmod(F.xxhash64("id", F.lit(1)), F.col("nq")).cast("int").alias("qb"), every("ni").alias("ib"))
+    asks = placed.select(F.col("id").alias("query"), F.col("x").alias("qx"), F.explode("probe").alias("cell")).join(blocks, "cell")
+    asks = asks.select("cell", "query", "qx", F.pmod(F.xxhash64("query", F.lit(1)), F.col("nq")).cast("int").alias("qb"), every("ni").alias("ib"))
 
     def search(held: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(held) or not len(queries):
             return pd.DataFrame({"id": pd.Series(dtype="int64"), "ids": [], "cos": []})
         codes = np.frombuffer(b"".join(held["codes"]), dtype=np.uint8).reshape(len(held), -1)
-        ids, cos = scan(index, held["id"].to_numpy(), _matrix(held["x"]), codes, queries["id"].to_numpy(), _matrix(queries["x"]), k)
-        return pd.DataFrame({"id": queries["id"], "ids": list(ids), "cos": list(cos)})
+        ids, cos = scan(index, held["id"].to_numpy(), _matrix(held["x"]), codes, queries["query"].to_numpy(), _matrix(queries["qx"]), k)
+        return pd.DataFrame({"id": queries["query"], "ids": list(ids), "cos": list(cos)})
 
     hits = items.groupBy(*key).cogroup(asks.groupBy(*key)).applyInPandas(search, "id long, ids array<long>, cos array<float>")
     near = hits.select("id", F.arrays_zip(F.transform("cos", lambda c: -c).alias("neg"), F.col("ids").alias("id_")).alias("z")).groupBy("id").agg(F.slice(F.array_sort(F.filter(F.flatten(F.collect_list("z")), lambda z: z["id_"] >= 0)), 1, k).alias("z"))
