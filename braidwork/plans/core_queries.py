@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import hierarchy as H
 from ..operators import wide as Wd
-
-
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+from .tables import table
 
 
 def _wide(spark: SparkSession, sf: str) -> DataFrame:
