@@ -7,24 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking as C
+from .registry import registry
 from .tables import table
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+QUERIES, SQL, query = registry()
 #: Header line of the forms in the test tables.
 HEADER = r"(?i)[A-Z]+ DWELLING FORM\s+P\s*AG\s*E\s*\d+\s*OF\s*\d+"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _tok(c: str) -> str:
     return rf"CAST(floor(len(list_filter(string_split_regex({c}, '[\s\p{{Z}}]+'), lambda w: w <> '')) / 0.75) AS INT)"
 
