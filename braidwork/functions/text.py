@@ -32,6 +32,11 @@ def contains_any(c: Column, words) -> Column:
     return out
 
 
+def let(c: Column, then) -> Column:
+    """``then`` applied to a column that is worked out once, however often ``then`` names it."""
+    return F.transform(F.array(c), then)[0]
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import contains_any, strip
+from ..functions.text import contains_any, let, strip
 
 #: Relations without meaning.
 BLACKLIST = ("HAS", "IS", "IS_A", "ARE", "HAVE", "CONTAINS", "INCLUDES", "RELATES_TO", "ASSOCIATED_WITH", "CONNECTED_TO", "INVOLVES", "MENTIONS", "REFERS_TO", "LINKS_TO")
@@ -46,9 +46,9 @@ def synonym(relation: Column) -> Column:
 
 def keep_triple(subject: Column, relation: Column, obj: Column, confidence: Column) -> Column:
     """Whether a triple is kept: confidence of 0.5 or more or none, no blank end, a relation of 2 to 60 characters with meaning."""
-    rel = synonym(F.coalesce(relation, F.lit("")))
+    named = let(synonym(F.coalesce(relation, F.lit(""))), lambda rel: ~rel.isin(*BLACKLIST) & F.length(rel).between(2, 60))
     sure = F.coalesce(confidence >= 0.5, F.lit(True))
-    return sure & (F.coalesce(strip(subject), F.lit("")) != "") & (F.coalesce(strip(obj), F.lit("")) != "") & ~rel.isin(*BLACKLIST) & F.length(rel).between(2, 60)
+    return sure & (F.coalesce(strip(subject), F.lit("")) != "") & (F.coalesce(strip(obj), F.lit("")) != "") & named
 
 
 def null_form(value: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..session import bounded_rows
 from .filters import synonym
 
@@ -29,7 +30,7 @@ def pattern_normalize(relation: Column) -> Column:
 def normalize_relation(relation: Column) -> Column:
     """Upper snake case, two steps of synonyms, then the patterns."""
     safe = F.regexp_replace(F.trim(F.upper(relation)), "[^A-Z0-9_]", "_")
-    return pattern_normalize(synonym(synonym(safe)))
+    return let(synonym(let(synonym(safe), lambda r: r)), pattern_normalize)
 
 
 def content_tokens(relation: Column) -> Column:
@@ -73,8 +74,7 @@ def relation_merges(triples: DataFrame, similarity: DataFrame, threshold: float
 def apply_relation_map(triples: DataFrame, mapping: DataFrame) -> DataFrame:
     """``triples`` with the canonical relation where ``mapping`` has one, else by synonyms and patterns."""
     m = F.broadcast(mapping.select("relation", F.col("canonical").alias("_c")))
-    rest = synonym(F.col("relation"))
-    fixed = F.when(rest != F.col("relation"), rest).otherwise(pattern_normalize(F.col("relation")))
+    fixed = let(synonym(F.col("relation")), lambda r: F.when(r != F.col("relation"), r).otherwise(pattern_normalize(F.col("relation"))))
     return triples.join(m, "relation", "left").withColumn("relation", F.coalesce("_c", fixed)).select(*triples.columns)
 
 
