@@ -35,4 +35,42 @@ def p5_descendants(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_wide": p1_wide, "p5_found": p5_found, "p5_descendants": p5_descendants}
-SQL: dict[str, str] = {}
+
+_SPACE = r"[\s\p{Z}\p{Cf}]"
+_N = r"(?:\d+|\d{1,3}(?:,\d{3})+)"
+_MON = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
+
+
+def _month(c: str) -> str:
+    return f"CAST((instr('janfebmaraprmayjunjulaugsepoctnovdec', {c}) + 2) // 3 AS VARCHAR)"
+
+
+_CELLS = rf"""rows_ AS (SELECT upper(regexp_replace(subject, '[^\p{{L}}\p{{N}}]', '', 'g')) AS s, lower(regexp_replace(relation, '[^\p{{L}}\p{{N}}]', '', 'g')) AS k,
+    trim(regexp_replace(object, '{_SPACE}+', ' ', 'g'), ' ') AS o, extracted_at, ingested_at, seq FROM sampled_triples WHERE object IS NOT NULL),
+  typed AS (SELECT regexp_extract(s, '^(POL|CLM|SRV|CHAT|EMAIL)') || '-' || lower(s[-12:]) AS subject, t.relation, value_type, o, lower(o) AS l, extracted_at, ingested_at, seq FROM rows_
+    JOIN relation_types t ON lower(regexp_replace(t.relation, '_', '', 'g')) = k WHERE regexp_matches(s, '^(POL|CLM|SRV|CHAT|EMAIL)[0-9A-F]{{12}}$') AND lower(o) NOT IN (SELECT lower(marker) FROM placeholder_values)),
+  parsed AS (SELECT *, CASE value_type
+    WHEN 'date' THEN CAST(TRY_CAST(CASE WHEN regexp_matches(l, '^\d{{4}}-\d{{1,2}}-\d{{1,2}}([t ]\d{{2}}:\d{{2}}(:\d{{2}}(\.\d+)?)?(z|[+-]\d{{2}}:?\d{{2}})?)?$') THEN regexp_extract(l, '^[\d-]+') WHEN regexp_matches(l, '^\d{{4}}/\d{{1,2}}/\d{{1,2}}$') THEN replace(l, '/', '-')
+      WHEN regexp_matches(l, '^\d{{1,2}}/\d{{1,2}}/\d{{4}}$') THEN regexp_replace(l, '^(\d+)/(\d+)/(\d+)$', '\3-\1-\2') WHEN regexp_matches(l, '^\d{{8}}$') THEN l[1:4] || '-' || l[5:6] || '-' || l[7:8]
+      WHEN regexp_matches(l, '^\d{{1,2}} {_MON}\.?,? \d{{4}}$') THEN l[-4:] || '-' || {_month(f"regexp_extract(l, '{_MON}', 1)")} || '-' || regexp_extract(l, '^(\d+)', 1)
+      WHEN regexp_matches(l, '^{_MON}\.? \d{{1,2}},? \d{{4}}$') THEN l[-4:] || '-' || {_month(f"regexp_extract(l, '{_MON}', 1)")} || '-' || regexp_extract(l, ' (\d{{1,2}}),? ', 1) END AS DATE) AS VARCHAR)
+    WHEN 'decimal' THEN CASE WHEN regexp_matches(regexp_replace(l, '^usd ?| ?usd$', '', 'g'), '^[-+]? ?\$? ?{_N}(?:\.\d+)?$') THEN CAST(CAST(regexp_replace(l, '[^\d.\-]', '', 'g') AS DECIMAL(28,2)) AS VARCHAR) END
+    WHEN 'percent' THEN CASE WHEN regexp_matches(l, '^[-+]?{_N}(?:\.\d+)? ?(?:%|pct|percent)$') THEN CAST(CAST(regexp_extract(l, '^-?[\d.]+') AS DECIMAL(28,2)) AS VARCHAR) END
+    WHEN 'integer' THEN CASE WHEN regexp_matches(l, '^[-+]?{_N}(?:\.0+)?$') THEN CAST(TRY_CAST(regexp_replace(regexp_replace(l, '\.0+$', ''), '[,+]', '', 'g') AS BIGINT) AS VARCHAR) END
+    WHEN 'boolean' THEN CASE WHEN l IN ('true', 'yes', 'y', '1') THEN 'true' WHEN l IN ('false', 'no', 'n', '0') THEN 'false' END
+    ELSE nullif(lower(regexp_replace(o, '[^\p{{L}}\p{{N}}\p{{M}}]', '', 'g')), '') END AS value FROM typed),
+  best AS (SELECT subject, relation, value_type, max({{'e': extracted_at, 'i': ingested_at, 's': seq, 'v': value}}).v AS value FROM parsed WHERE value IS NOT NULL GROUP BY ALL)"""
+
+_UP = r"""own AS (SELECT node_id AS id, run_id, max({'u': updated_at, 'n': name}).n AS name, lower(regexp_replace(max(name), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS k FROM taxonomy_nodes GROUP BY node_id, run_id),
+  pairs AS (SELECT run_id, lower(regexp_replace(name, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS c, lower(regexp_replace(parent, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS p FROM taxonomy_nodes WHERE parent IS NOT NULL
+    UNION SELECT run_id, lower(regexp_replace(child, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lower(regexp_replace(parent, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) FROM class_hierarchy WHERE edge_type = 'SUBCLASS_OF'),
+  up AS (SELECT x.id, min(y.id) AS parent FROM pairs JOIN own x ON x.run_id = pairs.run_id AND x.k = c JOIN own y ON y.run_id = pairs.run_id AND y.k = p GROUP BY x.id),
+  tree AS (SELECT own.id, own.id AS root_id, 0 AS depth, own.name AS path FROM own LEFT JOIN up USING (id) WHERE parent IS NULL
+    UNION ALL SELECT up.id, tree.root_id, tree.depth + 1, tree.path || ' > ' || own.name FROM tree JOIN up ON up.parent = tree.id JOIN own ON own.id = up.id)"""
+
+SQL: dict[str, str] = {
+    "p1_found": f"WITH {_CELLS} SELECT subject, relation, value FROM best WHERE value_type <> 'parts'",
+    "p5_found": f"WITH RECURSIVE {_UP} SELECT own.id AS node_id, coalesce(root_id, -1) AS root_id, coalesce(depth, -1) AS depth, coalesce(path, '') AS path FROM own LEFT JOIN tree USING (id)",
+    "p5_descendants": f"""WITH RECURSIVE {_UP}, below AS (SELECT tree.id AS a, tree.id AS d FROM tree UNION ALL SELECT below.a, up.id FROM below JOIN up ON up.parent = below.d)
+        SELECT own.id AS node_id, CASE WHEN tree.id IS NOT NULL THEN n - 1 END AS n_descendants FROM own LEFT JOIN tree USING (id) LEFT JOIN (SELECT a AS id, count(*) AS n FROM below GROUP BY a) USING (id)""",
+}
