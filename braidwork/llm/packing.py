@@ -24,6 +24,8 @@ GROUP_CONTAINERS, GROUP_ITEMS = 256, 50_000
 NODES, FILLINGS = 4000, 40
 #: A container filled less than this is packed again with those of other groups.
 LOOSE = 0.97
+#: Names of the rounds in which loose containers are pooled, as long as there is more than one group.
+ROUNDS = ("b", "c", "d")
 
 
 def lower_bound(sizes: list[int], capacity: int) -> int:
@@ -195,8 +197,10 @@ def pack_documents(documents: DataFrame, capacity: int, id_col: str = "doc_id",
         dealt = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(tag)), F.lit(groups)))
         return materialize(dealt.groupBy("grp").applyInPandas(_pack_group(capacity, tag), schema), "packed"), groups
 
-    first, groups = packed(items, "a")
-    if groups == 1:
-        return own.unionByName(first)
-    again, _ = packed(first.where(F.col("filled") < LOOSE * capacity).drop("container", "filled"), "b")
-    return own.unionByName(first.where(F.col("filled") >= LOOSE * capacity)).unionByName(again)
+    kept, (left, groups) = own, packed(items, "a")
+    for tag in ROUNDS:
+        if groups == 1:
+            break
+        kept = kept.unionByName(left.where(F.col("filled") >= LOOSE * capacity))
+        left, groups = packed(left.where(F.col("filled") < LOOSE * capacity).drop("container", "filled"), tag)
+    return kept.unionByName(left)
