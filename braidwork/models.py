@@ -59,7 +59,8 @@ class HashedEmbedder:
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim))
         for i, t in enumerate(texts):
-            t = f" {' '.join(re.findall(r'[^\W_]+', (t or '').lower()))} "
+            words = re.findall(r"[^\W_]+", (t or "").lower())
+            t = f" {' '.join(words)} " if words else ""
             for n in (2, 3, 4):
                 for j in range(len(t) - n + 1):
                     h = int.from_bytes(hashlib.blake2b(t[j : j + n].encode(), digest_size=5).digest(), "big")

@@ -63,7 +63,7 @@ def is_placeholder(relation: Column, value: Column) -> Column:
     text, date, amount = contains_any(r, TEXT_WORDS) & n.isin(*NULL_TEXT), contains_any(r, DATE_WORDS) & n.isin(*NULL_DATE), contains_any(r, AMOUNT_WORDS) & n.isin(*NULL_NUMBER)
     bare = F.replace(F.replace(v, F.lit("."), F.lit("")), F.lit("-"), F.lit(""))
     short = F.length(v) <= 3
-    return F.when(v == "", True).when(short & (n.isin(*NULL_TEXT) | (n == "")), True).when(short & (date | amount), True).when(short & bare.rlike(r"^[\p{L}\p{N}]+$"), False).otherwise(text | date | amount)
+    return F.when(v.isNull(), F.lit(None)).when(v == "", True).when(short & (n.isin(*NULL_TEXT) | (n == "")), True).when(short & (date | amount), True).when(short & bare.rlike(r"^[\p{L}\p{N}]+$"), False).otherwise(text | date | amount)
 
 
 def placeholder_reason(triples: DataFrame) -> DataFrame:
@@ -87,16 +87,29 @@ def semantic_reason(relation: Column, obj: Column, object_type: Column, subject_
     return F.when(judged & relation.isin(*AMOUNT_RELATIONS) & ~amount & (F.length(o) > 5), "object_not_numeric").when(judged & (relation == "COVERS") & F.lower(subject_type).contains("organization"), "organization_covers")
 
 
-def grounding(span: Column, text: Column) -> Column:
-    """1.0 if the span is in the text, 0.9 if OVERLAP of its distinct words are, else 0. Case and white space do not count."""
+def flat(c: Column) -> Column:
+    """Lower case with single blanks; empty for null."""
+    return F.lower(F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"[\s\p{Z}]+", " "))
 
-    def flat(c: Column) -> Column:
-        return F.lower(F.regexp_replace(strip(c), r"[\s\p{Z}]+", " "))
 
-    s, t = flat(F.coalesce(span, F.lit(""))), flat(F.coalesce(text, F.lit("")))
-    words = F.array_distinct(F.split(s, " "))
-    share = F.size(F.array_intersect(words, F.split(t, " "))) / F.size(words)
-    return F.when(F.length(strip(F.coalesce(span, F.lit("")))) < 5, 0.0).when(t.contains(s), 1.0).when((F.size(words) >= 2) & (share >= OVERLAP), 0.9).otherwise(0.0)
+def grounding(span: Column, flat_text: Column) -> Column:
+    """1.0 if the span is in the text, 0.9 if OVERLAP of its distinct words are, else 0. Case and white space do not count.
+
+    ``flat_text`` went through :func:`flat`, once for each text and not for each span.
+    """
+
+    def judge(s: Column) -> Column:
+        words = F.array_distinct(F.split(s, " "))
+        share = F.size(F.array_intersect(words, F.split(flat_text, " "))) / F.size(words)
+        return F.when(F.length(s) < 5, 0.0).when(flat_text.contains(s), 1.0).when((F.size(words) >= 2) & (share >= OVERLAP), 0.9).otherwise(0.0)
+
+    return let(flat(span), judge)
+
+
+def ground(triples: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``triples`` with ``grounded`` against the content of their chunk (chunk_id, content); without a chunk they are left out."""
+    texts = chunks.select("chunk_id", flat(F.col("content")).alias("_t"))
+    return triples.join(texts, "chunk_id").withColumn("grounded", grounding(F.col("span"), F.col("_t"))).drop("_t")
 
 
 def first_of_key(triples: DataFrame, order: str = "seq") -> DataFrame:

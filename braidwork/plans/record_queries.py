@@ -201,7 +201,7 @@ def _flat(c: str) -> str:
 def span_grounding(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "sampled_triples").select("seq", "chunk_id", "span")
     c = table(spark, sf, "hybrid_chunks").groupBy("chunk_id").agg(F.min("content").alias("content"))
-    return t.join(c, "chunk_id").select("seq", Fl.grounding(F.col("span"), F.col("content")).alias("grounded"))
+    return Fl.ground(t, c).select("seq", "grounded")
 
 
 @query(f"SELECT min(seq) AS seq FROM sampled_triples GROUP BY lower({_strip('subject')}), relation, lower({_strip('object')})")
