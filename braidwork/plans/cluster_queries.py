@@ -9,6 +9,7 @@ from ..models import RuleClient, SentenceTriples, ask
 from ..operators import clustering as C
 from ..operators import extraction as X
 from ..operators import fileclasses as B
+from ..operators import recursive as Rc
 from ..operators import resolution as Re
 from .graph_queries import edges, triples, unit_vectors
 from .registry import registry
@@ -157,3 +158,21 @@ def model_types(spark: SparkSession, sf: str) -> DataFrame:
     names = table(spark, sf, "entity_embeddings").select("id").distinct()
     prompts = names.select(F.col("id").alias("key"), F.concat(F.lit("Class of this entity:\n"), F.col("id")).alias("prompt"))
     return ask(prompts, RuleClient([("POL-", "Policy"), ("CLM-", "Claim"), ("(?i)exclusion", "Exclusion")], "Other")).select(F.col("key").alias("entity_id"), F.col("answer").alias("class"))
+
+
+@query()
+def fused_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "entity_embeddings").select("id", "entity_type").dropDuplicates(["id"])
+    return Rc.fused_vectors(e, edges(spark, sf)).select("id", F.size("v").alias("n"))
+
+
+@query()
+def recursive_taxonomy(spark: SparkSession, sf: str) -> DataFrame:
+    u = unit_vectors(spark, sf)
+    e = table(spark, sf, "entity_embeddings").select(F.col("vec_id").cast("string").alias("id"), F.when(F.col("degree") > 5, "hub").otherwise("leaf").alias("entity_type"))
+    return Rc.recursive_taxonomy(e, u.select(F.col("id").cast("string").alias("id"), "v"), least_silhouette=0.02)[1]
+
+
+@query("SELECT source, min(CASE WHEN contains(content, 'RECORD:') THEN {'c': chunk_id, 't': substr(regexp_extract(content, 'RECORD:\\s*\\n((?:[^\\n]+\\n?)+)', 1), 1, 300)} END).t AS sample FROM hybrid_chunks WHERE source IS NOT NULL GROUP BY source")
+def data_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
+    return Rc.data_fingerprint(table(spark, sf, "hybrid_chunks")).select("source", "sample")

@@ -408,3 +408,23 @@ def test_components_do_not_depend_on_order(spark, order):
     got = {r["id"]: r["component"] for r in Re.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     for group in ({0, 1, 2}, {3, 4}, {5, 6, 7}):
         assert {got[order[x]] for x in group} == {min(order[x] for x in group)}
+
+
+def test_recursive_taxonomy(spark):
+    from braidwork.operators import recursive as Rc
+
+    rng = np.random.default_rng(0)
+    rows, vecs = [], []
+    for i in range(60):
+        kind = "A" if i < 40 else None if i < 42 else "B"
+        v = np.eye(4)[0 if i < 20 else 1 if i < 40 else 2] + 0.05 * rng.normal(size=4)
+        rows.append((f"e{i}", kind))
+        vecs.append((f"e{i}", (v / np.linalg.norm(v)).tolist()))
+    e = spark.createDataFrame(rows, "id string, entity_type string")
+    members, tree = Rc.recursive_taxonomy(e, spark.createDataFrame(vecs, "id string, v array<double>"))
+    links = {(r["child"], r["parent"]): r["split_method"] for r in tree.collect()}
+    assert links == {("Root/A", "Root"): "entity_type", ("Root/B", "Root"): "entity_type", ("Root/A/1", "Root/A"): "structural", ("Root/A/2", "Root/A"): "structural"}
+    got = {r["id"]: r["class"] for r in members.collect()}
+    assert got["e0"] != got["e30"] and got["e0"].startswith("Root/A/") and got["e40"] == "Root" and got["e50"] == "Root/B"
+    v = Rc.fused_vectors(e, spark.createDataFrame([("e0", "R", "e1", None)], "src string, rel string, dst string, source string")).collect()
+    assert len(v) == 60 and all(abs(np.linalg.norm(r["v"]) - 1) < 1e-9 for r in v)
