@@ -89,7 +89,8 @@ def batch_records(records: DataFrame, title: str, cap: int = MAX_TOKENS, block_r
     """(source, chunk_id, content, section_hierarchy) from formatted records (source, seq, formatted), seq from 0 without gaps.
 
     A batch starts where the next record would exceed the cap. Blocks of ``block_rows`` records are batched apart, so one
-    large source is not one task. Chunk ids count within a source from 1, which leaves 0 to the schema chunk.
+    large source is not one task. Chunk ids rise within a source from 1, which leaves 0 to the schema chunk; between blocks they
+    may skip numbers.
     """
     schema = "source string, block long, no int, first long, last long, content string"
 
@@ -111,7 +112,7 @@ def batch_records(records: DataFrame, title: str, cap: int = MAX_TOKENS, block_r
 
     kept = records.where("formatted is not null and formatted <> ''").select("source", "seq", "formatted").withColumn("block", F.floor(F.col("seq") / block_rows))
     done = kept.groupBy("source", "block").applyInPandas(batch, schema)
-    done = done.withColumn("chunk_id", F.row_number().over(W.partitionBy("source").orderBy("block", "no")))
+    done = done.withColumn("chunk_id", F.col("block") * block_rows + F.col("no") + 1)
     label = F.concat(F.lit("records "), F.col("first").cast("string"), F.lit("–"), F.col("last").cast("string"))
     return done.select("source", "chunk_id", F.concat(F.lit(f"DATASET: {title}\n"), F.col("content")).alias("content"), F.array(F.col("source"), label).alias("section_hierarchy"))
 

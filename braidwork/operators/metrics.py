@@ -13,6 +13,8 @@ from ..session import bounded_rows
 MATCH, DEPTH_MATCH, FULL, HALF = 0.436, 0.3, 0.58, 0.42
 #: Names of classes that the driver may hold for an optimal matching.
 MAX_NAMES = 5000
+#: Slices of one unit of a score.
+SLICES = 5000
 
 
 def duplication(ids: DataFrame) -> DataFrame:
@@ -83,11 +85,14 @@ def alignment(similarity: DataFrame) -> DataFrame:
 def roc_auc(scores: DataFrame) -> DataFrame:
     """One row: positives, negatives, auc of (score, label); ties count half. Null auc without both labels.
 
-    Rows are added up by distinct score, and a running sum over those gives the pairs in order.
+    Rows are added up by distinct score. Running sums go over slices of the score first and then within each slice, so no
+    task orders all scores.
     """
-    by = scores.groupBy("score").agg(F.sum(F.col("label").cast("long")).alias("p"), F.sum(1 - F.col("label").cast("long")).alias("n"))
-    below = F.sum("n").over(W.orderBy("score").rowsBetween(W.unboundedPreceding, -1))
-    won = by.withColumn("below", F.coalesce(below, F.lit(0)))
+    by = scores.groupBy("score").agg(F.sum(F.col("label").cast("long")).alias("p"), F.sum(1 - F.col("label").cast("long")).alias("n")).withColumn("slice", F.floor(F.col("score") * SLICES))
+    slices = by.groupBy("slice").agg(F.sum("n").alias("n"))
+    lower = slices.select("slice", F.coalesce(F.sum("n").over(W.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("lower"))
+    inside = F.coalesce(F.sum("n").over(W.partitionBy("slice").orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    won = by.withColumn("inside", inside).join(lower, "slice").withColumn("below", F.col("inside") + F.col("lower"))
     return won.agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), F.sum(F.col("p") * (F.col("below") + 0.5 * F.col("n"))).alias("u")).select("positives", "negatives", F.try_divide(F.col("u"), F.col("positives").cast("double") * F.col("negatives")).alias("auc"))
 
 

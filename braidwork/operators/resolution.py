@@ -117,18 +117,21 @@ def cosine_pairs(vectors: DataFrame, threshold: float = THRESHOLD, pivots: int =
                 yield pd.DataFrame({"id": rows_["id"], "v": [r.tobytes() for r in m], "home": home.astype(np.int32), "cells": [np.flatnonzero(r).astype(np.int32) for r in reach]})
 
     placed = materialize(own.mapInPandas(place, f"id {id_type}, v binary, home int, cells array<int>"), "pair-cells")
-    size = F.broadcast(placed.sparkSession.createDataFrame([tuple(r) for r in placed.groupBy("home").count().collect()] or [(0, 0)], "home int, n long"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")
-    held = placed.join(size, "home").select(F.col("home").alias("cell"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), "id", "v")
-    asks = placed.select(F.col("id").alias("q"), F.col("v").alias("w"), F.col("home").alias("from"), F.explode("cells").alias("home")).where(F.col("home") <= F.col("from")).join(size, "home")
-    asks = asks.select(F.col("home").alias("cell"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "q", "w", "from")
+    visits = F.explode("cells").alias("home")
+    counts = placed.groupBy("home").count().join(placed.select(visits, F.col("home").alias("from")).where("home <= from").groupBy("home").agg(F.count(F.lit(1)).alias("q")), "home")
+    # One row per pivot. Cells and their visitors are compared in blocks, so no task holds all of a large cell.
+    size = F.broadcast(placed.sparkSession.createDataFrame([tuple(r) for r in counts.collect()] or [(0, 0, 0)], "home int, n long, q long"))
+    parts, turns = F.ceil(F.col("n") / block).cast("int"), F.ceil(F.col("q") / (2 * block)).cast("int")
+    held = placed.join(size, "home").select(F.col("home").alias("cell"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), turns - 1)).alias("turn"), "id", "v")
+    asks = placed.select(F.col("id").alias("q_id"), F.col("v").alias("w"), F.col("home").alias("from"), visits).where(F.col("home") <= F.col("from")).join(size, "home")
+    asks = asks.select(F.col("home").alias("cell"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.pmod(F.xxhash64("q_id"), turns).cast("int").alias("turn"), "q_id", "w", "from")
 
     def compare(items: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(items) and len(queries):
             cell = items["cell"].iloc[0]
             m = np.frombuffer(b"".join(items["v"]), dtype=np.float64).reshape(len(items), -1)
-            ids, q, home = items["id"].to_numpy(), queries["q"].to_numpy(), queries["from"].to_numpy()
+            ids, q, home = items["id"].to_numpy(), queries["q_id"].to_numpy(), queries["from"].to_numpy()
             for i in range(0, len(queries), 1024):
                 w = np.frombuffer(b"".join(queries["w"].iloc[i : i + 1024]), dtype=np.float64).reshape(-1, m.shape[1])
                 s = w @ m.T
@@ -138,5 +141,5 @@ def cosine_pairs(vectors: DataFrame, threshold: float = THRESHOLD, pivots: int =
                         out.append((min(a, b), max(a, b), s[j, k]))
         return pd.DataFrame(out, columns=["a", "b", "sim"])
 
-    near = held.groupBy("cell", "part").cogroup(asks.groupBy("cell", "part")).applyInPandas(compare, f"a {id_type}, b {id_type}, sim double")
+    near = held.groupBy("cell", "part", "turn").cogroup(asks.groupBy("cell", "part", "turn")).applyInPandas(compare, f"a {id_type}, b {id_type}, sim double")
     return near.unionByName(copies)
