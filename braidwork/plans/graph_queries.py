@@ -277,7 +277,7 @@ def degrees(spark: SparkSession, sf: str) -> DataFrame:
     return G.degrees(entities(spark, sf), edges(spark, sf))
 
 
-@query(f"WITH {ENDS}, {EDGES}, {ENTITIES}, {_DEG} SELECT count(*) AS nodes, sum(out_degree) AS edges, avg(degree) AS mean_degree, median(degree) AS median_degree, max(degree) AS max_degree, count(*) FILTER (degree = 0) AS isolated, sum(out_degree) * 1.0 / (CAST(count(*) AS DOUBLE) * (count(*) - 1)) AS density FROM deg")
+@query(f"WITH {ENDS}, {EDGES}, {ENTITIES}, {_DEG} SELECT count(*) AS nodes, CAST(sum(out_degree) AS BIGINT) AS edges, avg(degree) AS mean_degree, median(degree) AS median_degree, max(degree) AS max_degree, count(*) FILTER (degree = 0) AS isolated, sum(out_degree) * 1.0 / (CAST(count(*) AS DOUBLE) * (count(*) - 1)) AS density FROM deg")
 def graph_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return G.statistics(entities(spark, sf), edges(spark, sf))
 

@@ -18,7 +18,7 @@ def _ids(spark: SparkSession, sf: str) -> DataFrame:
     return entities(spark, sf).select("id")
 
 
-@query(f"WITH {BASE}, g AS (SELECT count(*) AS n FROM ents GROUP BY lower(trim(id, ' ')) HAVING count(*) > 1) SELECT count(*) AS duplicate_groups, coalesce(sum(n), 0) AS total_duplicated_nodes, coalesce(sum(n - 1), 0) AS excess_nodes FROM g")
+@query(f"WITH {BASE}, g AS (SELECT count(*) AS n FROM ents GROUP BY lower(trim(id, ' ')) HAVING count(*) > 1) SELECT count(*) AS duplicate_groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_duplicated_nodes, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS excess_nodes FROM g")
 def duplication(spark: SparkSession, sf: str) -> DataFrame:
     return M.duplication(_ids(spark, sf))
 
@@ -89,7 +89,7 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
 _LABEL = r"sc AS (SELECT induced, reference, round(sim, 9) AS sim, CAST(lower(regexp_extract(induced, '([A-Z][a-z]+)\d*$', 1)) = lower(regexp_extract(reference, '([A-Z][a-z]+)\d*$', 1)) AS INT) AS label FROM sim)"
 
 
-@query(f"""WITH {_NAMES}, {_LABEL} SELECT sum(label) AS positives, sum(1 - label) AS negatives, (SELECT sum(CASE WHEN a.sim > b.sim THEN 1.0 WHEN a.sim = b.sim THEN 0.5 ELSE 0 END) FROM sc a, sc b WHERE a.label = 1 AND b.label = 0) / (sum(label) * sum(1 - label)) AS auc FROM sc""")
+@query(f"""WITH {_NAMES}, {_LABEL} SELECT CAST(sum(label) AS BIGINT) AS positives, CAST(sum(1 - label) AS BIGINT) AS negatives, (SELECT sum(CASE WHEN a.sim > b.sim THEN 1.0 WHEN a.sim = b.sim THEN 0.5 ELSE 0 END) FROM sc a, sc b WHERE a.label = 1 AND b.label = 0) / (sum(label) * sum(1 - label)) AS auc FROM sc""")
 def class_auc(spark: SparkSession, sf: str) -> DataFrame:
     return M.roc_auc(_scored(spark, sf).select(F.col("sim").alias("score"), "label"))
 
@@ -126,7 +126,7 @@ def continuous_f1(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([M.continuous_f1(_run_edges(spark, sf, a), _run_edges(spark, sf, b), _similarity(spark, sf))], "precision double, recall double, f1 double")
 
 
-@query(f"""WITH {BASE}, z AS (SELECT class, count(*) AS n FROM asg GROUP BY class), t AS (SELECT sum(n) AS entities, sum(n) FILTER (class <> 'Other') AS labeled, count(*) FILTER (class <> 'Other') AS n_classes FROM z)
+@query(f"""WITH {BASE}, z AS (SELECT class, count(*) AS n FROM asg GROUP BY class), t AS (SELECT CAST(sum(n) AS BIGINT) AS entities, CAST(sum(n) FILTER (class <> 'Other') AS BIGINT) AS labeled, count(*) FILTER (class <> 'Other') AS n_classes FROM z)
   SELECT entities, labeled, labeled * 1.0 / entities AS coverage, n_classes, labeled * 1.0 / n_classes AS avg_class_size, (SELECT -sum(n * 1.0 / labeled * log2(n * 1.0 / labeled)) FROM z WHERE class <> 'Other') / log2(n_classes) AS entropy FROM t""")
 def class_entropy(spark: SparkSession, sf: str) -> DataFrame:
     return M.balance(assignments(spark, sf))

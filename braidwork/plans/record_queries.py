@@ -197,7 +197,7 @@ def _flat(c: str) -> str:
 @query(f"""WITH t AS (SELECT seq, chunk_id, coalesce(span, '') AS span FROM sampled_triples), c AS (SELECT chunk_id, min(content) AS content FROM hybrid_chunks GROUP BY chunk_id),
   j AS (SELECT seq, {_strip('span')} AS raw, {_flat('span')} AS s, coalesce({_flat('content')}, '') AS t FROM t JOIN c USING (chunk_id)),
   w AS (SELECT *, list_distinct(string_split(s, ' ')) AS ws FROM j)
-  SELECT seq, CASE WHEN length(raw) < 5 THEN 0.0 WHEN contains(t, s) THEN 1.0 WHEN len(ws) >= 2 AND len(list_intersect(ws, list_distinct(string_split(t, ' ')))) * 1.0 / len(ws) >= 0.8 THEN 0.9 ELSE 0.0 END AS grounded FROM w""")
+  SELECT seq, CAST(CASE WHEN length(raw) < 5 THEN 0.0 WHEN contains(t, s) THEN 1.0 WHEN len(ws) >= 2 AND len(list_intersect(ws, list_distinct(string_split(t, ' ')))) * 1.0 / len(ws) >= 0.8 THEN 0.9 ELSE 0.0 END AS DOUBLE) AS grounded FROM w""")
 def span_grounding(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "sampled_triples").select("seq", "chunk_id", "span")
     c = table(spark, sf, "hybrid_chunks").groupBy("chunk_id").agg(F.min("content").alias("content"))
