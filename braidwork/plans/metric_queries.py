@@ -133,7 +133,7 @@ def class_entropy(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {_VEC}, u AS (SELECT entity_type AS class, id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM vec WHERE entity_type IS NOT NULL)
-  SELECT a.class, count(DISTINCT a.id) AS n, round(avg(list_dot_product(a.v, b.v)), 6) AS coherence FROM u a JOIN u b ON a.class = b.class AND a.id <> b.id GROUP BY a.class""")
+  SELECT a.class, count(DISTINCT a.id) AS n, coalesce(round(avg(list_dot_product(a.v, b.v)), 6), 1.0) AS coherence FROM u a LEFT JOIN u b ON a.class = b.class AND a.id <> b.id GROUP BY a.class""")
 def class_coherence(spark: SparkSession, sf: str) -> DataFrame:
     rows = unit_vectors(spark, sf).where("entity_type is not null").select(F.col("entity_type").alias("class"), "v")
     return M.coherence(rows).withColumn("coherence", F.round("coherence", 6))
