@@ -13,7 +13,7 @@ PAGE_HEADER = r"(?i)NFIP GENERAL PROPERTY FORM SFIP\s+P\s*AG\s*E\s*\d+\s*OF\s*\d
 MAJOR = r"^(I{1,3}|IV|V?I{0,3}|IX|X{1,2})\.\s+[A-Z]{2,}"
 MINOR = r"^([A-Z])\.\s+[A-Z][a-z]"
 #: Fixed value: a year, or a word and a year.
-MARKER = r"\b(\d{4}|[\p{L}\p{N}_]+ \d{4})\b"
+MARKER = r"(?<![\p{L}\p{N}_])(\p{Nd}{4}|[\p{L}\p{N}_]+ \p{Nd}{4})(?![\p{L}\p{N}_])"
 #: Groups of fields by what their names contain, in order of precedence.
 FIELD_GROUPS = {
     "Identity": ("id", "name", "insured", "client", "claimant", "master", "polno", "policy_no", "policy_number", "claim_number", "subscriber"),

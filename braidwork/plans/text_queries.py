@@ -43,6 +43,12 @@ def temporal_markers(spark: SparkSession, sf: str) -> DataFrame:
     return plain.select("chunk_id", F.array_join(F.array_sort(T.temporal_markers(F.col("content"))), "|").alias("markers"))
 
 
+@query()
+def temporal_markers_all(spark: SparkSession, sf: str) -> DataFrame:
+    # Every chunk; DuckDB's word borders and digits are ASCII, so no SQL says this for all texts.
+    return table(spark, sf, "hybrid_chunks").select("chunk_id", F.array_join(F.array_sort(T.temporal_markers(F.col("content"))), "|").alias("markers"))
+
+
 _LEVEL = rf"""CASE WHEN regexp_matches({_strip('line')}, '^(I{{1,3}}|IV|V?I{{0,3}}|IX|X{{1,2}})\.\s+[A-Z]{{2,}}') THEN 'major'
     WHEN regexp_matches({_strip('line')}, '^([A-Z])\.\s+[A-Z][a-z]') THEN 'sub' END"""
 
