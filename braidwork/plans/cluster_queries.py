@@ -148,7 +148,7 @@ def numeric_triples(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def model_triples(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = table(spark, sf, "hybrid_chunks").where("chunk_type = 'text'").select("chunk_id", "source", "content")
+    chunks = table(spark, sf, "hybrid_chunks").where("coalesce(chunk_type, 'text') = 'text'").select("chunk_id", "source", "content")
     return X.extract(chunks, SentenceTriples(), ["COVERS", "EXCLUDES", "REQUIRES"])
 
 

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from braidwork.functions import text as T
-from braidwork.plans import text_queries
+from braidwork.models import RuleClient, SentenceTriples
+from braidwork.operators import extraction as X
+from braidwork.plans import cluster_queries, text_queries
 from tests.compare import SMALL
 
 tables = pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables are missing")
@@ -25,3 +27,38 @@ def test_temporal_markers_of_every_chunk(spark):
     rows = spark.read.parquet(f"{SMALL}/hybrid_chunks.parquet").select("chunk_id", "content").collect()
     want = sorted((r["chunk_id"] or "", "" if r["content"] is None else "|".join(sorted(set(MARKER.findall(r["content"]))))) for r in rows)
     assert sorted((r["chunk_id"] or "", r["markers"] or "") for r in text_queries.temporal_markers_all(spark, SMALL).collect()) == want
+
+
+def test_parts_of_a_text():
+    text = "A b c. " * 40 + "\n\n" + "D e f\n" * 30 + "x" * 250
+    for size in (7, 20, 100):
+        parts = X.parts_of(text, size)
+        assert "".join(parts) == text and max(map(len, parts)) <= size
+    assert X.parts_of("One is. Two is. Three is.", 20) == ["One is. Two is. ", "Three is."] and X.parts_of("") == [""]
+
+
+def test_triples_beyond_the_first_prompt(spark):
+    text = "".join(f"The Form{i} covers item{i}.\n" for i in range(400))
+    rows = [("1", "s", text), ("2", "s", None)]
+    got = X.extract(spark.createDataFrame(rows, "chunk_id string, source string, content string"), SentenceTriples(), []).collect()
+    assert len(text) > 3 * X.PROMPT_CHARS and len({r["subject"] for r in got}) == 400 and {r["chunk_id"] for r in got} == {"1"}
+
+
+def test_facts_beyond_the_first_prompt(spark):
+    text = "".join(f"The Form{i} covers item{i}.\n" for i in range(200))
+    facts = RuleClient([("List the single facts", lambda p: p.split("TEXT:")[1])])
+
+    class Client:
+        def answer(self, prompt):
+            return (facts if prompt.startswith("List") else SentenceTriples()).answer(prompt)
+
+    chunks = spark.createDataFrame([("a/1", "s", text)], "chunk_id string, source string, content string")
+    none = spark.createDataFrame([], "chunk_id string")
+    got = X.decompose(chunks, none, Client(), []).collect()
+    assert len(got) == 200 and {r["chunk_id"] for r in got} == {"a/1"}
+
+
+def test_chunks_without_type_are_asked(spark, tmp_path):
+    rows = [("1", "s", "The Form covers Basement.", None), ("2", "s", "The Deed covers Garage.", "text"), ("3", "s", "The Bond covers Roof.", "table")]
+    spark.createDataFrame(rows, "chunk_id string, source string, content string, chunk_type string").write.parquet(f"{tmp_path}/hybrid_chunks.parquet")
+    assert {r["chunk_id"] for r in cluster_queries.model_triples(spark, str(tmp_path)).collect()} == {"1", "2"}
