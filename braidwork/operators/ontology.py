@@ -6,10 +6,12 @@ src, rel, dst. Vocabularies of classes and relations are small; entities and edg
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.text import contains_any
@@ -23,7 +25,7 @@ DEFINING, INCLUSION, EXCLUSIVE = 0.3, 0.80, 0.5
 #: Words of relations that point to places and to money.
 PLACES = ("state", "city", "zip", "address", "county", "location", "community")
 MONEY = ("amount", "cost", "payment", "premium", "fee", "price", "value", "coverage")
-#: Classes that are handled on the driver.
+#: Class edges that the driver handles where they are not grouped by keys.
 MAX_CLASSES = 10_000
 
 
@@ -146,18 +148,17 @@ def subsumption_candidates(defining: DataFrame) -> DataFrame:
     return both.where((inclusion >= INCLUSION) & (1 - inclusion <= EXCLUSIVE)).select("child", "parent", inclusion.alias("inclusion"))
 
 
-def consensus(votes: DataFrame) -> DataFrame:
-    """(child, parent, trusted, weak) of edges (child, parent, source, trusted) with a trusted source or two weak ones."""
-    per = votes.where("child <> parent").groupBy("child", "parent").agg(F.max(F.coalesce("trusted", F.lit(False))).alias("trusted"), F.count_distinct(F.when(~F.coalesce("trusted", F.lit(False)), F.coalesce("source", F.lit("none")))).alias("weak"))
+def consensus(votes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(child, parent, trusted, weak) of edges (child, parent, source, trusted) with a trusted source or two weak ones.
+
+    With ``keys``, such as run_id, each of their groups votes apart, and the keys come first in the result.
+    """
+    per = votes.where("child <> parent").groupBy(*keys, "child", "parent").agg(F.max(F.coalesce("trusted", F.lit(False))).alias("trusted"), F.count_distinct(F.when(~F.coalesce("trusted", F.lit(False)), F.coalesce("source", F.lit("none")))).alias("weak"))
     return per.where("trusted or weak >= 2")
 
 
-def enforce_tree(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(child, parent) of a forest: edges in order of trust, votes and names; no cycle, no second parent, depth in bounds.
-
-    Edges are between classes, a vocabulary whose size is checked; the order decides, so they are taken one by one.
-    """
-    rows = bounded_rows(edges.select("child", "parent", "trusted", "weak"), MAX_CLASSES, "class edges")
+def tree_of(rows: Iterable[tuple[bool, int, str, str]], max_depth: int = MAX_DEPTH) -> list[tuple[str, str]]:
+    """(child, parent) of a forest from (trusted, weak, child, parent), in order of trust, votes and names."""
     parent: dict[str, str] = {}
 
     def above(x: str) -> list[str]:
@@ -168,29 +169,60 @@ def enforce_tree(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
         return out
 
     kept = []
-    for r in sorted(rows, key=lambda r: (not r["trusted"], -r["weak"], r["child"], r["parent"])):
-        up = [r["parent"], *above(r["parent"])]
-        if r["child"] not in up and len(up) <= max_depth and r["child"] not in parent:
-            parent[r["child"]] = r["parent"]
-            kept.append((r["child"], r["parent"]))
-    return edges.sparkSession.createDataFrame(kept, "child string, parent string")
+    for _, _, child, par in sorted((not t, -w, c, p) for t, w, c, p in rows):
+        up = [par, *above(par)]
+        if child not in up and len(up) <= max_depth and child not in parent:
+            parent[child] = par
+            kept.append((child, par))
+    return kept
 
 
-def acyclic_first(edges: DataFrame) -> DataFrame:
-    """(child, parent) of edges (seq, child, parent) kept in order of seq unless the parent already reaches the child."""
+def acyclic_of(rows: Iterable[tuple[int, str, str]]) -> list[tuple[str, str]]:
+    """(child, parent) from (seq, child, parent) kept in order of seq unless the parent already reaches the child."""
     up: dict[str, set[str]] = {}
     kept = []
-    for r in sorted(bounded_rows(edges.select("seq", "child", "parent"), MAX_CLASSES, "class edges")):
-        seen, stack = set(), [r["parent"]]
+    for _, child, par in sorted(rows):
+        seen, stack = set(), [par]
         while stack:
             x = stack.pop()
             if x not in seen:
                 seen.add(x)
                 stack.extend(up.get(x, ()))
-        if r["child"] not in seen:
-            up.setdefault(r["child"], set()).add(r["parent"])
-            kept.append((r["child"], r["parent"]))
-    return edges.sparkSession.createDataFrame(kept, "child string, parent string")
+        if child not in seen:
+            up.setdefault(child, set()).add(par)
+            kept.append((child, par))
+    return kept
+
+
+def _in_order(edges: DataFrame, columns: list[str], keys: tuple[str, ...], keep: Callable[[list[tuple]], list[tuple[str, str]]]) -> DataFrame:
+    """``keep`` over all edges on the driver, whose number is checked, or over those of each group of ``keys`` in one task."""
+    if not keys:
+        kept = keep([tuple(r) for r in bounded_rows(edges.select(*columns), MAX_CLASSES, "class edges")])
+        return edges.sparkSession.createDataFrame(kept, "child string, parent string")
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        kept = keep(list(rows[columns].itertuples(index=False, name=None)))
+        return pd.DataFrame([(*key, *e) for e in kept], columns=[*keys, "child", "parent"])
+
+    schema = T.StructType([*(edges.schema[k] for k in keys), T.StructField("child", T.StringType()), T.StructField("parent", T.StringType())])
+    return edges.select(*keys, *columns).where(F.col("child").isNotNull() & F.col("parent").isNotNull()).groupBy(*keys).applyInPandas(run, schema)
+
+
+def enforce_tree(edges: DataFrame, max_depth: int = MAX_DEPTH, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(child, parent) of a forest: edges in order of trust, votes and names; no cycle, no second parent, depth in bounds.
+
+    Edges are between classes, a vocabulary whose size is checked; the order decides, so they are taken one by one. With
+    ``keys``, such as run_id, each of their groups has a forest of its own, made in one task.
+    """
+    return _in_order(edges, ["trusted", "weak", "child", "parent"], keys, lambda rows: tree_of(rows, max_depth))
+
+
+def acyclic_first(edges: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(child, parent) of edges (seq, child, parent) kept in order of seq unless the parent already reaches the child.
+
+    With ``keys``, such as run_id, each of their groups is judged apart, in one task.
+    """
+    return _in_order(edges, ["seq", "child", "parent"], keys, acyclic_of)
 
 
 def interclass_edges(edges: DataFrame, assignments: DataFrame, least: int = 3, share: float = 0.05) -> DataFrame:

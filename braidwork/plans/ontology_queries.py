@@ -114,7 +114,7 @@ _CONS = "cons AS (SELECT child, parent, bool_or(coalesce(trusted, false)) AS tru
 
 
 def _votes(spark: SparkSession, sf: str) -> DataFrame:
-    # A hierarchy of classes is one run's.
+    # One run, as the SQL has it; consensus_edges_all covers every run.
     rows = table(spark, sf, "class_hierarchy")
     first = F.broadcast(rows.agg(F.min("run_id").alias("run_id")))
     return rows.join(first, "run_id").select(F.lower(F.trim("child")).alias("child"), F.lower(F.trim("parent")).alias("parent"), "source", "trusted")
@@ -125,16 +125,23 @@ def consensus_edges(spark: SparkSession, sf: str) -> DataFrame:
     return O.consensus(_votes(spark, sf))
 
 
+def _run_votes(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "class_hierarchy").select("run_id", F.col("edge_id").alias("seq"), F.lower(F.trim("child")).alias("child"), F.lower(F.trim("parent")).alias("parent"), "source", "trusted")
+
+
+@query()
+def consensus_edges_all(spark: SparkSession, sf: str) -> DataFrame:
+    return O.consensus(_run_votes(spark, sf), ("run_id",))
+
+
 @query()
 def hierarchy_tree(spark: SparkSession, sf: str) -> DataFrame:
-    return O.enforce_tree(O.consensus(_votes(spark, sf)))
+    return O.enforce_tree(consensus_edges_all(spark, sf), keys=("run_id",))
 
 
 @query()
 def acyclic_edges(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "class_hierarchy")
-    first = F.broadcast(rows.agg(F.min("run_id").alias("run_id")))
-    return O.acyclic_first(rows.join(first, "run_id").select(F.col("edge_id").alias("seq"), F.lower(F.trim("child")).alias("child"), F.lower(F.trim("parent")).alias("parent")))
+    return O.acyclic_first(_run_votes(spark, sf), ("run_id",))
 
 
 @query(f"""WITH {BASE}, sz AS (SELECT class, count(*) AS n FROM asg WHERE class <> 'Other' GROUP BY class), pr AS (SELECT a.class AS cs, b.class AS cd, count(*) AS k FROM edges JOIN asg a ON a.entity_id = src JOIN asg b ON b.entity_id = dst WHERE a.class <> 'Other' AND b.class <> 'Other' AND a.class <> b.class GROUP BY ALL),

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from braidwork.functions import text as T
 from braidwork.models import RuleClient, SentenceTriples
 from braidwork.operators import extraction as X
-from braidwork.plans import cluster_queries, text_queries
+from braidwork.operators import ontology as O
+from braidwork.plans import cluster_queries, ontology_queries, text_queries
 from tests.compare import SMALL
 
 tables = pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables are missing")
@@ -62,3 +63,33 @@ def test_chunks_without_type_are_asked(spark, tmp_path):
     rows = [("1", "s", "The Form covers Basement.", None), ("2", "s", "The Deed covers Garage.", "text"), ("3", "s", "The Bond covers Roof.", "table")]
     spark.createDataFrame(rows, "chunk_id string, source string, content string, chunk_type string").write.parquet(f"{tmp_path}/hybrid_chunks.parquet")
     assert {r["chunk_id"] for r in cluster_queries.model_triples(spark, str(tmp_path)).collect()} == {"1", "2"}
+
+
+def test_votes_of_each_run(spark):
+    votes = [(r, i, c, p, s, t) for r in ("r1", "r2", None) for i, (c, p, s, t) in enumerate([("a", "b", "s", True), ("b", "a", "s", True), ("c", "b", "w1", False)])]
+    votes += [("r2", 9, "c", "b", "w2", False), ("r2", 10, None, "b", "s", True)]
+    df = spark.createDataFrame(votes, "run_id string, seq long, child string, parent string, source string, trusted boolean")
+    kept = O.consensus(df, ("run_id",))
+    assert {(r["run_id"], r["child"]) for r in kept.collect()} == {(x, c) for x in ("r1", "r2", None) for c in "ab"} | {("r2", "c")}
+    tree = {tuple(r) for r in O.enforce_tree(kept, keys=("run_id",)).collect()}
+    assert tree == {("r1", "a", "b"), ("r2", "a", "b"), (None, "a", "b"), ("r2", "c", "b")}
+    first = {tuple(r) for r in O.acyclic_first(df, ("run_id",)).collect()}
+    assert first == {(x, c, "b") for x in ("r1", "r2", None) for c in "ac"}
+
+
+@tables
+@pytest.mark.parametrize("name", ["consensus_edges_all", "hierarchy_tree", "acyclic_edges"])
+def test_every_run_as_if_alone(spark, name):
+    rows = spark.read.parquet(f"{SMALL}/class_hierarchy.parquet")
+    votes = rows.select("run_id", F.col("edge_id").alias("seq"), F.lower(F.trim("child")).alias("child"), F.lower(F.trim("parent")).alias("parent"), "source", "trusted")
+    alone = {"consensus_edges_all": O.consensus, "hierarchy_tree": lambda v: O.enforce_tree(O.consensus(v)), "acyclic_edges": lambda v: O.acyclic_first(v.where("child is not null and parent is not null"))}[name]
+    runs = [r[0] for r in rows.select("run_id").distinct().collect()]
+    want = {(run, r["child"], r["parent"]) for run in runs for r in alone(votes.where(F.col("run_id") == run)).collect()}
+    got = [(r["run_id"], r["child"], r["parent"]) for r in ontology_queries.QUERIES[name](spark, SMALL).collect()]
+    assert len(runs) > 1 and set(got) == want
+
+
+def test_more_edges_than_the_driver_takes(spark):
+    n = O.MAX_CLASSES + 1
+    edges = spark.range(n).selectExpr("concat('r', id % 7) as run_id", "id as seq", "concat('c', id) as child", "'top' as parent", "true as trusted", "0L as weak")
+    assert O.acyclic_first(edges, ("run_id",)).count() == n and O.enforce_tree(edges, keys=("run_id",)).count() == n
