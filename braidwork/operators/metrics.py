@@ -128,6 +128,14 @@ def coherence(vectors: DataFrame) -> DataFrame:
     return per.select("class", "n", F.when(F.col("n") > 1, (F.col("ss") - F.col("qq")) / (F.col("n") * (F.col("n") - 1))).otherwise(1.0).alias("coherence"))
 
 
+def centroids(vectors: DataFrame) -> DataFrame:
+    """(class_of, v): mean direction of all members (class_of, v of length one); a class whose vectors cancel out has none."""
+    sums = vectors.select("class_of", F.posexplode("v").alias("k", "x")).groupBy("class_of", "k").agg(F.sum("x").alias("s"))
+    per = sums.groupBy("class_of").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda e: e["s"]).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    return per.withColumn("norm", norm).where("norm > 0").select("class_of", F.transform("v", lambda x: x / F.col("norm")).alias("v"))
+
+
 def member_assignment(similarity: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
     """One row: full, half, none, score: the best similarity of each (entity, class_of, sim) counts 1, 0.5 or 0."""
     best = similarity.groupBy("entity").agg(F.max("sim").alias("sim"))

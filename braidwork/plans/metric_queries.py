@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
+from ..session import bounded_broadcast
 from .graph_queries import _VEC, assignments, edges, entities, triples, unit_vectors
 from .ontology_queries import BASE
 from .registry import registry
@@ -149,6 +150,18 @@ def entity_assignment(spark: SparkSession, sf: str) -> DataFrame:
     return M.member_assignment(u.where("id > 20").join(classes, F.col("id") > F.col("class_of")).select(F.col("id").alias("entity"), "class_of", dot.alias("sim")))
 
 
+@query(f"""WITH {_VEC}, u AS (SELECT id, entity_type, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM vec),
+  s AS (SELECT class_of, k, sum(x) AS s FROM (SELECT entity_type AS class_of, generate_subscripts(v, 1) AS k, unnest(v) AS x FROM u WHERE entity_type IS NOT NULL) GROUP BY class_of, k), c AS (SELECT class_of, list(s ORDER BY k) AS w FROM s GROUP BY class_of),
+  b AS (SELECT u.id AS entity, max(list_cosine_similarity(u.v, c.w)) AS sim FROM u, c GROUP BY u.id)
+  SELECT count(*) FILTER (sim >= 0.58) AS "full", count(*) FILTER (sim >= 0.42 AND sim < 0.58) AS half, count(*) FILTER (sim < 0.42) AS none, avg(CASE WHEN sim >= 0.58 THEN 1.0 WHEN sim >= 0.42 THEN 0.5 ELSE 0 END) AS score FROM b""")
+def entity_assignment_all(spark: SparkSession, sf: str) -> DataFrame:
+    # A reference class is an entity type's mean direction over all its vectors; every usable vector is scored.
+    u = unit_vectors(spark, sf)
+    classes = bounded_broadcast(M.centroids(u.where("entity_type is not null").select(F.col("entity_type").alias("class_of"), "v")).withColumnRenamed("v", "w"))
+    dot = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    return M.member_assignment(u.crossJoin(classes).select(F.col("id").alias("entity"), "class_of", dot.alias("sim")))
+
+
 @query("SELECT metric, run, value, value - (SELECT value FROM (SELECT split_method AS run, avg(split_score) AS value FROM taxonomy_nodes WHERE split_method <> '' GROUP BY 1) WHERE run = 'macro') AS delta FROM (SELECT 'mean_split_score' AS metric, split_method AS run, avg(split_score) AS value FROM taxonomy_nodes WHERE split_method <> '' GROUP BY 2)")
 def compare_runs(spark: SparkSession, sf: str) -> DataFrame:
     m = table(spark, sf, "taxonomy_nodes").where("split_method <> ''").groupBy(F.lit("mean_split_score").alias("metric"), F.col("split_method").alias("run")).agg(F.avg("split_score").alias("value"))

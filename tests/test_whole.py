@@ -10,7 +10,7 @@ from braidwork.functions import text as T
 from braidwork.models import RuleClient, SentenceTriples
 from braidwork.operators import extraction as X
 from braidwork.operators import ontology as O
-from braidwork.plans import cluster_queries, ontology_queries, text_queries
+from braidwork.plans import cluster_queries, metric_queries, ontology_queries, text_queries
 from tests.compare import SMALL
 
 tables = pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables are missing")
@@ -93,3 +93,14 @@ def test_more_edges_than_the_driver_takes(spark):
     n = O.MAX_CLASSES + 1
     edges = spark.range(n).selectExpr("concat('r', id % 7) as run_id", "id as seq", "concat('c', id) as child", "'top' as parent", "true as trusted", "0L as weak")
     assert O.acyclic_first(edges, ("run_id",)).count() == n and O.enforce_tree(edges, keys=("run_id",)).count() == n
+
+
+def test_entities_of_every_type(spark, tmp_path):
+    def v(*at):
+        return [1.0 if i in at else 0.0 for i in range(64)]
+
+    # 24 types, whose vectors beyond the first twenty have directions of their own, and one vector without a type.
+    rows = [(i, f"t{i % 24}", v(i % 24)) for i in range(1, 97)] + [(97, None, v(3)), (98, None, v(40))]
+    spark.createDataFrame(rows, "vec_id long, entity_type string, embs array<float>").write.parquet(f"{tmp_path}/entity_embeddings.parquet")
+    assert metric_queries.entity_assignment_all(spark, str(tmp_path)).first().asDict() == {"full": 97, "half": 0, "none": 1, "score": pytest.approx(97 / 98)}
+    assert metric_queries.entity_assignment(spark, str(tmp_path)).first()["none"] > 0
