@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
+from collections.abc import Callable, Iterable
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -204,6 +209,110 @@ def continuous_f1(induced: DataFrame, reference: DataFrame, similarity: DataFram
     return _f1(sum(m[i, j] for i, j in assignment(-m)), len(a), len(b))
 
 
+class Run:
+    """Names of a run in order, and its distinct edges (child, parent) as places in ``ends``: the names, then other parents."""
+
+    def __init__(self, rows: Iterable[tuple[str, str | None]]):
+        rows = [(n, (p or "").strip(" ")) for n, p in rows if n is not None]
+        self.names = sorted({n for n, _ in rows})
+        edges = sorted({e for e in rows if e[1]})
+        ends = self.names + sorted({p for _, p in edges} - set(self.names))
+        at = {x: i for i, x in enumerate(ends)}
+        self.n_ends, self.child, self.parent = len(ends), np.array([at[c] for c, _ in edges], dtype=int), np.array([at[p] for _, p in edges], dtype=int)
+        self.words = [set(re.sub("([a-z])([A-Z])", r"\1 \2", n).strip(" ").lower().split(" ")) for n in self.names]
+        self.last = [m[1].lower() if (m := re.search(r"([A-Z][a-z]+)\d*$", n)) else "" for n in self.names]
+
+
+def word_similarity(a: Run, b: Run) -> np.ndarray:
+    """Common words of each name of ``a`` and of ``b`` over the root of the product of their words; only common words are visited."""
+    holders = defaultdict(list)
+    for i, words in enumerate(a.words):
+        for w in words:
+            holders[w].append(i)
+    out = np.zeros((len(a.names), len(b.names)))
+    for j, words in enumerate(b.words):
+        for w in words:
+            out[holders.get(w, []), j] += 1
+    return out / np.sqrt(np.outer([len(w) for w in a.words], [len(w) for w in b.words]))
+
+
+def _same_last(a: Run, b: Run) -> np.ndarray:
+    return np.array(a.last, dtype=object)[:, None] == np.array(b.last, dtype=object)[None, :]
+
+
+def alignment_of(a: Run, b: Run) -> list[tuple]:
+    """As :func:`alignment`; 0 without a common word."""
+    s = word_similarity(a, b)
+    p, r = float(s.max(axis=1).mean()), float(s.max(axis=0).mean())
+    return [(p, r, 2 * p * r / (p + r) if p + r > 0 else 0.0)]
+
+
+def auc_of(a: Run, b: Run) -> list[tuple]:
+    """As :func:`roc_auc`, with names of one last word as the true pairs."""
+    label = _same_last(a, b).ravel()
+    scores, at = np.unique(np.round(word_similarity(a, b), 9).ravel(), return_inverse=True)
+    p, n = np.bincount(at[label], minlength=len(scores)), np.bincount(at[~label], minlength=len(scores))
+    won = float((p * (np.cumsum(n) - 0.5 * n)).sum())
+    pos, neg = int(p.sum()), int(n.sum())
+    return [(pos, neg, won / (pos * neg) if pos and neg else None)]
+
+
+def _ranked(a: Run, b: Run) -> tuple[np.ndarray, np.ndarray]:
+    s = np.round(word_similarity(a, b), 9)
+    return s, np.argsort(-s, axis=0, kind="stable")
+
+
+def retrieval_of(a: Run, b: Run) -> list[tuple]:
+    """As :func:`retrieval`, with names of one last word as the true pairs."""
+    true = np.take_along_axis(_same_last(a, b), _ranked(a, b)[1], axis=0)
+    rank = true.argmax(axis=0)[true.any(axis=0)] + 1
+    return [(len(rank), *(float(x.mean()) for x in (1 / rank, rank == 1, rank <= 3)))] if len(rank) else [(0, None, None, None)]
+
+
+def top_of(a: Run, b: Run, k: int = 3) -> list[tuple]:
+    """As :func:`top_matches`."""
+    s, order = _ranked(a, b)
+    return [(b.names[j], r + 1, a.names[i], float(s[i, j])) for j in range(len(b.names)) for r, i in enumerate(order[:k, j])]
+
+
+def _end_similarity(a: Run, b: Run) -> tuple[np.ndarray, np.ndarray]:
+    """Similarities of the children and of the parents of all pairs of edges. Ends that are no names of the run have none."""
+    s = np.zeros((a.n_ends, b.n_ends))
+    s[: len(a.names), : len(b.names)] = word_similarity(a, b)
+    return s[np.ix_(a.child, b.child)], s[np.ix_(a.parent, b.parent)]
+
+
+def edge_f1_of(a: Run, b: Run, threshold: float = MATCH) -> list[tuple]:
+    """As :func:`edge_f1`."""
+    c, p = _end_similarity(a, b)
+    hit = (c > threshold) & (p > threshold)
+    n, m = hit.shape
+    p, r = (float(hit.any(axis=1).sum()) / n if n else 0.0), (float(hit.any(axis=0).sum()) / m if m else 0.0)
+    return [(p, r, 2 * p * r / (p + r) if p + r > 0 else 0.0)]
+
+
+def continuous_f1_of(a: Run, b: Run) -> list[tuple]:
+    """As :func:`continuous_f1`."""
+    m = np.minimum(*_end_similarity(a, b))
+    return [_f1(sum(m[i, j] for i, j in assignment(-m)), *m.shape)]
+
+
+def against_first(nodes: DataFrame, score: Callable[[Run, Run], list[tuple]], schema: str) -> DataFrame:
+    """(run_id, *schema): ``score`` of the first run by run_id as the induced one with each other run of (run_id, name, parent).
+
+    A run is scored in one task, with the first run at hand; its size is checked.
+    """
+    first = nodes.agg(F.min("run_id")).first()[0]
+    a = Run((r["name"], r["parent"]) for r in bounded_rows(nodes.where(F.col("run_id") == first).select("name", "parent"), what="names of the first run"))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        b = Run(zip(rows["name"], rows["parent"]))
+        return pd.DataFrame([(*key, *x) for x in score(a, b)], columns=["run_id", *(c.split()[0].strip("`") for c in schema.split(", "))])
+
+    others = nodes.where((F.col("run_id") != first) & F.col("name").isNotNull()).select("run_id", "name", "parent")
+    return others.groupBy("run_id").applyInPandas(run, f"run_id string, {schema}")
+
+
 def graph_f1(induced: dict[str, np.ndarray], reference: dict[str, np.ndarray], induced_edges: list, reference_edges: list, hops: int = 2) -> tuple[float, float, float]:
     """(precision, recall, f1) of the best matching of nodes by vectors smoothed over their neighbours ``hops`` times."""
 

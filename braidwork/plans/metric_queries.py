@@ -121,10 +121,38 @@ def fuzzy_f1(spark: SparkSession, sf: str) -> DataFrame:
     return M.edge_f1(_run_edges(spark, sf, a), _run_edges(spark, sf, b), _similarity(spark, sf))
 
 
+# The queries above compare two runs, as their SQL has it; those below compare the first run with every other one.
+_P_R_F = "precision double, recall double, f1 double"
+
+
+@query()
+def bertscore_alignment_all(spark: SparkSession, sf: str) -> DataFrame:
+    return M.against_first(table(spark, sf, "taxonomy_nodes"), M.alignment_of, _P_R_F)
+
+
+@query()
+def class_auc_all(spark: SparkSession, sf: str) -> DataFrame:
+    return M.against_first(table(spark, sf, "taxonomy_nodes"), M.auc_of, "positives long, negatives long, auc double")
+
+
+@query()
+def class_retrieval_all(spark: SparkSession, sf: str) -> DataFrame:
+    return M.against_first(table(spark, sf, "taxonomy_nodes"), M.retrieval_of, "`references` long, mrr double, recall_at_1 double, recall_at_3 double")
+
+
+@query()
+def class_confusion_all(spark: SparkSession, sf: str) -> DataFrame:
+    return M.against_first(table(spark, sf, "taxonomy_nodes"), M.top_of, "reference string, rank int, induced string, sim double")
+
+
+@query()
+def fuzzy_f1_all(spark: SparkSession, sf: str) -> DataFrame:
+    return M.against_first(table(spark, sf, "taxonomy_nodes"), M.edge_f1_of, _P_R_F)
+
+
 @query()
 def continuous_f1(spark: SparkSession, sf: str) -> DataFrame:
-    _, _, a, b = _names(spark, sf)
-    return spark.createDataFrame([M.continuous_f1(_run_edges(spark, sf, a), _run_edges(spark, sf, b), _similarity(spark, sf))], "precision double, recall double, f1 double")
+    return M.against_first(table(spark, sf, "taxonomy_nodes"), M.continuous_f1_of, _P_R_F)
 
 
 @query(f"""WITH {BASE}, z AS (SELECT class, count(*) AS n FROM asg GROUP BY class), t AS (SELECT CAST(sum(n) AS BIGINT) AS entities, CAST(sum(n) FILTER (class <> 'Other') AS BIGINT) AS labeled, count(*) FILTER (class <> 'Other') AS n_classes FROM z)

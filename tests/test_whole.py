@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from braidwork.functions import text as T
 from braidwork.models import RuleClient, SentenceTriples
 from braidwork.operators import extraction as X
+from braidwork.operators import metrics as M
 from braidwork.operators import ontology as O
 from braidwork.plans import cluster_queries, metric_queries, ontology_queries, text_queries
 from tests.compare import SMALL
@@ -104,3 +105,35 @@ def test_entities_of_every_type(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, entity_type string, embs array<float>").write.parquet(f"{tmp_path}/entity_embeddings.parquet")
     assert metric_queries.entity_assignment_all(spark, str(tmp_path)).first().asDict() == {"full": 97, "half": 0, "none": 1, "score": pytest.approx(97 / 98)}
     assert metric_queries.entity_assignment(spark, str(tmp_path)).first()["none"] > 0
+
+
+PAIRS = {"bertscore_alignment_all": "bertscore_alignment", "class_auc_all": "class_auc", "class_retrieval_all": "class_retrieval", "class_confusion_all": "class_confusion", "fuzzy_f1_all": "fuzzy_f1"}
+
+
+def shown(rows):
+    return sorted(tuple(round(x, 7) if isinstance(x, float) else x for x in r) for r in rows)
+
+
+@tables
+def test_every_run_against_the_first(spark, tmp_path):
+    nodes = spark.read.parquet(f"{SMALL}/taxonomy_nodes.parquet").select("run_id", "name", "parent").cache()
+    first, *others = sorted(r[0] for r in nodes.select("run_id").distinct().collect())
+    assert len(others) > 1
+    whole = {q: [tuple(r) for r in metric_queries.QUERIES[q](spark, SMALL).collect()] for q in [*PAIRS, "continuous_f1"]}
+    for run in others:
+        # The queries over two runs, which are compared with SQL, over a table of these two.
+        sf = f"{tmp_path}/{run}"
+        nodes.where(F.col("run_id").isin(first, run)).write.parquet(f"{sf}/taxonomy_nodes.parquet")
+        for q, two in PAIRS.items():
+            assert shown(r[1:] for r in whole[q] if r[0] == run) == shown(tuple(r) for r in metric_queries.QUERIES[two](spark, sf).collect()), (q, run)
+        want = M.continuous_f1(metric_queries._run_edges(spark, sf, first), metric_queries._run_edges(spark, sf, run), metric_queries._similarity(spark, sf))
+        assert shown(r[1:] for r in whole["continuous_f1"] if r[0] == run) == shown([want])
+
+
+def test_runs_without_a_common_word(spark):
+    nodes = spark.createDataFrame([("a", "FloodForm", "Flood"), ("b", "Garage", None), ("c", "FloodForm", "Flood"), ("c", "Flood", "")], "run_id string, name string, parent string")
+    got = {r["run_id"]: r for r in M.against_first(nodes, M.alignment_of, "p double, r double, f1 double").collect()}
+    assert set(got) == {"b", "c"} and got["b"]["f1"] == 0 and got["c"]["p"] == pytest.approx(1)
+    auc = {r["run_id"]: r["auc"] for r in M.against_first(nodes, M.auc_of, "positives long, negatives long, auc double").collect()}
+    assert auc == {"b": None, "c": 1.0}
+    assert {r["run_id"]: r["r"] for r in M.against_first(nodes, M.continuous_f1_of, "p double, r double, f1 double").collect()} == {"b": 0.0, "c": 0.0}
