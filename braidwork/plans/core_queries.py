@@ -34,7 +34,12 @@ def p5_descendants(spark: SparkSession, sf: str) -> DataFrame:
     return _tree(spark, sf).select("node_id", (F.col("last") - F.col("first")).alias("n_descendants"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_wide": p1_wide, "p5_found": p5_found, "p5_descendants": p5_descendants}
+def p5_descendant_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every node with each of its descendants, of which p5_descendants has the number."""
+    return H.descendants(_tree(spark, sf))
+
+
+QUERIES = {"p1_found": p1_found, "p1_wide": p1_wide, "p5_found": p5_found, "p5_descendants": p5_descendants, "p5_descendant_pairs": p5_descendant_pairs}
 
 _SPACE = r"[\s\p{Z}\p{Cf}]"
 _N = r"(?:\d+|\d{1,3}(?:,\d{3})+)"

@@ -2,6 +2,7 @@
 
 import os
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from braidwork.models import RuleClient, SentenceTriples
 from braidwork.operators import extraction as X
 from braidwork.operators import metrics as M
 from braidwork.operators import ontology as O
-from braidwork.plans import cluster_queries, metric_queries, ontology_queries, text_queries
+from braidwork.plans import cluster_queries, core_queries, metric_queries, ontology_queries, text_queries
 from tests.compare import SMALL
 
 tables = pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables are missing")
@@ -137,3 +138,11 @@ def test_runs_without_a_common_word(spark):
     auc = {r["run_id"]: r["auc"] for r in M.against_first(nodes, M.auc_of, "positives long, negatives long, auc double").collect()}
     assert auc == {"b": None, "c": 1.0}
     assert {r["run_id"]: r["r"] for r in M.against_first(nodes, M.continuous_f1_of, "p double, r double, f1 double").collect()} == {"b": 0.0, "c": 0.0}
+
+
+@tables
+def test_descendants_of_every_node(spark):
+    pairs = core_queries.QUERIES["p5_descendant_pairs"](spark, SMALL).collect()
+    tree = {r["node_id"]: r["n_descendants"] for r in core_queries.p5_descendants(spark, SMALL).collect()}
+    assert len({(r["ancestor_id"], r["node_id"]) for r in pairs}) == len(pairs) and all(r["distance"] > 0 for r in pairs)
+    assert Counter(r["ancestor_id"] for r in pairs) == {n: k for n, k in tree.items() if k} and len(pairs) > 0
