@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import bounded_rows
+from ..session import LOOKUP_ROWS, bounded_rows
 
 #: Similarity from which names match, from which depths are compared, and from which members count fully or half.
 MATCH, DEPTH_MATCH, FULL, HALF = 0.436, 0.3, 0.58, 0.42
@@ -65,52 +65,126 @@ def grounding_score(verdicts: DataFrame) -> DataFrame:
 
 
 def edge_f1(induced: DataFrame, reference: DataFrame, similarity: DataFrame, threshold: float = MATCH) -> DataFrame:
-    """One row: precision, recall, f1 of edges (child, parent) that match if both ends' similarity exceeds the threshold.
+    """(run_id, precision, recall, f1) of edges that match if both ends' similarity exceeds the threshold.
 
-    ``similarity``: induced, reference, sim. Only pairs above the threshold are joined, so no pair of edges arises without
-    a matching child.
+    ``induced``: child, parent; ``reference``: run_id, child, parent; ``similarity``: run_id, induced, reference, sim. Only
+    pairs above the threshold are joined, so no pair of edges arises without a matching child. A run without a match has 0.
     """
     s = similarity.where(F.col("sim") > threshold)
-    i = induced.select("child", "parent").distinct().withColumn("i", F.monotonically_increasing_id())
-    r = reference.select(F.col("child").alias("rc"), F.col("parent").alias("rp")).distinct().withColumn("r", F.monotonically_increasing_id())
-    hits = i.join(s.select(F.col("induced").alias("child"), F.col("reference").alias("rc")), "child").join(r, "rc").join(s.select(F.col("induced").alias("parent"), F.col("reference").alias("rp")), ["parent", "rp"])
-    m = hits.agg(F.countDistinct("child", "parent").alias("mi"), F.countDistinct("rc", "rp").alias("mr"))
-    n = i.agg(F.count(F.lit(1)).alias("ni")).crossJoin(r.agg(F.count(F.lit(1)).alias("nr"))).crossJoin(m)
-    p, q = F.coalesce(F.try_divide("mi", "ni"), F.lit(0.0)), F.coalesce(F.try_divide("mr", "nr"), F.lit(0.0))
-    return n.select(p.alias("precision"), q.alias("recall")).withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
+    i = induced.select("child", "parent").distinct()
+    r = reference.select("run_id", F.col("child").alias("rc"), F.col("parent").alias("rp")).distinct()
+    of_child = s.select("run_id", F.col("induced").alias("child"), F.col("reference").alias("rc"))
+    of_parent = s.select("run_id", F.col("induced").alias("parent"), F.col("reference").alias("rp"))
+    hits = i.join(of_child, "child").join(r, ["run_id", "rc"]).join(of_parent, ["run_id", "parent", "rp"])
+    m = hits.groupBy("run_id").agg(F.countDistinct("child", "parent").alias("mi"), F.countDistinct("rc", "rp").alias("mr"))
+    n = r.groupBy("run_id").agg(F.count(F.lit(1)).alias("nr")).join(m, "run_id", "left").withColumn("ni", F.lit(i.count()))
+    return _balanced(n, F.try_divide("mi", "ni"), F.try_divide("mr", "nr"))
 
 
-def alignment(similarity: DataFrame) -> DataFrame:
-    """One row: precision, recall, f1 of classes by their best match, from (induced, reference, sim) of all pairs."""
-    p = similarity.groupBy("induced").agg(F.max("sim").alias("m")).agg(F.avg("m").alias("precision"))
-    r = similarity.groupBy("reference").agg(F.max("sim").alias("m")).agg(F.avg("m").alias("recall"))
-    return p.crossJoin(r).withColumn("f1", 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
+def _balanced(df: DataFrame, precision: Column, recall: Column) -> DataFrame:
+    p, r = F.coalesce(precision, F.lit(0.0)), F.coalesce(recall, F.lit(0.0))
+    return df.select("run_id", p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"))
 
 
-def roc_auc(scores: DataFrame) -> DataFrame:
-    """One row: positives, negatives, auc of (score, label); ties count half. Null auc without both labels.
+def class_names(nodes: DataFrame) -> DataFrame:
+    """(run_id, name, words, last): distinct names with their distinct lower-case words and the last capitalised word.
 
-    Rows are added up by distinct score. Running sums go over slices of the score first and then within each slice, so no
-    task orders all scores.
+    Rows with a null name or run are left out.
     """
-    by = scores.groupBy("score").agg(F.sum(F.col("label").cast("long")).alias("p"), F.sum(1 - F.col("label").cast("long")).alias("n")).withColumn("slice", F.floor(F.col("score") * SLICES))
-    slices = by.groupBy("slice").agg(F.sum("n").alias("n"))
-    lower = slices.select("slice", F.coalesce(F.sum("n").over(W.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("lower"))
-    inside = F.coalesce(F.sum("n").over(W.partitionBy("slice").orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    won = by.withColumn("inside", inside).join(lower, "slice").withColumn("below", F.col("inside") + F.col("lower"))
-    return won.agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), F.sum(F.col("p") * (F.col("below") + 0.5 * F.col("n"))).alias("u")).select("positives", "negatives", F.try_divide(F.col("u"), F.col("positives").cast("double") * F.col("negatives")).alias("auc"))
+    spaced = F.lower(F.trim(F.regexp_replace("name", "([a-z])([A-Z])", "$1 $2")))
+    last = F.lower(F.regexp_extract("name", r"([A-Z][a-z]+)\d*$", 1))
+    named = nodes.select("run_id", "name").where("run_id is not null and name is not null").distinct()
+    return named.select("run_id", "name", F.array_distinct(F.split(spaced, " ")).alias("words"), last.alias("last"))
 
 
-def retrieval(scores: DataFrame) -> DataFrame:
-    """One row: references, mrr, recall_at_1, recall_at_3 over references with a true match in (induced, reference, sim, label)."""
-    ranked = scores.withColumn("rank", F.row_number().over(W.partitionBy("reference").orderBy(F.desc("sim"), "induced")))
-    best = ranked.where("label = 1").groupBy("reference").agg(F.min("rank").alias("rank"))
-    return best.agg(F.count(F.lit(1)).alias("references"), F.avg(1 / F.col("rank")).alias("mrr"), F.avg((F.col("rank") == 1).cast("double")).alias("recall_at_1"), F.avg((F.col("rank") <= 3).cast("double")).alias("recall_at_3"))
+def run_pairs(names: DataFrame, first: str) -> DataFrame:
+    """(run_id, induced, reference, sim, label) of names of the run ``first`` and of each other run that share a word.
 
+    ``sim`` is the number of common words over the root of the product of their numbers, ``label`` whether the last words
+    are equal; names that share the last word only have sim 0. All other pairs have sim 0 and label 0 and do not arise.
+    Both joins are on equality of a word, and words of a pair are added up before the shuffle.
+    """
+    def side(df: DataFrame, name: str, n: str) -> DataFrame:
+        return df.select("run_id", F.col("name").alias(name), F.size("words").alias(n), "words", "last")
+
+    a = side(names.where(F.col("run_id") == first), "induced", "na").drop("run_id")
+    b = side(names.where(F.col("run_id") != first), "reference", "nb")
+
+    def by_word(df: DataFrame) -> DataFrame:
+        return df.withColumn("w", F.explode("words")).drop("words", "last")
+
+    columns = ["run_id", "induced", "reference", "na", "nb"]
+    words = by_word(a).join(by_word(b), "w").select(*columns, F.lit(1).alias("k"), F.lit(0).alias("label"))
+    lasts = a.drop("words").join(b.drop("words"), "last").select(*columns, F.lit(0).alias("k"), F.lit(1).alias("label"))
+    both = words.unionByName(lasts).groupBy(*columns).agg(F.sum("k").alias("k"), F.max("label").alias("label"))
+    return both.select("run_id", "induced", "reference", F.round(F.col("k") / F.sqrt(F.col("na") * F.col("nb")), 9).alias("sim"), "label")
+
+
+def run_sizes(names: DataFrame, first: str) -> DataFrame:
+    """(run_id, n_induced, n_reference) of each run but ``first``."""
+    n = names.where(F.col("run_id") == first).count()
+    return names.where(F.col("run_id") != first).groupBy("run_id").agg(F.lit(n).alias("n_induced"), F.count(F.lit(1)).alias("n_reference"))
+
+
+def alignment(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(run_id, precision, recall, f1) of classes by their best match; a class in no pair has 0."""
+    def best(by: str, total: str) -> DataFrame:
+        return pairs.groupBy("run_id", by).agg(F.max("sim").alias("m")).groupBy("run_id").agg(F.sum("m").alias(total))
+
+    both = sizes.join(best("induced", "p"), "run_id", "left").join(best("reference", "r"), "run_id", "left")
+    return _balanced(both, F.try_divide("p", "n_induced"), F.try_divide("r", "n_reference"))
+
+
+def roc_auc(scores: DataFrame, zeros: DataFrame | None = None) -> DataFrame:
+    """(run_id, positives, negatives, auc) of (run_id, score, label); ties count half. Null auc without both labels.
+
+    ``zeros``: (run_id, n) further rows of score and label 0. Rows are added up by distinct score. Running sums go over
+    slices of the score first and then within each slice, so no task orders all scores of a run.
+    """
+    label = F.col("label").cast("long")
+    rows = scores.select("run_id", "score", label.alias("p"), (1 - label).alias("n"))
+    if zeros is not None:
+        rows = rows.unionByName(zeros.select("run_id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("p"), F.col("n").cast("long").alias("n")))
+    by = rows.groupBy("run_id", "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).withColumn("slice", F.floor(F.col("score") * SLICES))
+    slices = by.groupBy("run_id", "slice").agg(F.sum("n").alias("n"))
+    lower = slices.select("run_id", "slice", F.coalesce(F.sum("n").over(W.partitionBy("run_id").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("lower"))
+    inside = F.coalesce(F.sum("n").over(W.partitionBy("run_id", "slice").orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    won = by.withColumn("inside", inside).join(lower, ["run_id", "slice"]).withColumn("below", F.col("inside") + F.col("lower"))
+    sums = won.groupBy("run_id").agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), F.sum(F.col("p") * (F.col("below") + 0.5 * F.col("n"))).alias("u"))
+    return sums.select("run_id", "positives", "negatives", F.try_divide(F.col("u"), F.col("positives").cast("double") * F.col("negatives")).alias("auc"))
+
+
+def average_precision(scores: DataFrame) -> DataFrame:
+    """(run_id, average_precision) of (run_id, score, label): precision at each distinct score, weighted by its gain in recall.
+
+    Rows of score 0 and label 0 that are not given would only follow the last positive, unless it has score 0 as well; then
+    they must be given.
+    """
+    label = F.col("label").cast("long")
+    by = scores.groupBy("run_id", "score").agg(F.sum(label).alias("p"), F.count(F.lit(1)).alias("n"))
+    down = W.partitionBy("run_id").orderBy(F.desc("score"))
+    run = by.select("run_id", "p", F.sum("p").over(down).alias("hits"), F.sum("n").over(down).alias("seen"))
+    return run.groupBy("run_id").agg(F.try_divide(F.sum(F.col("p") * F.col("hits") / F.col("seen")), F.sum("p")).alias("average_precision"))
+
+
+def retrieval(pairs: DataFrame) -> DataFrame:
+    """(run_id, references, mrr, recall_at_1, recall_at_3) over references with a true match.
+
+    Matches are ranked by sim, ties by name. A true match without a common word is not found: it counts as reference with 0.
+    """
+    ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("run_id", "reference").orderBy(F.desc("sim"), "induced")))
+    best = ranked.where("label = 1").groupBy("run_id", "reference").agg(F.min(F.when(F.col("sim") > 0, F.col("rank"))).alias("rank"))
 
-def top_matches(similarity: DataFrame, k: int = 3) -> DataFrame:
-    """(reference, rank, induced, sim): the ``k`` most similar induced classes of each reference class."""
-    return similarity.withColumn("rank", F.row_number().over(W.partitionBy("reference").orderBy(F.desc("sim"), "induced"))).where(F.col("rank") <= k).select("reference", "rank", "induced", "sim")
+    def share(hit: Column) -> Column:
+        return F.avg(F.coalesce(hit.cast("double"), F.lit(0.0)))
+
+    return best.groupBy("run_id").agg(F.count(F.lit(1)).alias("references"), share(1 / F.col("rank")).alias("mrr"), share(F.col("rank") == 1).alias("recall_at_1"), share(F.col("rank") <= 3).alias("recall_at_3"))
+
+
+def top_matches(pairs: DataFrame, k: int = 3) -> DataFrame:
+    """(run_id, reference, rank, induced, sim): up to ``k`` most similar induced classes of each reference class."""
+    ranked = pairs.where("sim > 0").withColumn("rank", F.row_number().over(W.partitionBy("run_id", "reference").orderBy(F.desc("sim"), "induced")))
+    return ranked.where(F.col("rank") <= k).select("run_id", "reference", "rank", "induced", "sim")
 
 
 def balance(assignments: DataFrame) -> DataFrame:
@@ -141,6 +215,25 @@ def centroids(vectors: DataFrame) -> DataFrame:
     return per.withColumn("norm", norm).where("norm > 0").select("class_of", F.transform("v", lambda x: x / F.col("norm")).alias("v"))
 
 
+def best_centroid(vectors: DataFrame, classes: DataFrame) -> DataFrame:
+    """(entity, class_of, sim): the class of the highest cosine for each vector (id, v of length one), ties by name.
+
+    ``classes``: (class_of, v), whose number is checked; each Arrow batch is one matrix product with them.
+    """
+    rows = sorted(bounded_rows(classes.select("class_of", "v"), MAX_NAMES, "classes"))
+    names, table = [r["class_of"] for r in rows], np.array([r["v"] for r in rows], dtype=np.float64)
+    id_type = dict(vectors.dtypes)["id"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b) and len(names):
+                s = np.stack(b["v"].to_numpy()) @ table.T
+                at = s.argmax(axis=1)
+                yield pd.DataFrame({"entity": b["id"], "class_of": [names[i] for i in at], "sim": s[np.arange(len(b)), at]})
+
+    return vectors.select("id", "v").mapInPandas(run, f"entity {id_type}, class_of string, sim double")
+
+
 def member_assignment(similarity: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
     """One row: full, half, none, score: the best similarity of each (entity, class_of, sim) counts 1, 0.5 or 0."""
     best = similarity.groupBy("entity").agg(F.max("sim").alias("sim"))
@@ -182,33 +275,11 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(owner[j]) - 1, j - 1) for j in range(1, m + 1) if owner[j])
 
 
-def _matrix(rows, left: list, right: list) -> np.ndarray:
-    li, ri = {x: i for i, x in enumerate(left)}, {x: i for i, x in enumerate(right)}
-    out = np.zeros((len(left), len(right)))
-    for r in rows:
-        out[li[r["induced"]], ri[r["reference"]]] = r["sim"]
-    return out
-
-
 def _f1(score: float, n: int, m: int) -> tuple[float, float, float]:
     p, r = float(score) / n if n else 0.0, float(score) / m if m else 0.0
     return p, r, 2 * p * r / (p + r) if p + r > 0 else 0.0
 
 
-def continuous_f1(induced: DataFrame, reference: DataFrame, similarity: DataFrame) -> tuple[float, float, float]:
-    """(precision, recall, f1) of the best one-to-one matching of edges by the smaller similarity of their ends."""
-    a, b = sorted(bounded_rows(induced.select("child", "parent").distinct(), MAX_NAMES)), sorted(bounded_rows(reference.select("child", "parent").distinct(), MAX_NAMES))
-    left, right = sorted({x for e in a for x in e}), sorted({x for e in b for x in e})
-    spark = similarity.sparkSession
-    if not a or not b:
-        return 0.0, 0.0, 0.0
-    names = similarity.join(F.broadcast(spark.createDataFrame([(x,) for x in left], "induced string")), "induced", "left_semi").join(F.broadcast(spark.createDataFrame([(x,) for x in right], "reference string")), "reference", "left_semi")
-    s = _matrix(bounded_rows(names, MAX_NAMES * 20), left, right)
-    li, ri = {x: i for i, x in enumerate(left)}, {x: i for i, x in enumerate(right)}
-    m = np.array([[min(s[li[c], ri[d]], s[li[p], ri[q]]) for d, q in b] for c, p in a])
-    return _f1(sum(m[i, j] for i, j in assignment(-m)), len(a), len(b))
-
-
 class Run:
     """Names of a run in order, and its distinct edges (child, parent) as places in ``ends``: the names, then other parents."""
 
@@ -220,7 +291,6 @@ class Run:
         at = {x: i for i, x in enumerate(ends)}
         self.n_ends, self.child, self.parent = len(ends), np.array([at[c] for c, _ in edges], dtype=int), np.array([at[p] for _, p in edges], dtype=int)
         self.words = [set(re.sub("([a-z])([A-Z])", r"\1 \2", n).strip(" ").lower().split(" ")) for n in self.names]
-        self.last = [m[1].lower() if (m := re.search(r"([A-Z][a-z]+)\d*$", n)) else "" for n in self.names]
 
 
 def word_similarity(a: Run, b: Run) -> np.ndarray:
@@ -236,45 +306,6 @@ def word_similarity(a: Run, b: Run) -> np.ndarray:
     return out / np.sqrt(np.outer([len(w) for w in a.words], [len(w) for w in b.words]))
 
 
-def _same_last(a: Run, b: Run) -> np.ndarray:
-    return np.array(a.last, dtype=object)[:, None] == np.array(b.last, dtype=object)[None, :]
-
-
-def alignment_of(a: Run, b: Run) -> list[tuple]:
-    """As :func:`alignment`; 0 without a common word."""
-    s = word_similarity(a, b)
-    p, r = float(s.max(axis=1).mean()), float(s.max(axis=0).mean())
-    return [(p, r, 2 * p * r / (p + r) if p + r > 0 else 0.0)]
-
-
-def auc_of(a: Run, b: Run) -> list[tuple]:
-    """As :func:`roc_auc`, with names of one last word as the true pairs."""
-    label = _same_last(a, b).ravel()
-    scores, at = np.unique(np.round(word_similarity(a, b), 9).ravel(), return_inverse=True)
-    p, n = np.bincount(at[label], minlength=len(scores)), np.bincount(at[~label], minlength=len(scores))
-    won = float((p * (np.cumsum(n) - 0.5 * n)).sum())
-    pos, neg = int(p.sum()), int(n.sum())
-    return [(pos, neg, won / (pos * neg) if pos and neg else None)]
-
-
-def _ranked(a: Run, b: Run) -> tuple[np.ndarray, np.ndarray]:
-    s = np.round(word_similarity(a, b), 9)
-    return s, np.argsort(-s, axis=0, kind="stable")
-
-
-def retrieval_of(a: Run, b: Run) -> list[tuple]:
-    """As :func:`retrieval`, with names of one last word as the true pairs."""
-    true = np.take_along_axis(_same_last(a, b), _ranked(a, b)[1], axis=0)
-    rank = true.argmax(axis=0)[true.any(axis=0)] + 1
-    return [(len(rank), *(float(x.mean()) for x in (1 / rank, rank == 1, rank <= 3)))] if len(rank) else [(0, None, None, None)]
-
-
-def top_of(a: Run, b: Run, k: int = 3) -> list[tuple]:
-    """As :func:`top_matches`."""
-    s, order = _ranked(a, b)
-    return [(b.names[j], r + 1, a.names[i], float(s[i, j])) for j in range(len(b.names)) for r, i in enumerate(order[:k, j])]
-
-
 def _end_similarity(a: Run, b: Run) -> tuple[np.ndarray, np.ndarray]:
     """Similarities of the children and of the parents of all pairs of edges. Ends that are no names of the run have none."""
     s = np.zeros((a.n_ends, b.n_ends))
@@ -282,17 +313,8 @@ def _end_similarity(a: Run, b: Run) -> tuple[np.ndarray, np.ndarray]:
     return s[np.ix_(a.child, b.child)], s[np.ix_(a.parent, b.parent)]
 
 
-def edge_f1_of(a: Run, b: Run, threshold: float = MATCH) -> list[tuple]:
-    """As :func:`edge_f1`."""
-    c, p = _end_similarity(a, b)
-    hit = (c > threshold) & (p > threshold)
-    n, m = hit.shape
-    p, r = (float(hit.any(axis=1).sum()) / n if n else 0.0), (float(hit.any(axis=0).sum()) / m if m else 0.0)
-    return [(p, r, 2 * p * r / (p + r) if p + r > 0 else 0.0)]
-
-
 def continuous_f1_of(a: Run, b: Run) -> list[tuple]:
-    """As :func:`continuous_f1`."""
+    """(precision, recall, f1) of the best one-to-one matching of edges by the smaller similarity of their ends."""
     m = np.minimum(*_end_similarity(a, b))
     return [_f1(sum(m[i, j] for i, j in assignment(-m)), *m.shape)]
 
@@ -306,6 +328,8 @@ def against_first(nodes: DataFrame, score: Callable[[Run, Run], list[tuple]], sc
     a = Run((r["name"], r["parent"]) for r in bounded_rows(nodes.where(F.col("run_id") == first).select("name", "parent"), what="names of the first run"))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        if len(rows) > LOOKUP_ROWS:
+            raise ValueError(f"run {key[0]} has more than {LOOKUP_ROWS} names")
         b = Run(zip(rows["name"], rows["parent"]))
         return pd.DataFrame([(*key, *x) for x in score(a, b)], columns=["run_id", *(c.split()[0].strip("`") for c in schema.split(", "))])
 

@@ -12,7 +12,7 @@ from ..operators import fileclasses as B
 from ..operators import recursive as Rc
 from ..operators import resolution as Re
 from .graph_queries import edges, triples, unit_vectors
-from .registry import registry
+from .registry import contains_sql, registry
 from .tables import table
 
 QUERIES, SQL, query = registry()
@@ -141,7 +141,23 @@ def merged_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return C.merge_clusters(c.select("cluster", "size", F.transform("v", lambda x: x["s"] / norm).alias("v")), 0.3)
 
 
-@query()
+def _about(rules) -> str:
+    return "CASE " + " ".join(f"WHEN {contains_sql('lower(around)', words)} THEN '{name}'" for name, words in rules) + " END"
+
+
+def _number_sql(s: X.Shape) -> str:
+    around = f"right(before, {s.context[0]}) || m || left(rest, {s.context[1]})" if s.context else r"regexp_extract(before, '[^.\n]*\z') || m || regexp_extract(rest, '^[^.]*')"
+    return rf"""SELECT chunk_id, source, '{s.kind}' AS object_type, {s.confidence} AS confidence, regexp_extract(m, '^[$\d,.]+') || '{s.unit}' AS object, {_about(s.about)} AS relation, right(before, {X.SUBJECT_CHARS}) AS head,
+      left(right(before, {s.span[0]}) || m || left(rest, {s.span[1]}), {X.SPAN_CHARS}) AS span FROM (SELECT *, {around} AS around FROM (SELECT chunk_id, source, m, substr(content, 1, n_before) AS before, substr(content, n_before + length(m) + 1) AS rest FROM
+      (SELECT *, f[i] AS m, length(array_to_string(g[1:i], '')) + length(array_to_string(f[1:i - 1], '')) AS n_before FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM (SELECT chunk_id, source, content, regexp_extract_all(content, '{s.pattern}', 0) AS f, string_split_regex(content, '{s.pattern}') AS g FROM hybrid_chunks)))))"""
+
+
+def _titled(c: str) -> str:
+    return f"array_to_string(list_transform(string_split(trim({c}), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+
+
+@query(rf"""WITH n AS ({" UNION ALL ".join(map(_number_sql, X.SHAPES))}), s AS (SELECT *, regexp_extract_all(head, '{X.PHRASE}', 0) AS ph, {_titled(f"regexp_extract(head, '{X.LABEL}', 1)")} AS lb, {_titled(f"regexp_extract(head, '{X.OF}', 1)")} AS fo FROM n WHERE relation IS NOT NULL)
+  SELECT * FROM (SELECT CASE WHEN len(ph) > 0 THEN trim(ph[-1]) WHEN lb <> '' THEN lb ELSE fo END AS subject, relation, object, object_type, regexp_replace(span, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS span, confidence, chunk_id, source, 'Unknown' AS subject_type, 'regex' AS source_type FROM s) WHERE subject <> ''""")
 def numeric_triples(spark: SparkSession, sf: str) -> DataFrame:
     return X.numeric_triples(table(spark, sf, "hybrid_chunks"))
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
-from ..session import bounded_broadcast
 from .graph_queries import _VEC, assignments, edges, entities, triples, unit_vectors
 from .ontology_queries import BASE
 from .registry import registry
@@ -50,109 +49,82 @@ def source_grounding(spark: SparkSession, sf: str) -> DataFrame:
     return M.grounding_score(table(spark, sf, "sampled_triples").select(said.alias("verdict")).where("verdict is not null"))
 
 
-#: Words of class names as vectors: the share of common words is the similarity of two names. Two runs are compared.
-_NAMES = r"""nm AS (SELECT DISTINCT run_id, name FROM taxonomy_nodes WHERE run_id IN (SELECT DISTINCT run_id FROM taxonomy_nodes ORDER BY run_id LIMIT 2)),
-  wd AS (SELECT run_id, name, unnest(list_distinct(string_split(lower(trim(regexp_replace(name, '([a-z])([A-Z])', '\1 \2', 'g'))), ' '))) AS w FROM nm), sz AS (SELECT run_id, name, count(*) AS n FROM wd GROUP BY ALL),
-  first_ AS (SELECT min(run_id) AS r FROM nm), ind AS (SELECT name FROM nm WHERE run_id = (SELECT r FROM first_)), ref AS (SELECT name FROM nm WHERE run_id <> (SELECT r FROM first_)),
-  com AS (SELECT a.name AS induced, b.name AS reference, count(*) AS k FROM wd a JOIN wd b USING (w) WHERE a.run_id = (SELECT r FROM first_) AND b.run_id <> (SELECT r FROM first_) GROUP BY ALL),
-  sim AS (SELECT ind.name AS induced, ref.name AS reference, coalesce(k / sqrt(x.n * y.n), 0.0) AS sim FROM ind, ref, sz x, sz y, LATERAL (SELECT max(k) AS k FROM com WHERE com.induced = ind.name AND com.reference = ref.name) WHERE x.run_id = (SELECT r FROM first_) AND x.name = ind.name AND y.run_id <> (SELECT r FROM first_) AND y.name = ref.name)"""
+#: Classes of the first run by run_id against those of every other run; the share of common words is the similarity of two names.
+_NAMES = r"""nm AS (SELECT DISTINCT run_id, name FROM taxonomy_nodes WHERE run_id IS NOT NULL AND name IS NOT NULL), f AS (SELECT min(run_id) AS r FROM nm),
+  wd AS (SELECT run_id, name, unnest(list_distinct(string_split(lower(trim(regexp_replace(name, '([a-z])([A-Z])', '\1 \2', 'g'), ' ')), ' '))) AS w FROM nm),
+  sz AS (SELECT run_id, name, count(*) AS n, any_value(lower(regexp_extract(name, '([A-Z][a-z]+)\d*$', 1))) AS last FROM wd GROUP BY ALL),
+  com AS (SELECT b.run_id, a.name AS induced, b.name AS reference, count(*) AS k FROM wd a JOIN wd b USING (w) WHERE a.run_id = (SELECT r FROM f) AND b.run_id <> (SELECT r FROM f) GROUP BY ALL),
+  sim AS (SELECT y.run_id, x.name AS induced, y.name AS reference, round(coalesce(k / sqrt(x.n * y.n), 0.0), 9) AS sim, CAST(x.last = y.last AS INT) AS label
+    FROM sz x JOIN sz y ON x.run_id = (SELECT r FROM f) AND y.run_id <> (SELECT r FROM f) LEFT JOIN com ON com.run_id = y.run_id AND com.induced = x.name AND com.reference = y.name)"""
+_F1 = "CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1"
 
 
-def _names(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, str, str]:
-    n = table(spark, sf, "taxonomy_nodes").select("run_id", "name").distinct()
-    runs = [r[0] for r in n.select("run_id").distinct().orderBy("run_id").limit(2).collect()]
-    return n.where(F.col("run_id") == runs[0]).select("name"), n.where(F.col("run_id") == runs[-1]).select("name"), runs[0], runs[-1]
+def _runs(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
+    """Names of every run, and the first run."""
+    names = M.class_names(table(spark, sf, "taxonomy_nodes"))
+    return names, names.agg(F.min("run_id")).first()[0]
 
 
-def _similarity(spark: SparkSession, sf: str) -> DataFrame:
-    """All pairs of the names of two runs: a run's classes are few."""
-    a, b, _, _ = _names(spark, sf)
-
-    def words(df: DataFrame, name: str, w: str) -> DataFrame:
-        return df.select(F.col("name").alias(name), F.array_distinct(F.split(F.lower(F.trim(F.regexp_replace("name", "([a-z])([A-Z])", "$1 $2"))), " ")).alias(w))
-
-    x, y = words(a, "induced", "wa"), words(b, "reference", "wb")
-    # Pairs without a common word are filled in with 0; both sides are the names of one run.
-    pairs = x.join(F.broadcast(y), F.size("wa") + F.size("wb") > 0)
-    return pairs.select("induced", "reference", (F.size(F.array_intersect("wa", "wb")) / F.sqrt(F.size("wa") * F.size("wb"))).alias("sim"))
-
-
-@query(f"WITH {_NAMES} SELECT p AS precision, r AS recall, 2 * p * r / (p + r) AS f1 FROM (SELECT avg(m) AS p FROM (SELECT max(sim) AS m FROM sim GROUP BY induced)), (SELECT avg(m) AS r FROM (SELECT max(sim) AS m FROM sim GROUP BY reference))")
+@query(f"""WITH {_NAMES}, p AS (SELECT run_id, avg(m) AS p FROM (SELECT run_id, max(sim) AS m FROM sim GROUP BY run_id, induced) GROUP BY run_id), q AS (SELECT run_id, avg(m) AS r FROM (SELECT run_id, max(sim) AS m FROM sim GROUP BY run_id, reference) GROUP BY run_id)
+  SELECT run_id, p AS precision, r AS recall, {_F1} FROM p JOIN q USING (run_id)""")
 def bertscore_alignment(spark: SparkSession, sf: str) -> DataFrame:
-    return M.alignment(_similarity(spark, sf))
+    names, first = _runs(spark, sf)
+    return M.alignment(M.run_pairs(names, first), M.run_sizes(names, first))
 
 
-def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    last = F.lower(F.regexp_extract(F.col("induced"), r"([A-Z][a-z]+)\d*$", 1)) == F.lower(F.regexp_extract(F.col("reference"), r"([A-Z][a-z]+)\d*$", 1))
-    return _similarity(spark, sf).select("induced", "reference", F.round("sim", 9).alias("sim"), last.cast("int").alias("label"))
+def _zeros(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs of names that share nothing, by run."""
+    found = pairs.groupBy("run_id").agg(F.count(F.lit(1)).alias("k"))
+    return sizes.join(found, "run_id", "left").select("run_id", (F.col("n_induced") * F.col("n_reference") - F.coalesce("k", F.lit(0))).alias("n"))
 
 
-_LABEL = r"sc AS (SELECT induced, reference, round(sim, 9) AS sim, CAST(lower(regexp_extract(induced, '([A-Z][a-z]+)\d*$', 1)) = lower(regexp_extract(reference, '([A-Z][a-z]+)\d*$', 1)) AS INT) AS label FROM sim)"
+@query(f"""WITH {_NAMES}, c AS (SELECT run_id, sim, sum(label) AS p, count(*) - sum(label) AS n FROM sim GROUP BY ALL), w AS (SELECT run_id, p, n, coalesce(sum(n) OVER (PARTITION BY run_id ORDER BY sim ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c)
+  SELECT run_id, CAST(sum(p) AS BIGINT) AS positives, CAST(sum(n) AS BIGINT) AS negatives, sum(p * (below + 0.5 * n)) / nullif(sum(p) * sum(n), 0) AS auc FROM w GROUP BY run_id""")
+def class_auc(spark: SparkSession, sf: str) -> DataFrame:
+    names, first = _runs(spark, sf)
+    pairs = M.run_pairs(names, first)
+    return M.roc_auc(pairs.select("run_id", F.col("sim").alias("score"), "label"), _zeros(pairs, M.run_sizes(names, first)))
 
 
-@query(f"""WITH {_NAMES}, {_LABEL} SELECT CAST(sum(label) AS BIGINT) AS positives, CAST(sum(1 - label) AS BIGINT) AS negatives, (SELECT sum(CASE WHEN a.sim > b.sim THEN 1.0 WHEN a.sim = b.sim THEN 0.5 ELSE 0 END) FROM sc a, sc b WHERE a.label = 1 AND b.label = 0) / (sum(label) * sum(1 - label)) AS auc FROM sc""")
-def class_auc(spark: SparkSession, sf: str) -> DataFrame:
-    return M.roc_auc(_scored(spark, sf).select(F.col("sim").alias("score"), "label"))
+@query(f"""WITH {_NAMES}, c AS (SELECT run_id, sim, sum(label) AS p, count(*) AS n FROM sim WHERE sim > 0 OR label = 1 GROUP BY ALL), w AS (SELECT run_id, p, sum(p) OVER (PARTITION BY run_id ORDER BY sim DESC) AS hits, sum(n) OVER (PARTITION BY run_id ORDER BY sim DESC) AS seen FROM c)
+  SELECT run_id, sum(p * hits / seen) / nullif(sum(p), 0) AS average_precision FROM w GROUP BY run_id""")
+def class_average_precision(spark: SparkSession, sf: str) -> DataFrame:
+    names, first = _runs(spark, sf)
+    return M.average_precision(M.run_pairs(names, first).select("run_id", F.col("sim").alias("score"), "label"))
 
 
-@query(f"""WITH {_NAMES}, {_LABEL}, rk AS (SELECT *, row_number() OVER (PARTITION BY reference ORDER BY sim DESC, induced) AS rank FROM sc), b AS (SELECT reference, min(rank) AS rank FROM rk WHERE label = 1 GROUP BY reference)
-  SELECT count(*) AS "references", avg(1.0 / rank) AS mrr, avg(CAST(rank = 1 AS DOUBLE)) AS recall_at_1, avg(CAST(rank <= 3 AS DOUBLE)) AS recall_at_3 FROM b""")
+@query(f"""WITH {_NAMES}, rk AS (SELECT *, row_number() OVER (PARTITION BY run_id, reference ORDER BY sim DESC, induced) AS rank FROM sim WHERE sim > 0 OR label = 1), b AS (SELECT run_id, reference, min(rank) FILTER (sim > 0) AS rank FROM rk WHERE label = 1 GROUP BY run_id, reference)
+  SELECT run_id, count(*) AS "references", avg(coalesce(1.0 / rank, 0)) AS mrr, avg(coalesce(CAST(rank = 1 AS DOUBLE), 0)) AS recall_at_1, avg(coalesce(CAST(rank <= 3 AS DOUBLE), 0)) AS recall_at_3 FROM b GROUP BY run_id""")
 def class_retrieval(spark: SparkSession, sf: str) -> DataFrame:
-    return M.retrieval(_scored(spark, sf))
+    return M.retrieval(M.run_pairs(*_runs(spark, sf)))
 
 
-@query(f"WITH {_NAMES}, {_LABEL} SELECT reference, rank, induced, sim FROM (SELECT *, row_number() OVER (PARTITION BY reference ORDER BY sim DESC, induced) AS rank FROM sc) WHERE rank <= 3")
+@query(f"WITH {_NAMES} SELECT run_id, reference, rank, induced, sim FROM (SELECT *, row_number() OVER (PARTITION BY run_id, reference ORDER BY sim DESC, induced) AS rank FROM sim WHERE sim > 0) WHERE rank <= 3")
 def class_confusion(spark: SparkSession, sf: str) -> DataFrame:
-    return M.top_matches(_scored(spark, sf).drop("label"))
+    return M.top_matches(M.run_pairs(*_runs(spark, sf)))
 
 
-def _run_edges(spark: SparkSession, sf: str, run: str) -> DataFrame:
-    return table(spark, sf, "taxonomy_nodes").where((F.col("run_id") == run) & (F.trim("parent") != "")).select(F.col("name").alias("child"), F.trim("parent").alias("parent")).distinct()
+def _parent_edges(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = table(spark, sf, "taxonomy_nodes").where("run_id is not null and name is not null and trim(parent) <> ''")
+    return nodes.select("run_id", F.col("name").alias("child"), F.trim("parent").alias("parent")).distinct()
 
 
-_RUNEDGES = "ie AS (SELECT DISTINCT name AS child, trim(parent, ' ') AS parent FROM taxonomy_nodes WHERE run_id = (SELECT r FROM first_) AND trim(parent, ' ') <> ''), re AS (SELECT DISTINCT name AS child, trim(parent, ' ') AS parent FROM taxonomy_nodes WHERE run_id IN (SELECT run_id FROM nm WHERE run_id <> (SELECT r FROM first_)) AND trim(parent, ' ') <> ''), s AS (SELECT * FROM sim WHERE sim > 0.436)"
+_RUNEDGES = """ed AS (SELECT DISTINCT run_id, name AS child, trim(parent, ' ') AS parent FROM taxonomy_nodes WHERE run_id IS NOT NULL AND name IS NOT NULL AND trim(parent, ' ') <> ''),
+  ie AS (SELECT child, parent FROM ed WHERE run_id = (SELECT r FROM f)), re AS (SELECT * FROM ed WHERE run_id <> (SELECT r FROM f)), s AS (SELECT * FROM sim WHERE sim > 0.436)"""
 
 
-@query(f"""WITH {_NAMES}, {_RUNEDGES}, h AS (SELECT ie.child AS c, ie.parent AS p, re.child AS rc, re.parent AS rp FROM ie, re WHERE EXISTS (SELECT 1 FROM s WHERE induced = ie.child AND reference = re.child) AND EXISTS (SELECT 1 FROM s WHERE induced = ie.parent AND reference = re.parent)),
-  m AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT c, p FROM h)) * 1.0 / (SELECT count(*) FROM ie) AS p, (SELECT count(*) FROM (SELECT DISTINCT rc, rp FROM h)) * 1.0 / (SELECT count(*) FROM re) AS r)
-  SELECT p AS precision, r AS recall, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FROM m""")
+@query(f"""WITH {_NAMES}, {_RUNEDGES}, h AS (SELECT re.run_id, ie.child AS c, ie.parent AS p, re.child AS rc, re.parent AS rp FROM s x JOIN ie ON ie.child = x.induced JOIN re ON re.run_id = x.run_id AND re.child = x.reference JOIN s y ON y.run_id = re.run_id AND y.induced = ie.parent AND y.reference = re.parent),
+  m AS (SELECT run_id, count(DISTINCT (c, p)) AS mi, count(DISTINCT (rc, rp)) AS mr FROM h GROUP BY run_id), n AS (SELECT run_id, count(*) AS nr FROM re GROUP BY run_id),
+  v AS (SELECT run_id, coalesce(mi, 0) * 1.0 / (SELECT count(*) FROM ie) AS p, coalesce(mr, 0) * 1.0 / nr AS r FROM n LEFT JOIN m USING (run_id))
+  SELECT run_id, p AS precision, r AS recall, {_F1} FROM v""")
 def fuzzy_f1(spark: SparkSession, sf: str) -> DataFrame:
-    _, _, a, b = _names(spark, sf)
-    return M.edge_f1(_run_edges(spark, sf, a), _run_edges(spark, sf, b), _similarity(spark, sf))
-
-
-# The queries above compare two runs, as their SQL has it; those below compare the first run with every other one.
-_P_R_F = "precision double, recall double, f1 double"
-
-
-@query()
-def bertscore_alignment_all(spark: SparkSession, sf: str) -> DataFrame:
-    return M.against_first(table(spark, sf, "taxonomy_nodes"), M.alignment_of, _P_R_F)
-
-
-@query()
-def class_auc_all(spark: SparkSession, sf: str) -> DataFrame:
-    return M.against_first(table(spark, sf, "taxonomy_nodes"), M.auc_of, "positives long, negatives long, auc double")
-
-
-@query()
-def class_retrieval_all(spark: SparkSession, sf: str) -> DataFrame:
-    return M.against_first(table(spark, sf, "taxonomy_nodes"), M.retrieval_of, "`references` long, mrr double, recall_at_1 double, recall_at_3 double")
-
-
-@query()
-def class_confusion_all(spark: SparkSession, sf: str) -> DataFrame:
-    return M.against_first(table(spark, sf, "taxonomy_nodes"), M.top_of, "reference string, rank int, induced string, sim double")
-
-
-@query()
-def fuzzy_f1_all(spark: SparkSession, sf: str) -> DataFrame:
-    return M.against_first(table(spark, sf, "taxonomy_nodes"), M.edge_f1_of, _P_R_F)
+    (names, first), links = _runs(spark, sf), _parent_edges(spark, sf)
+    return M.edge_f1(links.where(F.col("run_id") == first), links.where(F.col("run_id") != first), M.run_pairs(names, first))
 
 
 @query()
 def continuous_f1(spark: SparkSession, sf: str) -> DataFrame:
-    return M.against_first(table(spark, sf, "taxonomy_nodes"), M.continuous_f1_of, _P_R_F)
+    return M.against_first(table(spark, sf, "taxonomy_nodes"), M.continuous_f1_of, "precision double, recall double, f1 double")
 
 
 @query(f"""WITH {BASE}, z AS (SELECT class, count(*) AS n FROM asg GROUP BY class), t AS (SELECT CAST(sum(n) AS BIGINT) AS entities, CAST(sum(n) FILTER (class <> 'Other') AS BIGINT) AS labeled, count(*) FILTER (class <> 'Other') AS n_classes FROM z)
@@ -168,26 +140,15 @@ def class_coherence(spark: SparkSession, sf: str) -> DataFrame:
     return M.coherence(rows).withColumn("coherence", F.round("coherence", 6))
 
 
-@query(f"""WITH {_VEC}, u AS (SELECT id, entity_type, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM vec WHERE entity_type IS NOT NULL), b AS (SELECT a.id AS entity, max(list_dot_product(a.v, c.v)) AS sim FROM u a JOIN u c ON c.id <= 20 AND a.id > 20 GROUP BY a.id)
-  SELECT count(*) FILTER (sim >= 0.58) AS "full", count(*) FILTER (sim >= 0.42 AND sim < 0.58) AS half, count(*) FILTER (sim < 0.42) AS none, avg(CASE WHEN sim >= 0.58 THEN 1.0 WHEN sim >= 0.42 THEN 0.5 ELSE 0 END) AS score FROM b""")
-def entity_assignment(spark: SparkSession, sf: str) -> DataFrame:
-    # The first twenty vectors stand for the reference classes, a vocabulary of fixed size.
-    u = unit_vectors(spark, sf).where("entity_type is not null")
-    classes = F.broadcast(u.where("id <= 20").select(F.col("id").alias("class_of"), F.col("v").alias("w")))
-    dot = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    return M.member_assignment(u.where("id > 20").join(classes, F.col("id") > F.col("class_of")).select(F.col("id").alias("entity"), "class_of", dot.alias("sim")))
-
-
 @query(f"""WITH {_VEC}, u AS (SELECT id, entity_type, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM vec),
   s AS (SELECT class_of, k, sum(x) AS s FROM (SELECT entity_type AS class_of, generate_subscripts(v, 1) AS k, unnest(v) AS x FROM u WHERE entity_type IS NOT NULL) GROUP BY class_of, k), c AS (SELECT class_of, list(s ORDER BY k) AS w FROM s GROUP BY class_of),
   b AS (SELECT u.id AS entity, max(list_cosine_similarity(u.v, c.w)) AS sim FROM u, c GROUP BY u.id)
   SELECT count(*) FILTER (sim >= 0.58) AS "full", count(*) FILTER (sim >= 0.42 AND sim < 0.58) AS half, count(*) FILTER (sim < 0.42) AS none, avg(CASE WHEN sim >= 0.58 THEN 1.0 WHEN sim >= 0.42 THEN 0.5 ELSE 0 END) AS score FROM b""")
-def entity_assignment_all(spark: SparkSession, sf: str) -> DataFrame:
+def entity_assignment(spark: SparkSession, sf: str) -> DataFrame:
     # A reference class is an entity type's mean direction over all its vectors; every usable vector is scored.
     u = unit_vectors(spark, sf)
-    classes = bounded_broadcast(M.centroids(u.where("entity_type is not null").select(F.col("entity_type").alias("class_of"), "v")).withColumnRenamed("v", "w"))
-    dot = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    return M.member_assignment(u.crossJoin(classes).select(F.col("id").alias("entity"), "class_of", dot.alias("sim")))
+    classes = M.centroids(u.where("entity_type is not null").select(F.col("entity_type").alias("class_of"), "v"))
+    return M.member_assignment(M.best_centroid(u, classes))
 
 
 @query("SELECT metric, run, value, value - (SELECT value FROM (SELECT split_method AS run, avg(split_score) AS value FROM taxonomy_nodes WHERE split_method <> '' GROUP BY 1) WHERE run = 'macro') AS delta FROM (SELECT 'mean_split_score' AS metric, split_method AS run, avg(split_score) AS value FROM taxonomy_nodes WHERE split_method <> '' GROUP BY 2)")

@@ -109,34 +109,22 @@ def taxonomy_subsumption(spark: SparkSession, sf: str) -> DataFrame:
     return O.subsumption_candidates(O.defining_relations(edges(spark, sf), assignments(spark, sf)))
 
 
-_VOTES = "votes AS (SELECT lower(trim(child)) AS child, lower(trim(parent)) AS parent, source, trusted FROM class_hierarchy WHERE run_id = (SELECT min(run_id) FROM class_hierarchy))"
-_CONS = "cons AS (SELECT child, parent, bool_or(coalesce(trusted, false)) AS trusted, count(DISTINCT CASE WHEN NOT coalesce(trusted, false) THEN coalesce(source, 'none') END) AS weak FROM votes WHERE child <> parent GROUP BY child, parent HAVING bool_or(coalesce(trusted, false)) OR count(DISTINCT CASE WHEN NOT coalesce(trusted, false) THEN coalesce(source, 'none') END) >= 2)"
-
-
-def _votes(spark: SparkSession, sf: str) -> DataFrame:
-    # One run, as the SQL has it; consensus_edges_all covers every run.
-    rows = table(spark, sf, "class_hierarchy")
-    first = F.broadcast(rows.agg(F.min("run_id").alias("run_id")))
-    return rows.join(first, "run_id").select(F.lower(F.trim("child")).alias("child"), F.lower(F.trim("parent")).alias("parent"), "source", "trusted")
-
-
-@query(f"WITH {_VOTES}, {_CONS} SELECT * FROM cons")
-def consensus_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return O.consensus(_votes(spark, sf))
+_VOTES = "votes AS (SELECT run_id, edge_id AS seq, lower(trim(child, ' ')) AS child, lower(trim(parent, ' ')) AS parent, source, trusted FROM class_hierarchy)"
+_CONS = "cons AS (SELECT run_id, child, parent, bool_or(coalesce(trusted, false)) AS trusted, count(DISTINCT CASE WHEN NOT coalesce(trusted, false) THEN coalesce(source, 'none') END) AS weak FROM votes WHERE child <> parent GROUP BY ALL HAVING bool_or(coalesce(trusted, false)) OR count(DISTINCT CASE WHEN NOT coalesce(trusted, false) THEN coalesce(source, 'none') END) >= 2)"
 
 
 def _run_votes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "class_hierarchy").select("run_id", F.col("edge_id").alias("seq"), F.lower(F.trim("child")).alias("child"), F.lower(F.trim("parent")).alias("parent"), "source", "trusted")
 
 
-@query()
-def consensus_edges_all(spark: SparkSession, sf: str) -> DataFrame:
+@query(f"WITH {_VOTES}, {_CONS} SELECT * FROM cons")
+def consensus_edges(spark: SparkSession, sf: str) -> DataFrame:
     return O.consensus(_run_votes(spark, sf), ("run_id",))
 
 
 @query()
 def hierarchy_tree(spark: SparkSession, sf: str) -> DataFrame:
-    return O.enforce_tree(consensus_edges_all(spark, sf), keys=("run_id",))
+    return O.enforce_tree(consensus_edges(spark, sf), keys=("run_id",))
 
 
 @query()

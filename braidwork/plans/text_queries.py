@@ -37,15 +37,9 @@ def strip_noise(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "hybrid_chunks").select("chunk_id", T.strip_noise(F.col("content"), HEADER).alias("clean"))
 
 
-@query(r"SELECT chunk_id, array_to_string(list_sort(list_distinct(regexp_extract_all(content, '\b(\d{4}|[\p{L}\p{N}_]+ \d{4})\b', 1))), '|') AS markers FROM hybrid_chunks WHERE source NOT LIKE '%x%' AND NOT regexp_matches(content, '[^\x00-\x7f]')")
-def temporal_markers(spark: SparkSession, sf: str) -> DataFrame:
-    plain = table(spark, sf, "hybrid_chunks").where("source not like '%x%'").where(~F.col("content").rlike(r"[^\x00-\x7f]"))
-    return plain.select("chunk_id", F.array_join(F.array_sort(T.temporal_markers(F.col("content"))), "|").alias("markers"))
-
-
 @query()
-def temporal_markers_all(spark: SparkSession, sf: str) -> DataFrame:
-    # Every chunk; DuckDB's word borders and digits are ASCII, so no SQL says this for all texts.
+def temporal_markers(spark: SparkSession, sf: str) -> DataFrame:
+    # DuckDB's word borders and digits are ASCII, so no SQL says this for all texts.
     return table(spark, sf, "hybrid_chunks").select("chunk_id", F.array_join(F.array_sort(T.temporal_markers(F.col("content"))), "|").alias("markers"))
 
 

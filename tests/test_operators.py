@@ -299,11 +299,12 @@ def test_communities_and_splits(spark):
 def test_matching_metrics(spark):
     sim = np.array([[0.9, 0.1, 0.2], [0.8, 0.7, 0.1], [0.1, 0.6, 0.5]])
     assert M.assignment(-sim) == [(0, 0), (1, 1), (2, 2)]
-    rows = spark.createDataFrame([(f"i{i}", f"r{j}", float(sim[i, j])) for i in range(3) for j in range(3)], "induced string, reference string, sim double")
-    a = M.alignment(rows).first()
-    assert a["precision"] == pytest.approx((0.9 + 0.8 + 0.6) / 3) and a["recall"] == pytest.approx((0.9 + 0.7 + 0.5) / 3)
-    auc = M.roc_auc(spark.createDataFrame([(0.9, 1), (0.5, 1), (0.5, 0), (0.1, 0)], "score double, label int")).first()["auc"]
-    assert auc == pytest.approx(3.5 / 4) and M.roc_auc(spark.createDataFrame([(0.9, 1)], "score double, label int")).first()["auc"] is None
+    rows = spark.createDataFrame([("x", f"i{i}", f"r{j}", float(sim[i, j])) for i in range(3) for j in range(3)], "run_id string, induced string, reference string, sim double")
+    a = M.alignment(rows, spark.createDataFrame([("x", 3, 3), ("y", 3, 2)], "run_id string, n_induced int, n_reference int")).orderBy("run_id").collect()
+    assert a[0]["precision"] == pytest.approx((0.9 + 0.8 + 0.6) / 3) and a[0]["recall"] == pytest.approx((0.9 + 0.7 + 0.5) / 3) and a[1]["f1"] == 0
+    scores = spark.createDataFrame([("x", 0.9, 1), ("x", 0.5, 1), ("x", 0.5, 0), ("x", 0.1, 0), ("y", 0.9, 1)], "run_id string, score double, label int")
+    assert {r["run_id"]: r["auc"] for r in M.roc_auc(scores).collect()} == {"x": pytest.approx(3.5 / 4), "y": None}
+    assert {r["run_id"]: r["average_precision"] for r in M.average_precision(scores).collect()} == {"x": pytest.approx((1 + 2 / 3) / 2), "y": 1.0}
     assert M.depth_similarity(sim, [0, 1, 2], [0, 1, 1]) == pytest.approx((1 + 1 + 4 / 5) / 3)
     v = {k: np.eye(3)[i] for i, k in enumerate("abc")}
     assert M.graph_f1(v, v, [("a", "b")], [("a", "b")])[2] == pytest.approx(1)

@@ -29,7 +29,7 @@ def test_temporal_markers_as_python(spark):
 def test_temporal_markers_of_every_chunk(spark):
     rows = spark.read.parquet(f"{SMALL}/hybrid_chunks.parquet").select("chunk_id", "content").collect()
     want = sorted((r["chunk_id"] or "", "" if r["content"] is None else "|".join(sorted(set(MARKER.findall(r["content"]))))) for r in rows)
-    assert sorted((r["chunk_id"] or "", r["markers"] or "") for r in text_queries.temporal_markers_all(spark, SMALL).collect()) == want
+    assert sorted((r["chunk_id"] or "", r["markers"] or "") for r in text_queries.temporal_markers(spark, SMALL).collect()) == want
 
 
 def test_parts_of_a_text():
@@ -80,11 +80,11 @@ def test_votes_of_each_run(spark):
 
 
 @tables
-@pytest.mark.parametrize("name", ["consensus_edges_all", "hierarchy_tree", "acyclic_edges"])
+@pytest.mark.parametrize("name", ["consensus_edges", "hierarchy_tree", "acyclic_edges"])
 def test_every_run_as_if_alone(spark, name):
     rows = spark.read.parquet(f"{SMALL}/class_hierarchy.parquet")
     votes = rows.select("run_id", F.col("edge_id").alias("seq"), F.lower(F.trim("child")).alias("child"), F.lower(F.trim("parent")).alias("parent"), "source", "trusted")
-    alone = {"consensus_edges_all": O.consensus, "hierarchy_tree": lambda v: O.enforce_tree(O.consensus(v)), "acyclic_edges": lambda v: O.acyclic_first(v.where("child is not null and parent is not null"))}[name]
+    alone = {"consensus_edges": O.consensus, "hierarchy_tree": lambda v: O.enforce_tree(O.consensus(v)), "acyclic_edges": lambda v: O.acyclic_first(v.where("child is not null and parent is not null"))}[name]
     runs = [r[0] for r in rows.select("run_id").distinct().collect()]
     want = {(run, r["child"], r["parent"]) for run in runs for r in alone(votes.where(F.col("run_id") == run)).collect()}
     got = [(r["run_id"], r["child"], r["parent"]) for r in ontology_queries.QUERIES[name](spark, SMALL).collect()]
@@ -104,40 +104,35 @@ def test_entities_of_every_type(spark, tmp_path):
     # 24 types, whose vectors beyond the first twenty have directions of their own, and one vector without a type.
     rows = [(i, f"t{i % 24}", v(i % 24)) for i in range(1, 97)] + [(97, None, v(3)), (98, None, v(40))]
     spark.createDataFrame(rows, "vec_id long, entity_type string, embs array<float>").write.parquet(f"{tmp_path}/entity_embeddings.parquet")
-    assert metric_queries.entity_assignment_all(spark, str(tmp_path)).first().asDict() == {"full": 97, "half": 0, "none": 1, "score": pytest.approx(97 / 98)}
-    assert metric_queries.entity_assignment(spark, str(tmp_path)).first()["none"] > 0
+    assert metric_queries.entity_assignment(spark, str(tmp_path)).first().asDict() == {"full": 97, "half": 0, "none": 1, "score": pytest.approx(97 / 98)}
 
 
-PAIRS = {"bertscore_alignment_all": "bertscore_alignment", "class_auc_all": "class_auc", "class_retrieval_all": "class_retrieval", "class_confusion_all": "class_confusion", "fuzzy_f1_all": "fuzzy_f1"}
+def run_rows(spark):
+    return spark.createDataFrame([("a", "FloodForm", "Flood"), ("b", "Garage", None), ("c", "FloodForm", "Flood"), ("c", "Flood", ""), ("c", None, "x"), (None, "Flood", "x")], "run_id string, name string, parent string")
 
 
-def shown(rows):
-    return sorted(tuple(round(x, 7) if isinstance(x, float) else x for x in r) for r in rows)
+def test_runs_without_a_common_word(spark):
+    nodes = run_rows(spark)
+    names = M.class_names(nodes)
+    pairs, sizes = M.run_pairs(names, "a"), M.run_sizes(names, "a")
+    got = {r["run_id"]: r for r in M.alignment(pairs, sizes).collect()}
+    assert set(got) == {"b", "c"} and got["b"]["f1"] == 0 and got["c"]["precision"] == pytest.approx(1) and got["c"]["recall"] == pytest.approx((1 + 2**-0.5) / 2)
+    scores = pairs.select("run_id", F.col("sim").alias("score"), "label")
+    auc = {r["run_id"]: r["auc"] for r in M.roc_auc(scores, metric_queries._zeros(pairs, sizes)).collect()}
+    assert auc == {"b": None, "c": 1.0}
+    assert {r["run_id"]: r["average_precision"] for r in M.average_precision(scores).collect()} == {"c": 1.0}
+    assert {r["run_id"]: r["f1"] for r in M.against_first(nodes, M.continuous_f1_of, "precision double, recall double, f1 double").collect()} == {"b": 0.0, "c": 0.0}
 
 
 @tables
-def test_every_run_against_the_first(spark, tmp_path):
-    nodes = spark.read.parquet(f"{SMALL}/taxonomy_nodes.parquet").select("run_id", "name", "parent").cache()
-    first, *others = sorted(r[0] for r in nodes.select("run_id").distinct().collect())
-    assert len(others) > 1
-    whole = {q: [tuple(r) for r in metric_queries.QUERIES[q](spark, SMALL).collect()] for q in [*PAIRS, "continuous_f1"]}
-    for run in others:
-        # The queries over two runs, which are compared with SQL, over a table of these two.
-        sf = f"{tmp_path}/{run}"
-        nodes.where(F.col("run_id").isin(first, run)).write.parquet(f"{sf}/taxonomy_nodes.parquet")
-        for q, two in PAIRS.items():
-            assert shown(r[1:] for r in whole[q] if r[0] == run) == shown(tuple(r) for r in metric_queries.QUERIES[two](spark, sf).collect()), (q, run)
-        want = M.continuous_f1(metric_queries._run_edges(spark, sf, first), metric_queries._run_edges(spark, sf, run), metric_queries._similarity(spark, sf))
-        assert shown(r[1:] for r in whole["continuous_f1"] if r[0] == run) == shown([want])
-
-
-def test_runs_without_a_common_word(spark):
-    nodes = spark.createDataFrame([("a", "FloodForm", "Flood"), ("b", "Garage", None), ("c", "FloodForm", "Flood"), ("c", "Flood", "")], "run_id string, name string, parent string")
-    got = {r["run_id"]: r for r in M.against_first(nodes, M.alignment_of, "p double, r double, f1 double").collect()}
-    assert set(got) == {"b", "c"} and got["b"]["f1"] == 0 and got["c"]["p"] == pytest.approx(1)
-    auc = {r["run_id"]: r["auc"] for r in M.against_first(nodes, M.auc_of, "positives long, negatives long, auc double").collect()}
-    assert auc == {"b": None, "c": 1.0}
-    assert {r["run_id"]: r["r"] for r in M.against_first(nodes, M.continuous_f1_of, "p double, r double, f1 double").collect()} == {"b": 0.0, "c": 0.0}
+def test_continuous_f1_by_all_matchings(spark):
+    import itertools
+
+    a, b = M.Run([("FloodForm", "Flood"), ("FloodZone", "Zone"), ("Zone", None)]), M.Run([("FormZone", "Zone"), ("Zone", ""), ("FloodForm", "Form"), ("Flood", "Zone")])
+    m = [[min(*x) for x in zip(c, p)] for c, p in zip(*(y.tolist() for y in M._end_similarity(a, b)))]
+    best = max(sum(m[i][j] for i, j in enumerate(order)) for order in itertools.permutations(range(len(m[0])), len(m)))
+    p, r, _ = M.continuous_f1_of(a, b)[0]
+    assert p * len(m) == pytest.approx(best) and r * len(m[0]) == pytest.approx(best)
 
 
 @tables
