@@ -106,7 +106,8 @@ def unit_vectors(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "entity_embeddings").where("size(embs) = 64").where(F.forall("embs", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embs", lambda x: x != 0))
     v = F.transform("embs", lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return e.select(F.col("vec_id").alias("id"), F.transform(v, lambda x: F.try_divide(x, norm)).alias("v"), "entity_type")
+    # The norm is an array of its own: inside a lambda it would be computed once for every number.
+    return e.select(F.col("vec_id").alias("id"), F.zip_with(v, F.array_repeat(norm, 64), F.try_divide).alias("v"), "entity_type")
 
 
 _VEC = "vec AS (SELECT vec_id AS id, entity_type, CAST(embs AS DOUBLE[]) AS v FROM entity_embeddings WHERE len(embs) = 64 AND len(list_filter(embs, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embs, lambda x: x <> 0)) > 0)"
