@@ -2,23 +2,25 @@
 
 Sentences become normalised TF-IDF vectors of hashed character n-grams and are compared by cosine with several clustered
 centroids per language; a sentence far from all of them is rejected. Sentences of one language join into stretches.
-The centroids are fitted on the driver from a bounded sample of labelled documents, whose labels may be partly wrong; the
-whole text of every document is then read in Arrow batches, each on its own.
+The languages are those that the labels of the documents name, in any notation of the Java locale data, and that have text
+of their own. The centroids are fitted on the driver from a bounded sample of labelled documents, whose labels may be
+partly wrong; the whole text of every document is then read in Arrow batches, each on its own.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Documents per label, characters per document and sentences per language that the centroids are fitted on.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SENTENCES = 400, 4000, 1200
+#: Documents per label and of all labels, characters per document and sentences per language that the centroids are fitted on.
+SAMPLE_DOCS, SAMPLE_TOTAL, SAMPLE_CHARS, SAMPLE_SENTENCES = 400, 8000, (80, 4000), 1200
 #: Hash buckets of n-grams, lengths of n-grams, centroids per language.
 BUCKETS, ORDERS, CENTROIDS = 1 << 14, (2, 3), 4
 #: Words that a stretch has at least; sentences longer than LONG words are cut for scoring.
@@ -29,37 +31,69 @@ REJECT = 0.45
 SWITCH = 1.2
 #: Characters scored at a time.
 BLOCK = 400_000
-#: Codes and names by which a label may name a language, by its two-letter code.
-NOTATIONS = {
-    "de": ("de", "deu", "ger", "german", "deutsch"),
-    "en": ("en", "eng", "english"),
-    "es": ("es", "spa", "spanish", "español", "espanol", "castellano"),
-    "fr": ("fr", "fra", "fre", "french", "français", "francais"),
-    "it": ("it", "ita", "italian", "italiano"),
-    "nl": ("nl", "nld", "dut", "dutch", "nederlands"),
-    "pl": ("pl", "pol", "polish", "polski"),
-    "pt": ("pt", "por", "portuguese", "português", "portugues"),
-}
-_CODE = {name: code for code, names in NOTATIONS.items() for name in names}
-_SENTENCE = re.compile(r"(?<=[.!?…])[\"'”»)\]]*\s+|[\r\n]+")
+#: Cosine from which the means of two labels are of one language, which then is the label with more documents.
+SAME = 0.97
+#: Further names of languages, beside codes, English and own names.
+ALIASES = {"ger": "de", "fre": "fr", "dut": "nl", "castellano": "es", "espanol": "es", "francais": "fr", "portugues": "pt"}
+_SENTENCE = re.compile(r"(?<=[.!?…])[\"'”»)\]]*\s+")
+_LINE = re.compile(r"[^\r\n]*\S[^\r\n]*")
 _NO_LETTER = re.compile(r"[\W\d_]+")
-#: A line of labelled fields, or the head of a record or table, is no running text.
-_FIELDS = re.compile(r"^\s*(?:RECORD:|TABLE:|DATASET|---+\s*$|\[[^\]]{1,40}\]\s*[^|:]{1,60}:|[^|:]{1,60}:[^|]*\|[^|]*:|[^|]*\|[^|]*\|)")
+#: A label at the start of a cell, one behind a tag, and a line that is a label only.
+_LABEL = re.compile(r"\s*(?:\[[^\]]{1,40}\]\s*)?[^:]{1,60}:")
+_TAGGED = re.compile(r"\s*\[[^\]]{1,40}\]\s*[^|:]{1,60}:")
+_HEADING = re.compile(r"[^:]{1,60}:\s*\Z")
+_WORD, _ENDED = re.compile(r"[^\W\d_]{2,}"), re.compile(r"[^\W\d_]{2}[.!?…][\"'”»)\]]*\s*\Z")
+#: Words that the value of a tagged label has at least to be running text; a cell between bars needs STRETCH_WORDS.
+FIELD_WORDS = 4
+
+
+def notations(spark: SparkSession) -> dict[str, str]:
+    """Two-letter code by every lower-case code, English name and own name of a language, with ALIASES."""
+    locale = spark.sparkContext._jvm.java.util.Locale
+    english, out = locale.forLanguageTag("en"), {}
+    for code in sorted(locale.getISOLanguages()):
+        if len(code) == 2:
+            own = locale.forLanguageTag(code)
+            for name in (own.getISO3Language(), own.getDisplayLanguage(english), own.getDisplayLanguage(own)):
+                out.setdefault(name.lower(), code)
+    return {**out, **{c: c for c in set(out.values())}, **ALIASES}
+
+
+def label_code(c: Column, names: dict[str, str]) -> Column:
+    """Two-letter code that a label names in any of ``names``, with or without a region; null if it names none."""
+    head = F.split(F.lower(F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")), "[-_]")[0]
+    return F.element_at(F.from_json(F.lit(json.dumps(names, sort_keys=True)), "map<string,string>"), head)
 
 
-def label_code(c: Column) -> Column:
-    """Two-letter code that a label names in any notation of NOTATIONS, with or without a region; null if it names none."""
-    head = F.split(F.lower(F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")), "[-_]")[0]
-    out = F.lit(None).cast("string")
-    for code, names in NOTATIONS.items():
-        out = F.when(head.isin(*names), F.lit(code)).otherwise(out)
+def _prose(value: str, words: int) -> bool:
+    return bool(_ENDED.search(value)) or len(_WORD.findall(value)) >= words
+
+
+def running(line: str) -> list[tuple[int, int]]:
+    """Spans of the running text in a line. Short values behind a tagged label or between bars are fields, as are bare marks.
+
+    A value is running text if it ends like a sentence or has FIELD_WORDS words, between bars STRETCH_WORDS, since fewer
+    make no stretch. All other lines are running text as a whole.
+    """
+    if "|" not in line:
+        m = _TAGGED.match(line)
+        keep = _prose(line[m.end() :], FIELD_WORDS) if m else any(x.isalnum() for x in line)
+        return [(0, len(line))] if keep else []
+    out, at = [], 0
+    for cell in line.split("|"):
+        m = _LABEL.match(cell)
+        if _prose(cell[m.end() if m else 0 :], STRETCH_WORDS):
+            out.append((at, at + len(cell)))
+        at += len(cell) + 1
     return out
 
 
 def sentences(text: str) -> tuple[list[tuple[int, int]], list[int]]:
-    """Spans of the sentences of the running text, and their numbers of words. Long ones are cut."""
-    spans, words, at = [], [], 0
-    line_end, fields = -1, False
+    """Spans of the sentences of the running text, and their numbers of words. Long ones are cut.
+
+    A line that is a label only belongs to the line after it and is left out where that one has fields only.
+    """
+    spans, words = [], []
 
     def add(a: int, b: int) -> None:
         found = [m.span() for m in re.finditer(r"\S+", text[a:b])]
@@ -69,16 +103,20 @@ def sentences(text: str) -> tuple[list[tuple[int, int]], list[int]]:
                 spans.append((a + part[0][0], a + part[-1][1]))
                 words.append(len(part))
 
-    for m in [*_SENTENCE.finditer(text), None]:
-        end = m.start() if m else len(text)
-        if end > at or m is None:
-            if at > line_end:
-                nl = text.find("\n", at)
-                line_end = nl if nl >= 0 else len(text)
-                fields = bool(_FIELDS.match(text[at : min(line_end, at + 400)]))
-            if not fields:
-                add(at, end)
-        at = m.end() if m else end
+    fields_follow = False
+    kept = []
+    for m in reversed(list(_LINE.finditer(text))):
+        found = running(m[0])
+        heading = bool(found) and bool(_HEADING.match(m[0]))
+        if not (heading and fields_follow):
+            kept += [(m.start() + a, m.start() + b) for a, b in reversed(found)]
+            fields_follow = not found
+    for a, b in reversed(kept):
+        at = a
+        for m in _SENTENCE.finditer(text, a, b):
+            add(at, m.start())
+            at = m.end()
+        add(at, b)
     return spans, words
 
 
@@ -146,13 +184,14 @@ def _dense(s: np.ndarray, k: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
 def fit(labelled: list[tuple[str, str]], seed: int = 0) -> Model:
     """Centroids from (text, code) pairs. Sentences that another language's mean claims are left out before clustering.
 
-    Languages with fewer than three sentences left are dropped. Without any, the model has no language.
+    Languages with fewer than three sentences left are dropped, and so is a label whose mean has a cosine of SAME with that
+    of a label with more sentences: its documents are of that language. Without any, the model has no language.
     """
     by: dict[str, list[str]] = {}
     for text, code in labelled:
         spans, words = sentences(text)
         by.setdefault(code, []).extend(text[a:b] for (a, b), w in zip(spans, words) if w >= 6)
-    rng = np.random.default_rng(seed)
+    rng, total = np.random.default_rng(seed), {c: len(p) for c, p in by.items()}
     for code, parts in by.items():
         if len(parts) > SAMPLE_SENTENCES:
             by[code] = [parts[i] for i in sorted(rng.choice(len(parts), SAMPLE_SENTENCES, replace=False))]
@@ -170,6 +209,12 @@ def fit(labelled: list[tuple[str, str]], seed: int = 0) -> Model:
         return m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-9)
 
     means = unit(np.stack([np.bincount(vectors[c][1], weights=vectors[c][2], minlength=BUCKETS) for c in languages]).astype(np.float32))
+    order = sorted(range(len(languages)), key=lambda i: (-total[languages[i]], languages[i]))
+    alike, own = means @ means.T, []
+    for i in order:
+        if all(alike[i, j] < SAME for j in own):
+            own.append(i)
+    languages, means = [languages[i] for i in sorted(own)], means[sorted(own)]
     kept_languages, tables, reached = [], [], []
     for i, c in enumerate(languages):
         dense = _dense(*vectors[c], len(by[c]))
@@ -240,24 +285,30 @@ def stretches(scores: np.ndarray, words: list[int], floor: float) -> list[tuple[
 
 
 def sample_labelled(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """About SAMPLE_DOCS (text, code) pairs of each label by a hash of the id, none longer than SAMPLE_CHARS characters."""
-    usable = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), label_code(F.col(lang_col)).alias("code")).where("code is not null and length(text) between 80 and " + str(SAMPLE_CHARS))
+    """(text, code) pairs of documents of SAMPLE_CHARS characters, picked by a hash of the id.
+
+    About SAMPLE_DOCS of each label, and fewer where all labels together would have more than SAMPLE_TOTAL.
+    """
+    least, most = SAMPLE_CHARS
+    code = label_code(F.col(lang_col), notations(documents.sparkSession))
+    usable = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), code.alias("code")).where(F.col("code").isNotNull() & F.length("text").between(least, most))
     counts = {r["code"]: r["n"] for r in usable.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}
+    each = min(SAMPLE_DOCS, SAMPLE_TOTAL // max(1, len(counts)))
     chance = F.lit(0.0)
     for code, n in sorted(counts.items()):
-        chance = F.when(F.col("code") == code, F.lit(SAMPLE_DOCS / n)).otherwise(chance)
-    taken = usable.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) < chance * float(1 << 30)).limit(2 * SAMPLE_DOCS * len(NOTATIONS))
+        chance = F.when(F.col("code") == code, F.lit(each / n)).otherwise(chance)
+    taken = usable.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) < chance * float(1 << 30)).limit(2 * SAMPLE_TOTAL)
     return [(r["text"], r["code"]) for r in sorted(taken.collect(), key=lambda r: (r["code"], r["id"] if r["id"] is not None else -1))]
 
 
 def identify(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, seg_no, lang, confidence, start, end, words, segments, label, status: one row per stretch of every document.
+    """doc_id, seg_no, lang_no, lang, confidence, start, end, words, segments, label, status: a row per stretch of each document.
 
-    lang is "und" where all was rejected. status: short (fewer than STRETCH_WORDS words of running text, which may have no
+    lang is "und" where all was rejected; lang_no numbers the other stretches from 1, und has 0. status: short (fewer than STRETCH_WORDS words of running text, which may have no
     stretch at all: seg_no 0, lang null), mixed (several languages), missing (the label names none), wrong (another one),
     unknown (no language found) or right. Null and blank texts are short. Rows with a null id are left out. Columns not named here are ignored.
     """
-    schema = "doc_id long, seg_no int, lang string, confidence double, start long, end long, words int, segments int, label string, status string"
+    schema = "doc_id long, seg_no int, lang_no int, lang string, confidence double, start long, end long, words int, segments int, label string, status string"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -282,13 +333,15 @@ def identify(documents: DataFrame, model: Model, id_col: str = "doc_id", text_co
             segments = stretches(own, words, model.floor)
             total = sum(words)
             if not segments:
-                out.append((doc_id, 0, None, 0.0, 0, 0, 0, 0, label, "short"))
+                out.append((doc_id, 0, 0, None, 0.0, 0, 0, 0, 0, label, "short"))
                 continue
             named = {s[2] for s in segments if s[2] >= 0}
             status = "short" if total < STRETCH_WORDS else "mixed" if len(named) > 1 else "unknown" if not named else "missing" if label is None else "right" if model.languages[next(iter(named))] == label else "wrong"
+            named_no = 0
             for no, (a, b, which, sure) in enumerate(segments, 1):
-                out.append((doc_id, no, model.languages[which] if which >= 0 else "und", sure, spans[a][0], spans[b - 1][1], sum(words[a:b]), len(segments), label, status))
+                named_no += which >= 0
+                out.append((doc_id, no, named_no if which >= 0 else 0, model.languages[which] if which >= 0 else "und", sure, spans[a][0], spans[b - 1][1], sum(words[a:b]), len(segments), label, status))
         return out
 
-    texts = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), label_code(F.col(lang_col)).alias("code"))
+    texts = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), label_code(F.col(lang_col), notations(documents.sparkSession)).alias("code"))
     return texts.mapInPandas(read, schema)

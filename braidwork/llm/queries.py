@@ -81,7 +81,7 @@ def _languages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _languages(spark, sf).where("status in ('missing', 'wrong', 'mixed') and lang <> 'und'").select("doc_id", "seg_no", "lang")
+    return _languages(spark, sf).where("status in ('missing', 'wrong', 'mixed') and lang <> 'und'").select("doc_id", F.col("lang_no").alias("seg_no"), "lang")
 
 
 def p8_stretches(spark: SparkSession, sf: str) -> DataFrame:

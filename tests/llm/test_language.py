@@ -41,6 +41,37 @@ def test_statuses_and_stretches(spark, model):
     assert text[got[4][1]["start"] : got[4][1]["end"]] == de and all(0 < r["confidence"] <= 1 for r in got[4])
 
 
+SWEDISH = ["Vattnet kom in genom bakdörren och pumpen slutade fungera igen i går kväll.", "Observera att taket är begränsat om inte båda parter kommer överens skriftligen.", "Vi kunde inte hitta fakturan i akten så handläggaren skickar en ny kopia.", "Ingen har berättat för mig vad som händer med betalningen fast jag har ringt många gånger."]
+
+
+def test_a_language_learned_from_its_label(spark):
+    pairs = [(" ".join(p), c) for c, p in (SENTENCES | {"sv": SWEDISH}).items() for _ in range(3)]
+    mislabelled = [(" ".join(SENTENCES["en"]), "da")] * 2
+    model = L.fit(pairs + mislabelled)
+    assert model.languages == ["de", "en", "es", "sv"]
+    got = found(spark, model, [(1, " ".join(SWEDISH), "sv", None, None), (2, " ".join(SWEDISH), "Swedish", None, None), (3, " ".join(SENTENCES["en"]), "sv-SE", None, None), (4, " ".join(SENTENCES["en"]), "da", None, None)])
+    assert {k: v[0]["status"] for k, v in got.items()} == {1: "right", 2: "right", 3: "wrong", 4: "wrong"}
+
+
+def test_running_text_in_lines_with_labels_and_bars():
+    es = SENTENCES["es"]
+    chat = "\n".join(f"[10:0{i}] Maria Lopez: {s}" for i, s in enumerate(es))
+    assert sum(L.sentences(chat)[1]) == sum(len(line.split()) for line in chat.split("\n"))
+    prose = " ".join(SENTENCES["en"] * 10)
+    assert sum(L.sentences(f"[Note] Summary: {prose}")[1]) == len(prose.split()) + 2
+    assert sum(L.sentences(f"a | b | c and {prose}")[1]) == len(prose.split()) + 2
+    assert L.sentences("RECORD:\n[Policy] cost: 5 | city: Here\n---\n[Other] cost: 7") == ([], [])
+    spans, words = L.sentences("Hola:\n" + es[0] + "\n[Policy] cost: 5 | city: Here")
+    assert words == [1, len(es[0].split())] and L.sentences("") == ([], [])
+
+
+def test_numbers_of_stretches_without_gaps(spark, model):
+    noise = " ".join(["zqx vjk wqz xkq jvz qqk zzx vvj kkq xzq jjk wwq zxv qkz jqx zzq."] * 4)
+    got = found(spark, model, [(1, " ".join(SENTENCES["en"]) + "\n" + noise + "\n" + " ".join(SENTENCES["de"]), "en", None, None)])[1]
+    named = [r["lang_no"] for r in got if r["lang"] != "und"]
+    assert named == list(range(1, len(named) + 1)) and {r["lang"] for r in got} >= {"en", "de"}
+
+
 def test_rejection_and_no_model(spark, model):
     noise = "zqx vjk wqz xkq jvz qqk zzx vvj kkq xzq jjk wwq zxv qkz jqx"
     assert found(spark, model, [(1, noise, "en", None, None)])[1][0]["lang"] == "und"
@@ -51,9 +82,9 @@ def test_rejection_and_no_model(spark, model):
 def test_labels(spark):
     from pyspark.sql import functions as F
 
-    rows = ["en", "EN", "eng", "en_GB", " English", "pt-BR", "deu", "und", "xx", "", None, "mul"]
+    rows = ["en", "EN", "eng", "en_GB", " English", "pt-BR", "deu", "sv", "sv-SE", "Swedish", "svenska", "ja", "und", "xx", "", None, "mul", "unknown"]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "i int, v string")
-    assert [r["c"] for r in df.select("i", L.label_code(F.col("v")).alias("c")).orderBy("i").collect()] == ["en"] * 5 + ["pt", "de"] + [None] * 5
+    assert [r["c"] for r in df.select("i", L.label_code(F.col("v"), L.notations(spark)).alias("c")).orderBy("i").collect()] == ["en"] * 5 + ["pt", "de"] + ["sv"] * 4 + ["ja"] + [None] * 6
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL.replace("0.001", "0.01")), reason="test tables are missing")
