@@ -1,16 +1,20 @@
 """Attribute rows to wide tables by characteristic sets.
 
-Entities are grouped by the exact set of attributes they have. Each frequent set becomes a dense table with just its
-columns; the entities of rare sets share one table per record type, whose columns are the union of those sets. The
-tables are then united by name with missing columns left null. Without the shared tables there would be nearly as many
-tables as entities wherever each entity has a subset of its own.
+Entities are grouped by the exact set of attributes they have. Each set that a share of all entities has becomes a dense
+table with just its columns. An entity with a rarer set joins the table of the smallest frequent set that has all its
+attributes, so that few of its columns stay empty. Entities whose attributes no frequent set has, as those with a rare
+attribute, share one table per record type, whose set is the union of all sets of that type. The tables are then united by
+name with missing columns left null.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import TYPES, letters_digits, read_as, squeeze
@@ -18,8 +22,8 @@ from ..session import bounded_rows, table_path
 
 #: Columns a wide table may have. A schema table beyond it is refused: it holds data, not a schema.
 MAX_ATTRIBUTES = 4000
-#: Sets that get a dense table of their own.
-DENSE_TABLES = 12
+#: Share of all entities from which a set is frequent; so there are at most 1/FREQUENT dense tables.
+FREQUENT = 1 / 500
 
 
 @dataclass(frozen=True)
@@ -64,45 +68,99 @@ def attribute_cells(triples: DataFrame, schema: list[Attribute], markers: DataFr
     return rows.groupBy("subject", "relation").agg(latest.alias("best")).select("subject", "relation", F.col("best.value").alias("value"))
 
 
-def wide_table(triples: DataFrame, types: DataFrame, markers: DataFrame, prefixes: tuple[str, ...] = ("POL", "CLM", "SRV", "CHAT", "EMAIL"), dense_tables: int = DENSE_TABLES) -> DataFrame:
+def _bits(sets: list[np.ndarray], width: int) -> np.ndarray:
+    """Rows of 0 and 1: which of ``width`` attributes each set has."""
+    out = np.zeros((len(sets), width), dtype=np.float32)
+    if len(sets):
+        out[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets).astype(np.int64)] = 1
+    return out
+
+
+def smallest_superset(attributes: Column, frequent: list[tuple[int, ...]], width: int) -> Column:
+    """Place in ``frequent`` of the smallest set that has all of ``attributes``, the first of equal ones; -1 if none has."""
+    order = np.array(sorted(range(len(frequent)), key=lambda i: (len(frequent[i]), i)), dtype=np.int64)
+    lacks = 1 - _bits([np.array(frequent[i]) for i in order], width).T
+
+    @F.pandas_udf("int")
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            if not len(order):
+                yield pd.Series(np.full(len(s), -1), index=s.index, dtype="int32")
+                continue
+            fits = (_bits([np.asarray(x) for x in s], width) @ lacks) == 0
+            yield pd.Series(np.where(fits.any(axis=1), order[fits.argmax(axis=1)], -1), index=s.index, dtype="int32")
+
+    return find(attributes)
+
+
+def attribute_sets(cells: DataFrame, schema: list[Attribute]) -> DataFrame:
+    """(subject, record_type, attributes, vals): the places in ``schema`` of an entity's attributes, ascending, and their values."""
+    index = cells.sparkSession.createDataFrame([(a.name, i) for i, a in enumerate(schema)], "relation string, at int")
+    sets = cells.join(F.broadcast(index), "relation").groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("cells"))
+    return sets.select("subject", F.split("subject", "-")[0].alias("record_type"), F.col("cells.at").alias("attributes"), F.col("cells.value").alias("vals"))
+
+
+def table_plan(sets: DataFrame, share: float = FREQUENT) -> tuple[list[tuple[int, ...]], dict[str, tuple[int, ...]]]:
+    """(frequent sets, most frequent first; all attributes of each record type).
+
+    Sets are counted with partial sums. What is collected is at most 1/``share`` sets, and a row per record type.
+    """
+    rows = sets.count()
+    counts = sets.groupBy("attributes").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(1, rows * share))
+    frequent = [tuple(r["attributes"]) for r in counts.orderBy(F.desc("n"), "attributes").collect()]
+    per_type = sets.select("record_type", F.explode("attributes").alias("at")).distinct().groupBy("record_type").agg(F.array_sort(F.collect_list("at")).alias("at"))
+    return frequent, {r["record_type"]: tuple(r["at"]) for r in per_type.collect()}
+
+
+def placed(sets: DataFrame, frequent: list[tuple[int, ...]], per_type: dict[str, tuple[int, ...]], width: int) -> DataFrame:
+    """(subject, record_type, vals, table_id): ``vals`` in the order of the columns of the entity's table, null where missing."""
+    spark = sets.sparkSession
+    tables = [(f"set{i}", list(s)) for i, s in enumerate(frequent)] + [(f"rest-{k}", list(s)) for k, s in sorted(per_type.items())]
+    columns = spark.createDataFrame(tables, "table_id string, columns array<int>")
+    at = smallest_superset(F.col("attributes"), frequent, width)
+    found = sets.withColumn("at", at).withColumn("table_id", F.when(F.col("at") >= 0, F.concat(F.lit("set"), F.col("at"))).otherwise(F.concat(F.lit("rest-"), F.col("record_type"))))
+    aligned = F.transform("columns", lambda c: F.get("vals", (F.array_position("attributes", c) - 1).cast("int")))
+    vals = F.when(F.col("columns") == F.col("attributes"), F.col("vals")).otherwise(aligned)
+    return found.join(F.broadcast(columns), "table_id").select("subject", "record_type", vals.alias("vals"), "table_id")
+
+
+def wide_table(triples: DataFrame, types: DataFrame, markers: DataFrame, prefixes: tuple[str, ...] = ("POL", "CLM", "SRV", "CHAT", "EMAIL"), share: float = FREQUENT) -> DataFrame:
     """One row per entity: subject, record_type and one typed column per attribute of ``types``.
 
     An entity with no readable cell has no row. An empty input gives an empty table with all columns. Extra columns of
     the inputs are ignored.
     """
     spark, schema = triples.sparkSession, attribute_schema(types)
-    place = {a.name: i for i, a in enumerate(schema)}
-    index = spark.createDataFrame([(a.name, i) for a, i in zip(schema, place.values())], "relation string, at int")
-    cells = attribute_cells(triples, schema, markers, prefixes).join(F.broadcast(index), "relation")
-    sets = (
-        cells.groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("cells"))
-        .select("subject", F.split("subject", "-")[0].alias("record_type"), F.col("cells.at").alias("attributes"), F.col("cells.value").alias("vals"))
-    )
-    # The sets go to the shared folder once, are counted there, and are then read table by table.
+    sets = attribute_sets(attribute_cells(triples, schema, markers, prefixes), schema)
+    # The sets go to the shared folder once and are counted there; then each entity goes to its table's partition.
     path = table_path(spark, "attribute-sets")
     sets.write.parquet(path)
     sets = spark.read.schema(sets.schema).parquet(path)
-    frequent = [tuple(r["attributes"]) for r in sets.groupBy("attributes").count().orderBy(F.desc("count"), "attributes").limit(dense_tables).collect()]
-    ranks = spark.createDataFrame([(list(s), i) for i, s in enumerate(frequent)], "attributes array<int>, own int")
-    tables = sets.join(F.broadcast(ranks), "attributes", "left").withColumn("table_id", F.coalesce(F.concat(F.lit("set"), F.col("own")), F.concat(F.lit("rest-"), F.col("record_type")))).drop("own")
+    frequent, per_type = table_plan(sets, share)
     by_table = table_path(spark, "characteristic-sets")
-    tables.hint("rebalance", "table_id").write.partitionBy("table_id").parquet(by_table)
-    stored = spark.read.schema("subject string, record_type string, attributes array<int>, vals array<string>, table_id string").parquet(by_table)
-
-    def typed(value: str, a: Attribute) -> str:
-        return f"CAST({value} AS {TYPES[a.value_type]}) AS `{a.name}`"
-
+    placed(sets, frequent, per_type, len(schema)).hint("rebalance", "table_id").write.partitionBy("table_id").parquet(by_table)
+    stored = spark.read.schema("subject string, record_type string, vals array<string>, table_id string").parquet(by_table)
     out = spark.createDataFrame([], "subject string, record_type string, " + ", ".join(f"`{a.name}` {TYPES[a.value_type]}" for a in schema))
     order = out.columns
-    for i, found in enumerate(frequent):
-        dense = stored.where(F.col("table_id") == f"set{i}")
-        out = out.unionByName(dense.selectExpr("subject", "record_type", *[typed(f"vals[{k}]", schema[a]) for k, a in enumerate(found)]), allowMissingColumns=True)
-    for prefix in prefixes:
-        rest = stored.where(F.col("table_id") == f"rest-{prefix}").withColumn("m", F.map_from_arrays("attributes", "vals"))
-        out = out.unionByName(rest.selectExpr("subject", "record_type", *[typed(f"m[{place[a.name]}]", a) for a in schema]), allowMissingColumns=True)
+    for table_id, found in [*((f"set{i}", s) for i, s in enumerate(frequent)), *((f"rest-{k}", s) for k, s in sorted(per_type.items()))]:
+        typed = [f"CAST(vals[{k}] AS {TYPES[schema[a].value_type]}) AS `{schema[a].name}`" for k, a in enumerate(found)]
+        out = out.unionByName(stored.where(F.col("table_id") == table_id).selectExpr("subject", "record_type", *typed), allowMissingColumns=True)
     return out.select(*[f"`{c}`" for c in order])
 
 
+def set_coverage(sets: DataFrame, share: float, width: int) -> DataFrame:
+    """One row: entities, in_exact, in_superset, in_rest, tables, filled: entities by the kind of their table, and the share
+    of filled cells over the columns of the tables."""
+    frequent, per_type = table_plan(sets, share)
+    sizes = sets.sparkSession.createDataFrame([(i, len(s)) for i, s in enumerate(frequent)], "at int, columns int")
+    rest = F.create_map(*[x for k, s in sorted(per_type.items()) for x in (F.lit(k), F.lit(len(s)))]) if per_type else F.create_map().cast("map<string,int>")
+    rows = sets.withColumn("at", smallest_superset(F.col("attributes"), frequent, width)).join(F.broadcast(sizes), "at", "left")
+    own, n = F.size("attributes"), F.coalesce("columns", rest[F.col("record_type")])
+    kind = F.when(F.col("at") < 0, "rest").when(own == F.col("columns"), "exact").otherwise("superset")
+    counts = [F.count(F.when(kind == k, 1)).alias(f"in_{k}") for k in ("exact", "superset", "rest")]
+    return rows.agg(F.count(F.lit(1)).alias("entities"), *counts, F.lit(len(frequent) + len(per_type)).alias("tables"), F.round(F.try_divide(F.sum(own), F.sum(n)), 4).alias("filled"))
+
+
 def filled_cells(wide: DataFrame, schema: list[Attribute], skip: tuple[str, ...] = ("parts",)) -> DataFrame:
     """(subject, relation, value) of every filled cell, value in its normal written form."""
     kept = [a for a in schema if a.value_type not in skip]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import hierarchy as H
 from ..operators import wide as Wd
+from ..session import materialize
 from .tables import table
 
 
@@ -22,6 +23,13 @@ def p1_wide(spark: SparkSession, sf: str) -> DataFrame:
     return _wide(spark, sf)
 
 
+def p1_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities by the kind of the table they are in."""
+    schema = Wd.attribute_schema(table(spark, sf, "relation_types"))
+    cells = Wd.attribute_cells(table(spark, sf, "sampled_triples"), schema, table(spark, sf, "placeholder_values"), ("POL", "CLM", "SRV", "CHAT", "EMAIL"))
+    return Wd.set_coverage(materialize(Wd.attribute_sets(cells, schema), "attribute-sets"), Wd.FREQUENT, len(schema))
+
+
 def _tree(spark: SparkSession, sf: str) -> DataFrame:
     return H.hierarchy(*H.parent_links(table(spark, sf, "taxonomy_nodes"), table(spark, sf, "class_hierarchy")))
 
@@ -39,7 +47,7 @@ def p5_descendant_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return H.descendants(_tree(spark, sf))
 
 
-QUERIES = {"p1_found": p1_found, "p1_wide": p1_wide, "p5_found": p5_found, "p5_descendants": p5_descendants, "p5_descendant_pairs": p5_descendant_pairs}
+QUERIES = {"p1_found": p1_found, "p1_wide": p1_wide, "p1_tables": p1_tables, "p5_found": p5_found, "p5_descendants": p5_descendants, "p5_descendant_pairs": p5_descendant_pairs}
 
 _SPACE = r"[\s\p{Z}\p{Cf}]"
 _N = r"(?:\d+|\d{1,3}(?:,\d{3})+)"
@@ -64,7 +72,23 @@ _CELLS = rf"""rows_ AS (SELECT upper(regexp_replace(subject, '[^\p{{L}}\p{{N}}]'
     WHEN 'integer' THEN CASE WHEN regexp_matches(l, '^[-+]?{_N}(?:\.0+)?$') THEN CAST(TRY_CAST(regexp_replace(regexp_replace(l, '\.0+$', ''), '[,+]', '', 'g') AS BIGINT) AS VARCHAR) END
     WHEN 'boolean' THEN CASE WHEN l IN ('true', 'yes', 'y', '1') THEN 'true' WHEN l IN ('false', 'no', 'n', '0') THEN 'false' END
     ELSE nullif(lower(regexp_replace(o, '[^\p{{L}}\p{{N}}\p{{M}}]', '', 'g')), '') END AS value FROM typed),
-  best AS (SELECT subject, relation, value_type, max({{'e': extracted_at, 'i': ingested_at, 's': seq, 'v': value}}).v AS value FROM parsed WHERE value IS NOT NULL GROUP BY ALL)"""
+  best AS (SELECT subject, relation, value_type, max({{'e': extracted_at, 'i': ingested_at, 's': seq, 'v': value}}).v AS value, max({{'e': extracted_at, 'i': ingested_at, 's': seq, 'o': o}}).o AS o FROM parsed WHERE value IS NOT NULL GROUP BY ALL)"""
+
+#: The columns of relation_types by type, which SQL must name.
+_COLUMNS = {
+    "DECIMAL(28,2)": "AMOUNT_PAID_ON_BUILDING_CLAIM AMOUNT_PAID_ON_CONTENTS_CLAIM BASE_ELEVATION_DIFFERENCE NET_ADJUSTMENT REFUND_OFFERED TOTAL_BUILDING_INSURANCE_COVERAGE TOTAL_CONTENTS_INSURANCE_COVERAGE TOTAL_INSURANCE_PREMIUM BUILDING_LOSS_SHARE DEDUCTIBLE_RATE RESPONSE_RATE",
+    "BIGINT": "ATTACHMENT_COUNT EASE_OF_CLAIM_CES MESSAGE_COUNT NUMBER_OF_FLOORS OVERALL_CSAT POLICY_COUNT WATER_DEPTH",
+    "DATE": "CHAT_STARTED_DATE CLAIM_FILED_DATE DATE_OF_LOSS ORIGINAL_CONSTRUCTION_DATE POLICY_EFFECTIVE_DATE POLICY_TERMINATION_DATE SENT_DATE SURVEY_COMPLETED_DATE",
+    "BOOLEAN": "ELEVATED_BUILDING_INDICATOR PRIMARY_RESIDENCE_INDICATOR RESOLVED_INDICATOR TOTAL_LOSS_INDICATOR URGENT_INDICATOR WOULD_RECOMMEND",
+    "VARCHAR": "CAUSE_OF_DAMAGE CLAIM_STATUS FLOOD_ZONE_AT_LOSS PROPERTY_STATE RATED_FLOOD_ZONE REPORTED_CITY REPORTED_ZIP_CODE SURVEY_WAVE TOPIC INSURED_CONTACT LOSS_LOCATION PROPERTY_ADDRESS RESPONDENT_CONTACT",
+}
+_RIDERS = {"LIMIT": "DECIMAL(28,2)", "CODE": "VARCHAR", "START_DATE": "DATE"}
+
+
+def _wide_columns() -> list[tuple[str, str]]:
+    plain = [(f"HAS_{c}", t) for t, names in _COLUMNS.items() for c in names.split()]
+    return plain + [(f"HAS_ENDORSEMENT_{k}_{c}", t) for k in ("BOAT", "EARTHQUAKE", "JEWELRY", "PET", "SOLAR", "SUMP") for c, t in _RIDERS.items()]
+
 
 _UP = r"""own AS (SELECT node_id AS id, run_id, max({'u': updated_at, 'n': name}).n AS name, lower(regexp_replace(max(name), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS k FROM taxonomy_nodes GROUP BY node_id, run_id),
   pairs AS (SELECT run_id, lower(regexp_replace(name, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS c, lower(regexp_replace(parent, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS p FROM taxonomy_nodes WHERE parent IS NOT NULL
@@ -75,6 +99,8 @@ _UP = r"""own AS (SELECT node_id AS id, run_id, max({'u': updated_at, 'n': name}
 
 SQL: dict[str, str] = {
     "p1_found": f"WITH {_CELLS} SELECT subject, relation, value FROM best WHERE value_type <> 'parts'",
+    "p1_wide": f"WITH {_CELLS} SELECT subject, split_part(subject, '-', 1) AS record_type, "
+    + ", ".join(f"CAST(max({'o' if t == 'VARCHAR' else 'value'}) FILTER (relation = '{c}') AS {t}) AS {c}" for c, t in _wide_columns()) + " FROM best GROUP BY subject",
     "p5_found": f"WITH RECURSIVE {_UP} SELECT own.id AS node_id, coalesce(root_id, -1) AS root_id, coalesce(depth, -1) AS depth, coalesce(path, '') AS path FROM own LEFT JOIN tree USING (id)",
     "p5_descendants": f"""WITH RECURSIVE {_UP}, below AS (SELECT tree.id AS a, tree.id AS d FROM tree UNION ALL SELECT below.a, up.id FROM below JOIN up ON up.parent = below.d)
         SELECT own.id AS node_id, CASE WHEN tree.id IS NOT NULL THEN n - 1 END AS n_descendants FROM own LEFT JOIN tree USING (id) LEFT JOIN (SELECT a AS id, count(*) AS n FROM below GROUP BY a) USING (id)""",

@@ -20,7 +20,7 @@ def inputs(spark, rows):
 
 def cells(spark, rows):
     t, types, markers = inputs(spark, rows)
-    wide = W.wide_table(t, types, markers, dense_tables=2)
+    wide = W.wide_table(t, types, markers, share=0.2)
     return wide, {(r["subject"], r["relation"]): r["value"] for r in W.filled_cells(wide, W.attribute_schema(types)).collect()}
 
 
@@ -70,3 +70,19 @@ def test_readers(spark):
     assert read(spark, V.read_percent, ["73 pct", "%", "n.n %", "5"]) == ["73.00", None, None, None]
     assert read(spark, V.read_boolean, ["yES", "0", "maybe", "2"]) == ["true", "false", None, None]
     assert read(spark, V.read_text, ["--", "x" * 100_000]) == [None, "x" * 100_000]
+
+
+def test_each_entity_in_the_smallest_table_that_has_its_attributes(spark):
+    schema = [W.Attribute(f"A{i}", "text") for i in range(5)]
+    rows = [("POL-a", [0, 1, 2])] * 10 + [("POL-b", [0, 1])] * 6 + [("POL-c", [1])] + [("CLM-d", [2])] * 2 + [("CLM-e", [3, 4])] + [("POL-f", [0, 3])]
+    cells = [(f"{s}{n}", f"A{a}", f"v{a}") for n, (s, at) in enumerate(rows) for a in at]
+    sets = W.attribute_sets(spark.createDataFrame(cells, "subject string, relation string, value string"), schema)
+    frequent, per_type = W.table_plan(sets, 0.2)
+    assert frequent == [(0, 1, 2), (0, 1)] and per_type == {"POL": (0, 1, 2, 3), "CLM": (2, 3, 4)}
+    got = {r["subject"].rstrip("0123456789"): (r["table_id"], r["vals"]) for r in W.placed(sets, frequent, per_type, 5).collect()}
+    assert got == {
+        "POL-a": ("set0", ["v0", "v1", "v2"]), "POL-b": ("set1", ["v0", "v1"]), "POL-c": ("set1", [None, "v1"]), "CLM-d": ("set0", [None, None, "v2"]), "CLM-e": ("rest-CLM", [None, "v3", "v4"]),
+        "POL-f": ("rest-POL", ["v0", None, None, "v3"]),
+    }
+    n = W.set_coverage(sets, 0.2, 5).first()
+    assert (n["entities"], n["in_exact"], n["in_superset"], n["in_rest"], n["tables"]) == (21, 16, 3, 2, 4)
