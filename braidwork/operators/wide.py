@@ -140,12 +140,14 @@ def wide_table(triples: DataFrame, types: DataFrame, markers: DataFrame, prefixe
     by_table = table_path(spark, "characteristic-sets")
     placed(sets, frequent, per_type, len(schema)).hint("rebalance", "table_id").write.partitionBy("table_id").parquet(by_table)
     stored = spark.read.schema("subject string, record_type string, vals array<string>, table_id string").parquet(by_table)
-    out = spark.createDataFrame([], "subject string, record_type string, " + ", ".join(f"`{a.name}` {TYPES[a.value_type]}" for a in schema))
-    order = out.columns
+    empty = spark.createDataFrame([], "subject string, record_type string, " + ", ".join(f"`{a.name}` {TYPES[a.value_type]}" for a in schema))
+    parts = [empty]
     for table_id, found in [*((f"set{i}", s) for i, s in enumerate(frequent)), *((f"rest-{k}", s) for k, s in sorted(per_type.items()))]:
         typed = [f"CAST(vals[{k}] AS {TYPES[schema[a].value_type]}) AS `{schema[a].name}`" for k, a in enumerate(found)]
-        out = out.unionByName(stored.where(F.col("table_id") == table_id).selectExpr("subject", "record_type", *typed), allowMissingColumns=True)
-    return out.select(*[f"`{c}`" for c in order])
+        parts.append(stored.where(F.col("table_id") == table_id).selectExpr("subject", "record_type", *typed))
+    while len(parts) > 1:  # in pairs, so that the plan is analysed a number of times that grows with the tables' logarithm
+        parts = [a[0].unionByName(a[1], allowMissingColumns=True) if len(a) > 1 else a[0] for a in (parts[i : i + 2] for i in range(0, len(parts), 2))]
+    return parts[0].select(*[f"`{c}`" for c in empty.columns])
 
 
 def set_coverage(sets: DataFrame, share: float, width: int) -> DataFrame:
