@@ -2,8 +2,12 @@
 
 Vectors are normalised and dealt to coarse cells. Their residuals are quantised to four bits per subspace with codebooks
 and codes that weigh the error parallel to the vector more than the rest, since only that error moves high inner
-products. A query scans the tables of its nearest cells and reranks the best by their exact cosine. Cells and codebooks
-are fitted on a bounded sample; every row is indexed and every row is a query.
+products. A query scans the four-bit tables of its nearest cells and reranks the best by their exact cosine. Cells and
+codebooks are fitted on a bounded sample; every row is indexed and every row is a query.
+
+The number of cells is in proportion to the rows, so that a cell has about CELL vectors at every size. As many as the
+sample can fit are fitted directly; where more are needed, each of them is divided by the same set of second-level
+offsets. A query visits as many cells as the root of their number, as recall needs more of them the finer they are.
 
 Exact copies are found first: one of each group enters the index, and its neighbours are handed to the others.
 """
@@ -23,8 +27,8 @@ from ..session import materialize
 
 #: Vectors that cells and codebooks are fitted on, and vectors per cell that are aimed at.
 SAMPLE, CELL = 20_000, 1500
-#: Cells that a query scans, and candidates of a scan that are reranked.
-PROBES, RERANK = 7, 64
+#: Vectors of the sample for each first-level cell; least cells that a query scans, and candidates of a scan that are reranked.
+PER_CELL, PROBES, RERANK = 32, 7, 64
 #: Vectors and queries that one scan holds at most; larger cells are cut into blocks.
 BLOCK, QUERY_BLOCK = 4096, 8192
 #: Inner product above which errors matter, for the weight of the parallel error.
@@ -50,31 +54,65 @@ def unit(m: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    cells: np.ndarray  # C x dim, unit
+    coarse: np.ndarray  # A x dim, unit
+    fine: np.ndarray  # B x dim, offsets; one zero row where the cells are the coarse ones
     books: np.ndarray  # M x 16 x SUB
     eta: float
 
+    @property
+    def size(self) -> int:
+        return len(self.coarse) * len(self.fine)
+
+    def centres(self, cell: np.ndarray) -> np.ndarray:
+        c = self.coarse[cell // len(self.fine)]
+        return c if len(self.fine) == 1 else unit(c + self.fine[cell % len(self.fine)])
+
+    def nearest_cells(self, x: np.ndarray, n: int) -> np.ndarray:
+        """The ``n`` nearest cells of each vector in any order, looked for below as many coarse cells."""
+        s = x @ self.coarse.T
+        top = min(n, s.shape[1])
+        first = np.argpartition(-s, top - 1, axis=1)[:, :top]
+        if len(self.fine) == 1:
+            return first
+        out, b = np.empty((len(x), min(n, top * len(self.fine))), dtype=np.int64), len(self.fine)
+        step = max(1, BLOCK * QUERY_BLOCK // (top * b * x.shape[1]))
+        for a in range(0, len(x), step):
+            cells = (first[a : a + step, :, None] * b + np.arange(b)).reshape(len(first[a : a + step]), -1)
+            score = np.einsum("ncd,nd->nc", self.centres(cells), x[a : a + step])
+            k = out.shape[1]
+            out[a : a + step] = np.take_along_axis(cells, np.argpartition(-score, k - 1, axis=1)[:, :k], axis=1) if k < cells.shape[1] else cells
+        return out
+
     def cell_of(self, x: np.ndarray) -> np.ndarray:
-        return (x @ self.cells.T).argmax(axis=1)
+        """The nearest cell below the eight nearest coarse cells."""
+        if len(self.fine) == 1:
+            return (x @ self.coarse.T).argmax(axis=1)
+        near = self.nearest_cells(x, 8)
+        return np.take_along_axis(near, np.einsum("ncd,nd->nc", self.centres(near), x).argmax(axis=1)[:, None], axis=1)[:, 0]
 
-    def probes(self, q: np.ndarray, n: int) -> np.ndarray:
-        s = q @ self.cells.T
-        n = min(n, s.shape[1])
-        return np.argpartition(-s, n - 1, axis=1)[:, :n]
+    def probes(self, q: np.ndarray, least: int = PROBES) -> np.ndarray:
+        return self.nearest_cells(q, min(self.size, max(least, round(self.size**0.5))))
 
     def encode(self, x: np.ndarray, cell: np.ndarray, sweeps: int = 2) -> np.ndarray:
         """Codes of the residuals, n x M in 0..15, by coordinate descent on the score-aware loss."""
-        return _codes(x, x - self.cells[cell], self.books, self.eta, sweeps)[0]
+        return _codes(x, x - self.centres(cell), self.books, self.eta, sweeps)[0]
 
-    def pairs(self, codes: np.ndarray) -> np.ndarray:
-        """Two codes to a byte."""
+    def packed(self, codes: np.ndarray) -> np.ndarray:
+        """Two codes to a byte; the last of an odd number has its own."""
+        codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
         return (codes[:, 0::2] * 16 + codes[:, 1::2]).astype(np.uint8)
 
+    def unpacked(self, codes: np.ndarray) -> list[np.ndarray]:
+        """The codes of each subspace as places in its table."""
+        return [(half >> shift & 15).astype(np.intp) for half in codes.T for shift in (4, 0)][: len(self.books)]
+
     def tables(self, q: np.ndarray) -> np.ndarray:
-        """Inner products of each query with every pair of codewords, n x M/2 x 256."""
+        """Inner products of each query with each codeword, M x 16 x n, as whole numbers whose sums stay below 65,000."""
         m = self.books.shape[0]
-        one = np.einsum("nms,mks->nmk", q.reshape(len(q), m, SUB), self.books)
-        return (one[:, 0::2, :, None] + one[:, 1::2, None, :]).reshape(len(q), m // 2, 256)
+        t = np.einsum("nms,mks->mkn", q.reshape(len(q), m, SUB), self.books)
+        t -= t.min(axis=1, keepdims=True)
+        t *= 60_000 / np.maximum(t.max(axis=1).sum(axis=0), 1e-9)
+        return np.ascontiguousarray(t.astype(np.uint16))
 
 
 def _codes(x: np.ndarray, r: np.ndarray, books: np.ndarray, eta: float, sweeps: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,19 +137,32 @@ def _codes(x: np.ndarray, r: np.ndarray, books: np.ndarray, eta: float, sweeps:
     return codes, along
 
 
+def _means(x: np.ndarray, own: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Mean of the rows of each centre; an empty one, or one whose rows cancel out, stays as before."""
+    sums, size = np.zeros_like(before), np.bincount(own, minlength=len(before))
+    np.add.at(sums, own, x)
+    good = (size > 0) & (np.abs(sums).sum(axis=1) > 0)
+    return np.where(good[:, None], sums / np.maximum(size, 1)[:, None], before).astype(np.float32)
+
+
 def fit(x: np.ndarray, rows: int, seed: int = 0) -> Index:
     """Cells and codebooks from a sample of unit vectors for an index of ``rows`` vectors."""
     rng, (n, dim) = np.random.default_rng(seed), x.shape
-    count = int(np.clip(round(rows / CELL), 1, max(1, n // 32)))
+    wanted = max(1, round(rows / CELL))
+    count = min(wanted, max(1, n // PER_CELL))
     cells = x[rng.choice(n, count, replace=False)]
     for _ in range(12):
         own = (x @ cells.T).argmax(axis=1)
-        sums = np.zeros_like(cells)
-        np.add.at(sums, own, x)
-        size = np.bincount(own, minlength=count)
-        cells = unit(np.where((size > 0)[:, None] & (np.abs(sums).sum(axis=1) > 0)[:, None], sums, cells))
+        cells = unit(_means(x, own, cells))
+    fine = np.zeros((1, dim), dtype=np.float32)
+    if wanted > count:
+        r = x - cells[(x @ cells.T).argmax(axis=1)]
+        fine = r[rng.choice(n, min(-(-wanted // count), max(1, n // PER_CELL)), replace=False)]
+        for _ in range(12):
+            fine = _means(r, ((fine * fine).sum(axis=1) - 2 * r @ fine.T).argmin(axis=1), fine)
     eta = max(1.0, (dim - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
-    r, m = x - cells[(x @ cells.T).argmax(axis=1)], dim // SUB
+    index = Index(cells, fine, np.zeros((0, 16, SUB), np.float32), eta)
+    r, m = x - index.centres(index.cell_of(x)), dim // SUB
     rs, xs = r.reshape(n, m, SUB), x.reshape(n, m, SUB)
     books = rs[rng.choice(n, 16, replace=n < 16)].transpose(1, 0, 2).copy()
     for step in range(8):
@@ -126,25 +177,24 @@ def fit(x: np.ndarray, rows: int, seed: int = 0) -> Index:
                     a = np.eye(SUB) * at.sum() + (eta - 1) * v.T @ v
                     goal = rest[at] + (rs[at, j] * v).sum(axis=1)
                     books[j, k] = np.linalg.solve(a, rs[at, j].sum(axis=0) + (eta - 1) * (goal[:, None] * v).sum(axis=0))
-    return Index(cells, books.astype(np.float32), float(eta))
+    return Index(cells, fine, books.astype(np.float32), float(eta))
 
 
 def scan(index: Index, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, rerank: int = RERANK) -> tuple[np.ndarray, np.ndarray]:
     """(ids, cosines), one row per query: its k best in a block by table scan and exact reranking, -1 and -2 where none."""
-    keep = min(max(rerank, k + 1), len(ids))
+    keep = min(max(rerank, k + 1) + 1, len(ids))  # a query may find itself
     out_ids, out_cos = np.full((len(q), k), -1, dtype=np.int64), np.full((len(q), k), -2.0, dtype=np.float32)
-    columns = [codes[:, m].astype(np.intp) for m in range(codes.shape[1])]
+    columns = index.unpacked(codes)
     step = 256
     for a in range(0, len(q), step):
         part = q[a : a + step]
-        tables = np.ascontiguousarray(index.tables(part).transpose(1, 2, 0))  # a codeword pair's row holds all queries
-        total, row = np.zeros((len(ids), len(part)), dtype=np.float32), np.empty((len(ids), len(part)), dtype=np.float32)
-        for table, column in zip(tables, columns):
+        tables = index.tables(part)  # a codeword's row holds all queries
+        total = tables[0].take(columns[0], axis=0)
+        row = np.empty_like(total)
+        for table, column in zip(tables[1:], columns[1:]):
             np.take(table, column, axis=0, out=row, mode="clip")
             total += row
-        score = np.ascontiguousarray(total.T)
-        score[query_ids[a : a + step, None] == ids[None, :]] = -np.inf
-        best = np.argpartition(-score, keep - 1, axis=1)[:, :keep] if keep < len(ids) else np.broadcast_to(np.arange(len(ids)), (len(part), len(ids)))
+        best = np.argpartition(np.ascontiguousarray(total.T), len(ids) - keep, axis=1)[:, len(ids) - keep :]
         exact = np.einsum("nrd,nd->nr", x[best], part)
         exact = np.where(ids[best] == query_ids[a : a + step, None], -2.0, exact)
         order = np.lexsort((ids[best], -exact), axis=1)[:, :k]
@@ -179,15 +229,15 @@ def index_neighbours(vectors: DataFrame, k: int, dim: int, probes: int = PROBES)
             if len(batch):
                 x = unit(np.stack([np.asarray(v, dtype=np.float64) for v in batch["embs"]]))
                 cell = index.cell_of(x)
-                codes = index.pairs(index.encode(x, cell))
+                codes = index.packed(index.encode(x, cell))
                 yield pd.DataFrame({"id": batch["id"], "x": [v.tobytes() for v in x], "cell": cell.astype(np.int32), "codes": [v.tobytes() for v in codes], "probe": list(index.probes(x, probes).astype(np.int32))})
 
     placed = materialize(vectors.select("id", "embs").mapInPandas(place, "id long, x binary, cell int, codes binary, probe array<int>"), "vector-index")
-    # One row per cell, and there are at most SAMPLE / 32 cells.
+    # One row per cell that has rows and is asked, of which a broadcast is left to the size of the table.
     sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     asked = placed.select(F.explode("probe").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("q"))
     blocks = sizes.join(asked, "cell").select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("ni"), F.ceil(F.col("q") / QUERY_BLOCK).cast("int").alias("nq"))
-    blocks = F.broadcast(spark.createDataFrame([tuple(r) for r in blocks.collect()], "cell int, ni int, nq int"))
+    blocks = materialize(blocks, "cell-blocks")
 
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))

@@ -30,6 +30,34 @@ def test_recall_against_brute_force(spark):
     assert all(abs(c - s[i, o]) < 1e-4 for i in range(0, 6000, 500) for _, o, c in got[i])
 
 
+def test_recall_with_second_level_cells(monkeypatch):
+    monkeypatch.setattr(N, "CELL", 100)
+    monkeypatch.setattr(N, "PER_CELL", 400)
+    x = N.unit(vectors(8000, 64))
+    index = N.fit(x, 8000)
+    assert len(index.coarse) == 20 and index.size == 80
+    cell, probes = index.cell_of(x), index.probes(x[:300])
+    assert probes.shape[1] == round(index.size**0.5) and all(len(set(p)) == len(p) for p in probes.tolist())
+    s = x[:300] @ x.T
+    s[np.arange(300), np.arange(300)] = -2
+    top = np.argsort(-s, axis=1)[:, :10]
+    assert np.mean((cell[top][:, :, None] == probes[:, None, :]).any(axis=2)) >= 0.9
+    assert np.bincount(cell, minlength=index.size).max() < 2000
+
+
+def test_tables_give_the_scores_of_the_codes():
+    x = N.unit(vectors(500, 32))
+    index = N.fit(x, 500)
+    cell = index.cell_of(x)
+    codes = index.encode(x, cell)
+    packed = index.packed(codes)
+    assert packed.shape == (500, 8) and all((a == codes[:, m]).all() for m, a in enumerate(index.unpacked(packed)))
+    t = index.tables(x[:5])
+    total = sum(t[m][codes[:, m]].astype(np.int64) for m in range(16))
+    exact = index.books[np.arange(16), codes].reshape(500, -1) @ x[:5].T
+    assert total.max() < 65_000 and min(np.corrcoef(total[:, i], exact[:, i])[0, 1] for i in range(5)) > 0.99999
+
+
 def test_copies_unusable_rows_and_ties(spark):
     x = np.repeat(np.eye(8)[:2], 20, axis=0)
     bad = [(900, None, None, None, None), (901, [1.0], None, None, None), (902, [0.0] * 8, None, None, None), (903, [float("nan")] * 8, None, None, None), (904, [float("inf")] + [0.0] * 7, None, None, None), (None, [1.0] * 8, None, None, None), (905, [1.0, 1.0] + [0.0] * 6, None, None, None)]
@@ -69,7 +97,7 @@ def test_score_aware_codes_lose_less_of_the_inner_product():
     m = index.books.shape[0]
 
     def parallel(codes):
-        back = index.cells[cell] + index.books[np.arange(m), codes].reshape(len(x), -1)
+        back = index.centres(cell) + index.books[np.arange(m), codes].reshape(len(x), -1)
         return np.abs(((x - back) * x).sum(axis=1)).mean()
 
     assert parallel(index.encode(x, cell, 2)) < parallel(index.encode(x, cell, 0))
