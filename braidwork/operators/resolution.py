@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +15,8 @@ from ..session import drop_table, materialize
 #: Prefixes of ids that are never merged, and the cosine from which names are.
 PREFIXES = ("POL-", "CLM-", "REC-", "PER-", "PROP-")
 THRESHOLD = 0.90
+#: Keyed rows that one task compares.
+TASK_ROWS = 200_000
 
 
 def has_prefix(c: Column, prefixes=PREFIXES) -> Column:
@@ -77,69 +84,95 @@ def resolve(triples: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD)
     return rewrite(triples, elect(components(close)))
 
 
-def cosine_pairs(vectors: DataFrame, threshold: float = THRESHOLD, pivots: int = 64, sample: int = 5000, block: int = 4096) -> DataFrame:
-    """(a, b, sim) of all rows (id, v) whose vectors of length one have a cosine of at least ``threshold``; exact.
+def bands(threshold: float, rows: int, miss: float, compare: float = 0.1) -> tuple[int, int]:
+    """(bits of a key, keys) with the least work by which a pair at ``threshold`` shares no key with probability ``miss``.
+
+    A bit of both vectors is equal with 1 less their angle over pi. More bits mean more keys to shuffle, and fewer unlike
+    vectors with the same key; ``compare`` is the work of one comparison against that of one key.
+    """
+    same = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    if same >= 1:
+        return 32, 1
+
+    def keys(bits: int) -> int:
+        return max(1, math.ceil(math.log(miss) / math.log1p(-(same**bits))))
+
+    return min(((b, keys(b)) for b in range(4, 33)), key=lambda x: x[1] * (1 + compare * rows / 2 ** (x[0] + 1)))
 
-    Vectors lie in the cell of their nearest pivot. With the angle t of the threshold, two vectors within t of each other
-    have for either one's pivot p an angle to p at most 2t above that to their own, so each visits just those cells; a
-    pair is compared in the smaller of its two home cells. Identical vectors are compared once, as the smallest id of
-    their group, and the group's other ids are paired with that one alone. Null vectors and ids have no pairs.
+
+def sketch_bits(differ: float) -> tuple[int, int]:
+    """(bits, most that may differ) of a sketch that keeps pairs of which the share ``differ`` of bits differs.
+
+    The limit is five standard deviations above their mean, and four below that of vectors at a right angle.
     """
-    import numpy as np
-    import pandas as pd
+    spread = math.sqrt(differ * (1 - differ))
+    bits = 64 * math.ceil(((5 * spread + 2) / max(0.5 - differ, 0.05)) ** 2 / 64)
+    return bits, math.ceil(bits * differ + 5 * spread * math.sqrt(bits))
+
 
+def cosine_pairs(vectors: DataFrame, threshold: float = THRESHOLD, miss: float = 1e-5, seed: int = 0, block: int = 4096) -> DataFrame:
+    """(a, b, sim) of the rows (id, v) whose vectors of length one have a cosine of at least ``threshold``.
+
+    Signs of inner products with random vectors are the bits of keys; vectors that share a key are compared, first by a
+    sketch of further bits, then exactly. A pair at the threshold is missed with a probability of about ``miss``, one
+    above it with less, so the choice between work and completeness is the caller's; no bucket is cut. Keys grow with a
+    small power of the number of rows, the pairs compared by chance with the keys. Identical vectors are compared once, as
+    the smallest id of their group, and the group's other ids are paired with that one alone. Null vectors and ids have no
+    pairs.
+    """
     rows = materialize(vectors.where("id is not null and v is not null").select("id", "v", F.md5(F.array_join("v", ",")).alias("h")), "pair-vectors")
     firsts = rows.groupBy("h").agg(F.min("id").alias("rep"))
     copies = rows.join(firsts, "h").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("sim"))
-    own = rows.join(firsts.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "v")
-    total = max(1, own.count())
-    picked = own.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(min(1.0, sample / total) * (1 << 30))).limit(2 * sample)
-    found = sorted(((r["id"], r["v"]) for r in picked.collect()), key=lambda x: x[0])
-    if not found:
+    own = materialize(rows.join(firsts.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "v"), "pair-firsts")
+    n, first = own.count(), own.first()
+    if not n:
         return copies
-    x = np.array([v for _, v in found], dtype=np.float64)
-    chosen = [0]  # farthest points, so that cells are small
-    far = x @ x[0]
-    while len(chosen) < min(pivots, len(x), max(1, total // 200)):
-        nxt = int(far.argmin())
-        chosen.append(nxt)
-        far = np.maximum(far, x @ x[nxt])
-    p, t = x[chosen], float(np.arccos(np.clip(threshold, -1, 1)))
-    id_type = dict(own.dtypes)["id"]
-
-    def place(batches):
-        for rows_ in batches:
-            if len(rows_):
-                m = np.stack([np.asarray(v, dtype=np.float64) for v in rows_["v"]])
-                angle = np.arccos(np.clip(m @ p.T, -1, 1))
-                home = angle.argmin(axis=1)
-                reach = angle <= angle.min(axis=1, keepdims=True) + 2 * t + 1e-6
-                yield pd.DataFrame({"id": rows_["id"], "v": [r.tobytes() for r in m], "home": home.astype(np.int32), "cells": [np.flatnonzero(r).astype(np.int32) for r in reach]})
-
-    placed = materialize(own.mapInPandas(place, f"id {id_type}, v binary, home int, cells array<int>"), "pair-cells")
-    visits = F.explode("cells").alias("home")
-    counts = placed.groupBy("home").count().join(placed.select(visits, F.col("home").alias("from")).where("home <= from").groupBy("home").agg(F.count(F.lit(1)).alias("q")), "home")
-    # One row per pivot. Cells and their visitors are compared in blocks, so no task holds all of a large cell.
-    size = F.broadcast(placed.sparkSession.createDataFrame([tuple(r) for r in counts.collect()] or [(0, 0, 0)], "home int, n long, q long"))
-    parts, turns = F.ceil(F.col("n") / block).cast("int"), F.ceil(F.col("q") / (2 * block)).cast("int")
-    held = placed.join(size, "home").select(F.col("home").alias("cell"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), turns - 1)).alias("turn"), "id", "v")
-    asks = placed.select(F.col("id").alias("q_id"), F.col("v").alias("w"), F.col("home").alias("from"), visits).where(F.col("home") <= F.col("from")).join(size, "home")
-    asks = asks.select(F.col("home").alias("cell"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.pmod(F.xxhash64("q_id"), turns).cast("int").alias("turn"), "q_id", "w", "from")
-
-    def compare(items: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(items) and len(queries):
-            cell = items["cell"].iloc[0]
-            m = np.frombuffer(b"".join(items["v"]), dtype=np.float64).reshape(len(items), -1)
-            ids, q, home = items["id"].to_numpy(), queries["q_id"].to_numpy(), queries["from"].to_numpy()
-            for i in range(0, len(queries), 1024):
-                w = np.frombuffer(b"".join(queries["w"].iloc[i : i + 1024]), dtype=np.float64).reshape(-1, m.shape[1])
-                s = w @ m.T
-                for j, k in zip(*np.nonzero(s >= threshold)):
-                    a, b = q[i + j], ids[k]
-                    if a != b and (home[i + j] != cell or a < b):
-                        out.append((min(a, b), max(a, b), s[j, k]))
-        return pd.DataFrame(out, columns=["a", "b", "sim"])
-
-    near = held.groupBy("cell", "part", "turn").cogroup(asks.groupBy("cell", "part", "turn")).applyInPandas(compare, f"a {id_type}, b {id_type}, sim double")
-    return near.unionByName(copies)
+    (bits, keys), dim = bands(threshold, n, miss), len(first["v"])
+    size, most = sketch_bits(math.acos(max(-1.0, min(1.0, threshold))) / math.pi)
+    rng = np.random.default_rng(seed)
+    planes, further = rng.normal(size=(dim, keys * bits)), rng.normal(size=(dim, size))
+    id_type, weights = dict(own.dtypes)["id"], 1 << np.arange(bits, dtype=np.int64)
+
+    def key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 2048):
+                part = b.iloc[at : at + 2048]
+                x = np.stack(part["v"].to_numpy())
+                found = ((x @ planes > 0).reshape(len(x), keys, bits) * weights).sum(axis=2)
+                sketch = np.packbits(x @ further > 0, axis=1).view(np.int64)
+                yield pd.DataFrame({"id": part["id"], **{f"s{i}": sketch[:, i] for i in range(size // 64)}, "keys": list(found + (np.arange(keys, dtype=np.int64) << 32))})
+
+    words = [f"s{i}" for i in range(size // 64)]
+    keyed = materialize(own.mapInPandas(key, f"id {id_type}, {', '.join(f'{w} long' for w in words)}, keys array<long>"), "pair-keys")
+    each = keyed.select("id", *words, F.explode("keys").alias("key"))
+    # A bucket beyond ``block`` rows is dealt to parts, and each pair of parts is compared apart, so no task holds all of it.
+    hot = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    mine = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")
+    dealt = each.join(hot, "key", "left").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    dealt = dealt.withColumn("bucket", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).withColumn("within", F.col("mine") == F.col("other"))
+    groups = max(1, -(-n * keys // TASK_ROWS))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["bucket", "key"], kind="stable")
+        bucket, ids, part, within = (rows[c].to_numpy() for c in ("bucket", "id", "mine", "within"))
+        sketch = rows[words].to_numpy().view(np.uint64)
+        left, right = [], []
+        at, step = np.arange(len(rows)), 0
+        while True:
+            step += 1
+            at = at[at < len(rows) - step]
+            at = at[bucket[at] == bucket[at + step]]
+            if not len(at):
+                break
+            pair = at[within[at] | (part[at] != part[at + step])]
+            close = pair[np.bitwise_count(sketch[pair] ^ sketch[pair + step]).sum(axis=1, dtype=np.int64) <= most]
+            left.append(ids[close])
+            right.append(ids[close + step])
+        a, b = (np.concatenate(x) if x else ids[:0] for x in (left, right))
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}) if id_type != "string" else pd.DataFrame([sorted(x) for x in zip(a, b)], columns=["a", "b"])
+
+    found = dealt.withColumn("grp", F.pmod(F.xxhash64("bucket"), F.lit(groups))).groupBy("grp").applyInPandas(compare, f"a {id_type}, b {id_type}")
+    near = found.where("a <> b").distinct()
+    dot = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    exact = near.join(own.select(F.col("id").alias("a"), "v"), "a").join(own.select(F.col("id").alias("b"), F.col("v").alias("w")), "b").select("a", "b", dot.alias("sim"))
+    return exact.where(F.col("sim") >= F.lit(threshold) - 1e-9).unionByName(copies)

@@ -165,7 +165,7 @@ def test_pairs_are_exact(spark):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     x[7] = x[3] = x[11]
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(999, None)], "id long, v array<double>")
-    got = {(r["a"], r["b"]) for r in Re.cosine_pairs(df, 0.9, pivots=8, sample=100, block=64).collect()}
+    got = {(r["a"], r["b"]) for r in Re.cosine_pairs(df, 0.9, block=64).collect()}
     s = x @ x.T
     want = {(i, j) for i in range(500) for j in range(i + 1, 500) if s[i, j] >= 0.9 and not {i, j} & {7, 11}}
     assert got == want | {(3, 7), (3, 11)}
@@ -315,6 +315,26 @@ def test_verdicts(spark):
     assert (g["supported"], g["partial"], g["rejected"]) == (1, 1, 2) and g["score"] == pytest.approx(1.5 / 4)
 
 
+def test_cosine_pairs_of_string_ids_and_hot_buckets(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.eye(16)[0] + 0.08 * rng.normal(size=(150, 16)), rng.normal(size=(150, 16))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(f"n{i:03}", r.tolist()) for i, r in enumerate(x)] + [(None, x[0].tolist()), ("no", None)], "id string, v array<double>")
+    got = {(r["a"], r["b"]) for r in Re.cosine_pairs(df, 0.8, block=20).collect()}
+    s = x @ x.T
+    want = {(f"n{i:03}", f"n{j:03}") for i in range(300) for j in range(i + 1, 300) if s[i, j] >= 0.8}
+    assert got == want and len(want) > 5000
+    assert Re.cosine_pairs(df.where("id is null"), 0.8).collect() == []
+
+
+def test_work_of_cosine_pairs_falls_with_the_rows():
+    for rows in (10**4, 10**6, 10**9):
+        bits, keys = Re.bands(0.9, rows, 1e-5)
+        assert keys / 2**bits < 0.05 and keys < 1000
+    shares = [Re.bands(0.9, rows, 1e-5) for rows in (10**4, 10**6, 10**9)]
+    assert [k / 2**b for b, k in shares] == sorted((k / 2**b for b, k in shares), reverse=True)
+
+
 def test_numbers_in_prose(spark):
     text = "The Flood Deductible is $1,250.00 per loss. Notice must reach the Claims Office within 30 days. Building Coverage: replacement cost of 80 percent applies. $5 alone."
     got = {(r["relation"], r["object"]) for r in X.numeric_triples(spark.createDataFrame([("1", "s", text), ("2", "s", None)], "chunk_id string, source string, content string")).collect()}
