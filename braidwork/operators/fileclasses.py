@@ -236,9 +236,9 @@ def function_groups(headers: DataFrame, file_tokens: DataFrame, least: float = S
 
 def functional_classes(headers: DataFrame, groups: DataFrame) -> DataFrame:
     """(group, file, header, shared): shared headers are in all files of the group and belong to its parent class."""
-    rows = headers.select("file", "header").distinct().join(F.broadcast(groups), "file")
+    rows = headers.select("file", "header").distinct().join(groups, "file")
     n = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-    k = rows.groupBy("group", "header").agg(F.count_distinct("file").alias("k")).join(F.broadcast(n), "group").select("group", "header", (F.col("k") == F.col("n")).alias("shared"))
+    k = rows.groupBy("group", "header").agg(F.count_distinct("file").alias("k")).join(n, "group").select("group", "header", (F.col("k") == F.col("n")).alias("shared"))
     return rows.join(k, ["group", "header"]).select("group", "file", "header", "shared")
 
 
@@ -256,7 +256,7 @@ def file_class_map(classes: DataFrame) -> DataFrame:
 
 def assign_entities(entity_files: DataFrame, file_class: DataFrame) -> DataFrame:
     """(id, class) of (id, file): the class of most of an entity's files, ties to the first name; else Unclassified."""
-    rows = entity_files.select("id", F.element_at(F.split("file", "/"), -1).alias("file")).join(F.broadcast(file_class), "file", "left")
+    rows = entity_files.select("id", F.element_at(F.split("file", "/"), -1).alias("file")).join(file_class, "file", "left")
     votes = rows.groupBy("id", "class").agg(F.count(F.lit(1)).alias("v"))
     best = votes.groupBy("id").agg(F.min(F.when(F.col("class").isNotNull(), F.struct((-F.col("v")).alias("v"), "class")))["class"].alias("class"))
     return best.select("id", F.coalesce("class", F.lit("Unclassified")).alias("class"))

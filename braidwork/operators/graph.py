@@ -161,7 +161,7 @@ def decompose_records(edges: DataFrame, assignments: DataFrame, relation_classes
     has = edges.where(F.col("rel").startswith("HAS_") & has_prefix(F.col("src"))).join(a.select(F.col("id").alias("src"), F.col("class").alias("own")), "src", "left").join(a.select(F.col("id").alias("dst"), F.col("class").alias("tc")), "dst", "left")
     cls = F.when(F.col("tc") != "Other", F.col("tc"))
     if relation_classes is not None:
-        has = has.join(F.broadcast(relation_classes.select(F.col("relation").alias("rel"), F.col("class").alias("rc"))), "rel", "left")
+        has = has.join(relation_classes.select(F.col("relation").alias("rel"), F.col("class").alias("rc")), "rel", "left")
         cls = F.coalesce(cls, F.col("rc"))
     rows = has.withColumn("cls", cls).where("cls is not null").where(F.col("cls") != F.coalesce("own", F.lit("Other"))).select(F.col("src").alias("record"), F.col("cls").alias("class"), F.col("rel").alias("relation"), F.col("dst").alias("target"))
     several = rows.select("record", "class").distinct().groupBy("record").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("record")

@@ -368,7 +368,7 @@ def depth_similarity(similarity: np.ndarray, depth_a: list[int], depth_b: list[i
 def compare_runs(metrics: DataFrame, base: str) -> DataFrame:
     """(metric, run, value, delta): each run's value less that of ``base``; null where the base has none."""
     b = metrics.where(F.col("run") == base).select("metric", F.col("value").alias("_b"))
-    return metrics.join(F.broadcast(b), "metric", "left").select("metric", "run", "value", (F.col("value") - F.col("_b")).alias("delta"))
+    return metrics.join(b, "metric", "left").select("metric", "run", "value", (F.col("value") - F.col("_b")).alias("delta"))
 
 
 def keyword_pass(answers: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def relation_merges(triples: DataFrame, similarity: DataFrame, threshold: float
 
 def apply_relation_map(triples: DataFrame, mapping: DataFrame) -> DataFrame:
     """``triples`` with the canonical relation where ``mapping`` has one, else by synonyms and patterns."""
-    m = F.broadcast(mapping.select("relation", F.col("canonical").alias("_c")))
+    m = mapping.select("relation", F.col("canonical").alias("_c"))
     fixed = let(synonym(F.col("relation")), lambda r: F.when(r != F.col("relation"), r).otherwise(pattern_normalize(F.col("relation"))))
     return triples.join(m, "relation", "left").withColumn("relation", F.coalesce("_c", fixed)).select(*triples.columns)
 
@@ -111,7 +111,7 @@ def collapse(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
     c = collapse_candidates(triples)
     users = c.select("object", "subject").distinct().groupBy("object").agg(F.count(F.lit(1)).alias("users")).where((F.col("users") == 1) | ((F.col("users") <= 3) & (F.length("object") <= 15)))
     roles = relation_roles(c).where("role = 'property'").select("relation")
-    gone = c.join(F.broadcast(roles), "relation", "left_semi").join(users.select("object"), "object", "left_semi").select("seq", "subject", F.lower(F.regexp_replace("relation", "^HAS_", "")).alias("property"), "object")
+    gone = c.join(roles, "relation", "left_semi").join(users.select("object"), "object", "left_semi").select("seq", "subject", F.lower(F.regexp_replace("relation", "^HAS_", "")).alias("property"), "object")
     properties = gone.groupBy("subject", "property").agg(F.max_by("object", "seq").alias("value"))
     return triples.join(gone.select("seq"), "seq", "left_anti"), properties
 
@@ -127,4 +127,4 @@ def vocabulary_quality(triples: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def map_types(assignments: DataFrame, mapping: DataFrame) -> DataFrame:
     """(entity_id, class) from (entity_id, entity_type) and (entity_type, class); a type mapped to null drops its entities."""
     m = mapping.select("entity_type", F.col("class").alias("_c"), F.lit(True).alias("_known"))
-    return assignments.join(F.broadcast(m), "entity_type", "left").where("_known is null or _c is not null").select("entity_id", F.coalesce("_c", "entity_type").alias("class"))
+    return assignments.join(m, "entity_type", "left").where("_known is null or _c is not null").select("entity_id", F.coalesce("_c", "entity_type").alias("class"))

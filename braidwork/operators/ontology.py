@@ -77,7 +77,7 @@ def structural_outliers(features: DataFrame, assignments: DataFrame) -> DataFram
     sims = class_similarity(features, centroids(features, assignments))
     own = sims.join(assignments.where("class <> 'Other'").select(F.col("entity_id").alias("id"), "class"), ["id", "class"])
     stats = own.groupBy("class").agg(F.avg("sim").alias("class_mean"), F.stddev_pop("sim").alias("class_std"))
-    flagged = own.join(F.broadcast(stats), "class").where(F.col("sim") < F.col("class_mean") - SIGMA * F.greatest("class_std", F.lit(SPREAD_FLOOR)))
+    flagged = own.join(stats, "class").where(F.col("sim") < F.col("class_mean") - SIGMA * F.greatest("class_std", F.lit(SPREAD_FLOOR)))
     other = sims.join(flagged.select("id", F.col("class").alias("own")), "id").where(F.col("class") != F.col("own")).groupBy("id").agg(F.min(F.struct((-F.round("sim", 9)).alias("neg"), "class", "sim")).alias("x")).select("id", F.col("x.class").alias("nearest_class"), F.col("x.sim").alias("nearest_sim"))
     return flagged.join(other, "id", "left").select(F.col("id").alias("entity_id"), "class", "sim", "class_mean", "class_std", "nearest_class", "nearest_sim")
 
@@ -87,8 +87,8 @@ def merge_small_classes(features: DataFrame, assignments: DataFrame, least: int
     sizes = assignments.where("class <> 'Other'").groupBy("class").agg(F.count(F.lit(1)).alias("n"))
     small = sizes.where((F.col("n") < least) & ~F.lower("class").isin(*protected, "")).select("class")
     cents = centroids(features, assignments)
-    a = cents.join(F.broadcast(small), "class", "left_semi").select(F.col("class").alias("s"), "feature", F.col("weight").alias("w"))
-    b = cents.join(F.broadcast(small), "class", "left_anti")
+    a = cents.join(small, "class", "left_semi").select(F.col("class").alias("s"), "feature", F.col("weight").alias("w"))
+    b = cents.join(small, "class", "left_anti")
     sims = a.join(b, "feature").groupBy("s", "class").agg(F.sum(F.col("w") * F.col("weight")).alias("sim"))
     return sims.groupBy("s").agg(F.min(F.struct((-F.round("sim", 9)).alias("neg"), "class"))["class"].alias("merged_into")).select(F.col("s").alias("class"), "merged_into")
 
@@ -117,7 +117,7 @@ def type_values(edges: DataFrame, assignments: DataFrame, entities: DataFrame, c
     known = relation_classes(edges, assignments, entities, confidence)
     open_ = entities.where("lane = 'value'").select(F.col("id").alias("entity_id")).join(assignments.where("class <> 'Other'").select("entity_id"), "entity_id", "left_anti")
     counts = edges.groupBy(F.col("dst").alias("entity_id"), F.col("rel").alias("relation")).agg(F.count(F.lit(1)).alias("n")).join(open_, "entity_id", "left_semi")
-    score = counts.join(F.broadcast(known), "relation").groupBy("entity_id", "signal", "class").agg(F.sum(F.col("n") * F.col("confidence")).alias("e"))
+    score = counts.join(known, "relation").groupBy("entity_id", "signal", "class").agg(F.sum(F.col("n") * F.col("confidence")).alias("e"))
     first = score.groupBy("entity_id").agg(F.min("signal").alias("signal"))
     best = score.join(first, ["entity_id", "signal"]).groupBy("entity_id", "signal").agg(F.sum("e").alias("total"), F.min(F.struct((-F.round("e", 9)).alias("neg"), "class", "e")).alias("x"))
     return best.where(F.col("x.e") / F.col("total") >= confidence).select("entity_id", F.col("x.class").alias("class"), "signal")
@@ -134,14 +134,14 @@ def defining_relations(edges: DataFrame, assignments: DataFrame) -> DataFrame:
     a = assignments.where("class <> 'Other'").select("entity_id", "class")
     sizes = a.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
     ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("entity_id"), F.col("rel").alias("relation")), F.struct(F.col("dst").alias("entity_id"), F.concat(F.lit("~"), "rel").alias("relation")))).alias("e")).select("e.*")
-    counts = ends.join(a, "entity_id").groupBy("class", "relation").agg(F.count(F.lit(1)).alias("k")).join(F.broadcast(sizes), "class")
+    counts = ends.join(a, "entity_id").groupBy("class", "relation").agg(F.count(F.lit(1)).alias("k")).join(sizes, "class")
     return counts.where((F.col("k") >= F.greatest(F.lit(2), F.floor(F.col("n") * DEFINING))) & ~F.col("relation").isin(*GENERIC)).select("class", "relation")
 
 
 def subsumption_candidates(defining: DataFrame) -> DataFrame:
     """(child, parent, inclusion): the child has fewer defining relations, of which the parent has at least 80 %."""
     sizes = defining.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    d = defining.join(F.broadcast(sizes), "class")
+    d = defining.join(sizes, "class")
     c, p = d.select(F.col("class").alias("child"), "relation", F.col("n").alias("nc")), d.select(F.col("class").alias("parent"), "relation", F.col("n").alias("np"))
     both = c.join(p, "relation").where("child <> parent and nc < np").groupBy("child", "parent", "nc").agg(F.count(F.lit(1)).alias("k"))
     inclusion = F.col("k") / F.col("nc")
@@ -230,7 +230,7 @@ def interclass_edges(edges: DataFrame, assignments: DataFrame, least: int = 3, s
     a = assignments.where("class <> 'Other'").select("entity_id", "class")
     sizes = a.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
     pair = edges.join(a.select(F.col("entity_id").alias("src"), F.col("class").alias("cs")), "src").join(a.select(F.col("entity_id").alias("dst"), F.col("class").alias("cd")), "dst").where("cs <> cd").groupBy("cs", "cd").agg(F.count(F.lit(1)).alias("k"))
-    sized = pair.join(F.broadcast(sizes.select(F.col("class").alias("cs"), F.col("n").alias("ns"))), "cs").join(F.broadcast(sizes.select(F.col("class").alias("cd"), F.col("n").alias("nd"))), "cd")
+    sized = pair.join(sizes.select(F.col("class").alias("cs"), F.col("n").alias("ns")), "cs").join(sizes.select(F.col("class").alias("cd"), F.col("n").alias("nd")), "cd")
     strong = sized.where(F.col("k") >= F.greatest(F.lit(least), F.floor(F.least("ns", "nd") * share)))
     rank = F.row_number().over(W.partitionBy(F.least("cs", "cd"), F.greatest("cs", "cd")).orderBy(F.desc("k"), "cs"))
     return strong.withColumn("r", rank).where("r = 1").select(F.col("cs").alias("source_class"), F.col("cd").alias("target_class"), F.col("k").alias("n"))

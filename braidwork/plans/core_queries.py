@@ -58,7 +58,7 @@ def _month(c: str) -> str:
     return f"CAST((instr('janfebmaraprmayjunjulaugsepoctnovdec', {c}) + 2) // 3 AS VARCHAR)"
 
 
-_CELLS = rf"""rows_ AS (SELECT upper(regexp_replace(subject, '[^\p{{L}}\p{{N}}]', '', 'g')) AS s, lower(regexp_replace(relation, '[^\p{{L}}\p{{N}}]', '', 'g')) AS k,
+CELLS = rf"""rows_ AS (SELECT upper(regexp_replace(subject, '[^\p{{L}}\p{{N}}]', '', 'g')) AS s, lower(regexp_replace(relation, '[^\p{{L}}\p{{N}}]', '', 'g')) AS k,
     trim(regexp_replace(object, '{_SPACE}+', ' ', 'g'), ' ') AS o, extracted_at, ingested_at, seq FROM sampled_triples WHERE object IS NOT NULL),
   typed AS (SELECT regexp_extract(s, '^(POL|CLM|SRV|CHAT|EMAIL)') || '-' || lower(s[-12:]) AS subject, t.relation, value_type, o, lower(o) AS l, extracted_at, ingested_at, seq FROM rows_
     JOIN relation_types t ON lower(regexp_replace(t.relation, '_', '', 'g')) = k WHERE regexp_matches(s, '^(POL|CLM|SRV|CHAT|EMAIL)[0-9A-F]{{12}}$') AND lower(o) NOT IN (SELECT lower(marker) FROM placeholder_values)),
@@ -98,8 +98,8 @@ _UP = r"""own AS (SELECT node_id AS id, run_id, max({'u': updated_at, 'n': name}
     UNION ALL SELECT up.id, tree.root_id, tree.depth + 1, tree.path || ' > ' || own.name FROM tree JOIN up ON up.parent = tree.id JOIN own ON own.id = up.id)"""
 
 SQL: dict[str, str] = {
-    "p1_found": f"WITH {_CELLS} SELECT subject, relation, value FROM best WHERE value_type <> 'parts'",
-    "p1_wide": f"WITH {_CELLS} SELECT subject, split_part(subject, '-', 1) AS record_type, "
+    "p1_found": f"WITH {CELLS} SELECT subject, relation, value FROM best WHERE value_type <> 'parts'",
+    "p1_wide": f"WITH {CELLS} SELECT subject, split_part(subject, '-', 1) AS record_type, "
     + ", ".join(f"CAST(max({'o' if t == 'VARCHAR' else 'value'}) FILTER (relation = '{c}') AS {t}) AS {c}" for c, t in _wide_columns()) + " FROM best GROUP BY subject",
     "p5_found": f"WITH RECURSIVE {_UP} SELECT own.id AS node_id, coalesce(root_id, -1) AS root_id, coalesce(depth, -1) AS depth, coalesce(path, '') AS path FROM own LEFT JOIN tree USING (id)",
     "p5_descendants": f"""WITH RECURSIVE {_UP}, below AS (SELECT tree.id AS a, tree.id AS d FROM tree UNION ALL SELECT below.a, up.id FROM below JOIN up ON up.parent = below.d)

@@ -12,6 +12,9 @@ from ..operators import graph as G
 from ..operators import linkage as L
 from ..operators import normalize as N
 from ..operators import resolution as Re
+from ..operators import wide as Wd
+from ..session import materialize
+from .core_queries import CELLS
 from .registry import contains_sql, quoted, registry
 from .tables import table
 
@@ -154,13 +157,22 @@ def resolve_rewrite(spark: SparkSession, sf: str) -> DataFrame:
 
 _PROFILES = """kinds AS (SELECT subject AS id, max_by(object, seq) AS type FROM sampled_triples WHERE relation = 'IS_A' AND object IS NOT NULL GROUP BY subject),
   p AS (SELECT type, id, relation, value, seq FROM (SELECT subject AS id, relation, max_by(object, seq) AS value, min(seq) AS seq FROM sampled_triples WHERE starts_with(relation, 'HAS_') AND object IS NOT NULL GROUP BY subject, relation) JOIN kinds USING (id) WHERE type IN ('ClaimRecord', 'PolicyRecord'))"""
+#: Records by the cells of the wide table, labelled parts as fields of their own.
+_FIELDS = rf"""{CELLS}, raw AS (SELECT split_part(subject, '-', 1) AS type, subject AS id, relation, CASE WHEN value_type IN ('text', 'parts') THEN o ELSE value END AS value FROM best),
+  cut AS (SELECT *, string_split_regex(value, '[|;]') AS xs, NOT regexp_matches(value, '[|;]') OR len(list_filter(string_split_regex(value, '[|;]'), lambda x: NOT (regexp_matches(x, '^\s*([^:=|;]+?)\s*[:=]\s*(.*?)\s*$') OR trim(x) = ''))) > 0 AS whole FROM raw),
+  each_ AS (SELECT type, id, relation, whole, unnest(CASE WHEN whole THEN [value] ELSE xs END) AS x FROM cut),
+  named AS (SELECT type, id, relation, CASE WHEN whole THEN relation ELSE 'HAS_' || upper(regexp_replace(regexp_extract(x, '^\s*([^:=|;]+?)\s*[:=]\s*(.*?)\s*$', 1), '\s+', '_', 'g')) END AS field, CASE WHEN whole THEN x ELSE regexp_extract(x, '^\s*([^:=|;]+?)\s*[:=]\s*(.*?)\s*$', 2) END AS value FROM each_),
+  p AS (SELECT type, id, field AS relation, min({{'r': relation, 'v': value}}).v AS value, field AS seq FROM named WHERE value <> '' GROUP BY type, id, field)"""
 _SHARED = rf"""v AS (SELECT type, relation, value, count(*) AS n, row_number() OVER (PARTITION BY type, relation ORDER BY value) AS r FROM p GROUP BY type, relation, value),
-  s AS (SELECT type, relation, count(*) AS card, sum(n) AS records, list(value) FILTER (r <= 5) AS samples FROM v GROUP BY type, relation),
-  j AS (SELECT relation, a.card AS cardinality_a, b.card AS cardinality_b, ln(1 + 10 * ((a.card + b.card) / 2.0 / greatest(a.records, b.records))) + 0.1 AS idf_weight, list_concat(a.samples, b.samples) AS x FROM (SELECT * FROM s WHERE type = 'ClaimRecord') a JOIN (SELECT * FROM s WHERE type = 'PolicyRecord') b USING (relation)),
-  shared AS (SELECT relation, cardinality_a, cardinality_b, idf_weight, CASE WHEN {contains_sql('lower(relation)', L.DATE_WORDS)} THEN 'date' WHEN {contains_sql('lower(relation)', L.NUMBER_WORDS)} THEN 'numeric'
+  s0 AS (SELECT type, relation, count(*) AS card, sum(n) AS records, list(value) FILTER (r <= 5) AS samples FROM v GROUP BY type, relation),
+  hl AS (SELECT type, count(DISTINCT id) * 0.05 AS least FROM p GROUP BY type), s AS (SELECT s0.* FROM s0 JOIN hl USING (type) WHERE records >= least),
+  j AS (SELECT a.type AS type_a, b.type AS type_b, relation, a.card AS cardinality_a, b.card AS cardinality_b, ln(1 + 10 * ((a.card + b.card) / 2.0 / greatest(a.records, b.records))) + 0.1 AS idf_weight, list_concat(a.samples, b.samples) AS x FROM s a JOIN s b USING (relation) WHERE a.type < b.type),
+  shared AS (SELECT type_a, type_b, relation, cardinality_a, cardinality_b, idf_weight, CASE WHEN {contains_sql('lower(relation)', L.DATE_WORDS)} THEN 'date' WHEN {contains_sql('lower(relation)', L.NUMBER_WORDS)} THEN 'numeric'
     WHEN len(list_filter(x, lambda v: regexp_matches(v, '^\d{{4}}-\d{{2}}-\d{{2}}'))) > len(x) * 0.5 THEN 'date' WHEN len(list_filter(x, lambda v: regexp_matches(regexp_replace(v, '[,$]', '', 'g'), '^[\d.,$]+$'))) > len(x) * 0.5 THEN 'numeric'
-    WHEN len(x) > 0 AND len(list_filter(x, lambda v: length(v) > 10)) = 0 THEN 'categorical' ELSE 'text' END AS field_type, CAST(row_number() OVER (ORDER BY round(idf_weight, 9) DESC, relation) AS INT) AS rank FROM j)"""
-_PAIRS = """keys AS (SELECT relation FROM shared WHERE rank <= 2), pairs AS (SELECT DISTINCT x.id AS a, y.id AS b FROM p x JOIN p y USING (relation, value) JOIN keys USING (relation) WHERE x.type = 'ClaimRecord' AND y.type = 'PolicyRecord' AND value <> '')"""
+    WHEN len(x) > 0 AND len(list_filter(x, lambda v: length(v) > 10)) = 0 THEN 'categorical' ELSE 'text' END AS field_type, CAST(row_number() OVER (PARTITION BY type_a, type_b ORDER BY round(idf_weight, 9) DESC, relation) AS INT) AS rank, count(*) OVER (PARTITION BY type_a, type_b) AS fields FROM j)"""
+#: Relations that records are blocked by, and share of records that must hold one.
+LINK_PASSES, LINK_SHARE = 4, 0.05
+_PAIRS = f"""pairs AS (SELECT DISTINCT type_a, type_b, x.id AS a, y.id AS b FROM shared JOIN p x ON x.type = type_a AND x.relation = shared.relation JOIN p y ON y.type = type_b AND y.relation = shared.relation AND y.value = x.value WHERE rank <= {LINK_PASSES} AND x.value <> '')"""
 
 
 def _num(c: str) -> str:
@@ -171,47 +183,55 @@ def _date(c: str) -> str:
     return rf"TRY_CAST(regexp_extract(trim({c}), '^\d{{4}}-\d{{2}}-\d{{2}}') AS DATE)"
 
 
-_SCORES = f"""cmp AS (SELECT a, b, idf_weight AS w, greatest(cardinality_a, cardinality_b) AS card, CASE field_type
+_SCORES = f"""cmp AS (SELECT pairs.type_a, pairs.type_b, a, b, fields, idf_weight AS w, greatest(cardinality_a, cardinality_b) AS card, CASE field_type
     WHEN 'date' THEN CASE WHEN {_date('x.value')} IS NOT NULL AND {_date('y.value')} IS NOT NULL THEN CASE WHEN {_date('x.value')} = {_date('y.value')} THEN 1.0 WHEN abs({_date('x.value')} - {_date('y.value')}) <= 30 THEN 0.5 ELSE 0.0 END ELSE CAST(trim(x.value) = trim(y.value) AS DOUBLE) END
     WHEN 'numeric' THEN CAST(CASE WHEN {_num('x.value')} IS NOT NULL AND {_num('y.value')} IS NOT NULL THEN abs({_num('x.value')} - {_num('y.value')}) / greatest(abs({_num('x.value')}), abs({_num('y.value')}), 1e-9) <= 0.05 ELSE trim(x.value) = trim(y.value) END AS DOUBLE)
     WHEN 'categorical' THEN CAST(trim(x.value) = trim(y.value) AS DOUBLE) ELSE CAST(lower(trim(x.value)) = lower(trim(y.value)) AS DOUBLE) END AS s
-    FROM pairs JOIN p x ON x.id = a JOIN shared ON shared.relation = x.relation JOIN p y ON y.id = b AND y.relation = x.relation),
-  agg AS (SELECT a, b, sum(w) AS w, sum(w * s) AS m, count(*) AS compared, count(*) FILTER (s > 0) AS n, bool_or(s > 0 AND card >= 50) AS anchor FROM cmp GROUP BY a, b),
-  scored AS (SELECT a, b, CASE WHEN anchor THEN m / w * (0.5 + 0.5 * compared / (SELECT count(*) FROM shared)) ELSE 0.0 END AS score, CAST(CASE WHEN anchor THEN n ELSE 0 END AS INT) AS n_matched FROM agg)"""
+    FROM pairs JOIN p x ON x.id = a AND x.type = type_a JOIN shared ON shared.relation = x.relation AND shared.type_a = pairs.type_a AND shared.type_b = pairs.type_b JOIN p y ON y.id = b AND y.type = pairs.type_b AND y.relation = x.relation),
+  agg AS (SELECT type_a, type_b, a, b, max(fields) AS fields, sum(w) AS w, sum(w * s) AS m, count(*) AS compared, count(*) FILTER (s > 0) AS n, bool_or(s > 0 AND card >= 50) AS anchor FROM cmp GROUP BY type_a, type_b, a, b),
+  scored AS (SELECT type_a, type_b, a, b, CASE WHEN anchor THEN m / w * (0.5 + 0.5 * compared / fields) ELSE 0.0 END AS score, CAST(CASE WHEN anchor THEN n ELSE 0 END AS INT) AS n_matched FROM agg)"""
 
 
 def _profiles(spark: SparkSession, sf: str) -> DataFrame:
     return L.profiles(triples(spark, sf)).where("type in ('ClaimRecord', 'PolicyRecord')")
 
 
-@query(f"WITH {_PROFILES}, {_SHARED} SELECT * FROM shared")
+def _fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields of records in standard spelling; dates count in order of the field's name."""
+    prefixes = ("POL", "CLM", "SRV", "CHAT", "EMAIL")
+    schema = Wd.attribute_schema(table(spark, sf, "relation_types"))
+    cells = Wd.attribute_cells(table(spark, sf, "sampled_triples"), schema, table(spark, sf, "placeholder_values"), prefixes)
+    p = cells.select(F.split("subject", "-")[0].alias("type"), F.col("subject").alias("id"), "relation", "value")
+    return materialize(L.parts_as_fields(p).withColumn("seq", F.col("relation")), "record-fields")
+
+
+@query(f"WITH {_FIELDS}, {_SHARED} SELECT * FROM shared")
 def shared_relations_idf(spark: SparkSession, sf: str) -> DataFrame:
-    return L.shared_relations(_profiles(spark, sf), "ClaimRecord", "PolicyRecord")
+    return L.shared_relations(_fields(spark, sf), LINK_SHARE)
 
 
-@query(f"WITH {_PROFILES}, {_SHARED}, {_PAIRS} SELECT a, b FROM pairs")
+@query(f"WITH {_FIELDS}, {_SHARED}, {_PAIRS} SELECT * FROM pairs")
 def blocking_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    p = _profiles(spark, sf)
-    return L.blocking_pairs(p, L.shared_relations(p, "ClaimRecord", "PolicyRecord"), "ClaimRecord", "PolicyRecord")
+    p = _fields(spark, sf)
+    return L.blocking_pairs(p, L.shared_relations(p, LINK_SHARE), LINK_PASSES)
 
 
-@query(f"WITH {_PROFILES}, {_SHARED}, {_PAIRS}, {_SCORES} SELECT a, b, score, n_matched FROM scored")
+@query(f"WITH {_FIELDS}, {_SHARED}, {_PAIRS}, {_SCORES} SELECT type_a, type_b, a, b, score, n_matched FROM scored")
 def pair_scores(spark: SparkSession, sf: str) -> DataFrame:
-    p = _profiles(spark, sf)
-    shared = L.shared_relations(p, "ClaimRecord", "PolicyRecord")
-    return L.score_pairs(L.blocking_pairs(p, shared, "ClaimRecord", "PolicyRecord"), p, shared)
+    p = _fields(spark, sf)
+    shared = L.shared_relations(p, LINK_SHARE)
+    return L.score_pairs(L.blocking_pairs(p, shared, LINK_PASSES), p, shared)
 
 
 def _first(words) -> str:
     return f"min(CASE WHEN {contains_sql('lower(relation)', words)} AND {_date('value')} IS NOT NULL THEN {{'s': seq, 'd': {_date('value')}}} END).d"
 
 
-@query(f"""WITH {_PROFILES}, {_SHARED}, {_PAIRS}, {_SCORES}, w AS (SELECT id, {_first(L.START)} AS st, {_first(L.END)} AS en, {_first(L.EVENT)} AS ev FROM p GROUP BY id)
-  SELECT a AS subject, b AS object, score, n_matched FROM scored JOIN w x ON x.id = a JOIN w y ON y.id = b WHERE n_matched >= 1 AND score >= 0.2
+@query(f"""WITH {_FIELDS}, {_SHARED}, {_PAIRS}, {_SCORES}, w AS (SELECT id, {_first(L.START)} AS st, {_first(L.END)} AS en, {_first(L.EVENT)} AS ev FROM p GROUP BY id)
+  SELECT a AS subject, b AS object, score, n_matched FROM scored JOIN w x ON x.id = a JOIN w y ON y.id = b WHERE n_matched >= 3 AND score >= 0.4
   AND ((y.ev IS NULL OR x.st IS NULL OR (y.ev >= x.st AND (x.en IS NULL OR y.ev <= x.en))) OR (x.ev IS NULL OR y.st IS NULL OR (x.ev >= y.st AND (y.en IS NULL OR x.ev <= y.en))))""")
 def linked_to(spark: SparkSession, sf: str) -> DataFrame:
-    # Claims and policies share few relations here, so the limits are lower than the defaults.
-    return L.link(triples(spark, sf), "ClaimRecord", "PolicyRecord", 1, 0.2)
+    return L.link(_fields(spark, sf), passes=LINK_PASSES, least_share=LINK_SHARE)
 
 
 @query(f"WITH {_PROFILES} SELECT id, {_first(L.START)} AS start, {_first(L.END)} AS \"end\", {_first(L.EVENT)} AS event FROM p GROUP BY id")

@@ -58,8 +58,3 @@ def bounded_rows(df: DataFrame, limit: int = LOOKUP_ROWS, what: str = "lookup ta
     if len(rows) > limit:
         raise ValueError(f"{what} has more than {limit} rows")
     return rows
-
-
-def bounded_broadcast(df: DataFrame, limit: int = LOOKUP_ROWS, what: str = "lookup table") -> DataFrame:
-    """``df`` marked for broadcast after its rows were counted; a larger one is returned unmarked."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -192,7 +192,7 @@ def test_links_respect_time(spark):
             rows += [(key, kind, "IS_A", kind, "RecordType"), (key, kind, "HAS_NAME", f"name {i}", "Text"), (key, kind, "HAS_STREET", f"street {i}", "Text"), (key, kind, "HAS_ZONE", "AX"[i % 2], "Categorical")]
         rows += [(f"POL-{i}", "PolicyRecord", "HAS_EFFECTIVE_DATE", "2024-01-01", "Date"), (f"CLM-{i}", "ClaimRecord", "HAS_DATE_OF_LOSS", "2023-01-01" if i < 5 else "2024-05-01", "Date")]
     t = triples(spark, rows)
-    got = {(r["subject"], r["object"]) for r in L.link(t, "ClaimRecord", "PolicyRecord").collect()}
+    got = {(r["subject"], r["object"]) for r in L.link(L.profiles(t)).collect()}
     # Before its policy a claim fits only in the other direction, which has no event and so allows it.
     assert {(f"CLM-{i}", f"POL-{i}") for i in range(5, 60)} <= got and all(a[4:] == b[4:] for a, b in got)
     assert {r["type"] for r in L.record_types(t).collect()} == {"PolicyRecord", "ClaimRecord"}
@@ -335,6 +335,22 @@ def test_work_of_cosine_pairs_falls_with_the_rows():
     assert [k / 2**b for b, k in shares] == sorted((k / 2**b for b, k in shares), reverse=True)
 
 
+def test_labelled_parts_become_fields(spark):
+    rows = [("POL", "1", "HAS_ADDRESS", "city: A | zip = 1 |"), ("POL", "1", "HAS_CONTACT", "city: B; name: N"), ("POL", "1", "HAS_NOTE", "a | b: c"), ("POL", "1", "HAS_TIME", "12:30"), ("POL", "2", "HAS_ADDRESS", None)]
+    got = {(r["id"], r["relation"], r["value"]) for r in L.parts_as_fields(spark.createDataFrame(rows, "type string, id string, relation string, value string")).collect()}
+    assert got == {("1", "HAS_CITY", "A"), ("1", "HAS_ZIP", "1"), ("1", "HAS_NAME", "N"), ("1", "HAS_NOTE", "a | b: c"), ("1", "HAS_TIME", "12:30")}
+
+
+def test_links_of_every_two_types_and_of_none(spark):
+    rows = [(t, f"{t}{i}", "HAS_NAME", f"n{i}", 1) for t in "ABC" for i in range(60)] + [(t, f"{t}{i}", "HAS_ZIP", f"z{i}", 1) for t in "AB" for i in range(60)] + [("D", "D1", "HAS_OTHER", "x", 1), ("D", "D2", "HAS_RARE", "x", 1)]
+    p = spark.createDataFrame(rows, "type string, id string, relation string, value string, seq int")
+    shared = {(r["type_a"], r["type_b"], r["relation"]): r["fields"] for r in L.shared_relations(p).collect()}
+    assert shared == {("A", "B", "HAS_NAME"): 2, ("A", "B", "HAS_ZIP"): 2, ("A", "C", "HAS_NAME"): 1, ("B", "C", "HAS_NAME"): 1}
+    assert L.shared_relations(p.where("type = 'D' or id = 'A1'")).count() == 0 and L.link(p.where("type = 'D'")).count() == 0
+    got = {(r["subject"], r["object"]) for r in L.link(p, 1, 0.4).collect()}
+    assert got == {(f"{a}{i}", f"{b}{i}") for a, b in ("AB", "AC", "BC") for i in range(60)}
+
+
 def test_numbers_in_prose(spark):
     text = "The Flood Deductible is $1,250.00 per loss. Notice must reach the Claims Office within 30 days. Building Coverage: replacement cost of 80 percent applies. $5 alone."
     got = {(r["relation"], r["object"]) for r in X.numeric_triples(spark.createDataFrame([("1", "s", text), ("2", "s", None)], "chunk_id string, source string, content string")).collect()}
