@@ -46,9 +46,12 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.similar_pairs(p4_neighbours(spark, sf), 0.90).select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"))
 
 
+def _capacity(spark: SparkSession, sf: str) -> int:
+    return table(spark, sf, "size_limits").where("limit_name = 'container'").first()["max_tokens"]
+
+
 def _containers(spark: SparkSession, sf: str) -> DataFrame:
-    capacity = table(spark, sf, "size_limits").where("limit_name = 'container'").first()["max_tokens"]
-    return packing.pack_documents(table(spark, sf, "documents"), capacity)
+    return packing.pack_documents(table(spark, sf, "documents"), _capacity(spark, sf))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,6 +62,10 @@ def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
     return _containers(spark, sf)
 
 
+def p6_report(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.container_report(_containers(spark, sf), _capacity(spark, sf))
+
+
 def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return mixing.mix(mixing.sized(table(spark, sf, "documents")), table(spark, sf, "mix_targets"))
 
@@ -88,7 +95,7 @@ def p8_stretches(spark: SparkSession, sf: str) -> DataFrame:
     return _languages(spark, sf)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_pieces, p4_found, p4_neighbours, p6_found, p6_containers, p7_found, p7_records, p7_shares, p8_found, p8_stretches)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_pieces, p4_found, p4_neighbours, p6_found, p6_containers, p6_report, p7_found, p7_records, p7_shares, p8_found, p8_stretches)}
 
 
 _TRIPLE_KEYS = r"""

@@ -1,4 +1,6 @@
 import itertools
+import random
+import time
 from collections import Counter
 
 from hypothesis import given, settings
@@ -41,10 +43,28 @@ def test_bin_completion_beats_best_fit():
 
 
 def test_fillings_are_undominated():
-    found = P.fillings(6, Counter([4, 3, 2, 1]), 10, 50)
+    found = list(P.fillings(6, Counter([4, 3, 2, 1]), 10, 50))
     assert found[0] == (4,) and (3,) not in found and (2,) not in found
 
 
+def test_the_tightest_filling_of_many_is_found_first():
+    rng = random.Random(3)
+    left = Counter(rng.randint(50, 900) for _ in range(400))
+    found = list(itertools.islice(P.fillings(901, left, 4096, 4096), 200))
+    unused = [4096 - 901 - sum(f) for f in found]
+    assert unused == sorted(unused) and unused[0] == 0 and len(set(found)) == 200 and all(Counter(f) <= left for f in found)
+
+
+def test_a_group_that_best_fit_does_not_solve_ends_soon():
+    rng = random.Random(5)
+    sizes = [rng.randint(300, 900) for _ in range(600)]
+    start = time.time()
+    bins, proved = P.solve(sizes, 2048)
+    assert time.time() - start < 15 and Counter(itertools.chain(*bins)) == Counter(sizes) and max(map(sum, bins)) <= 2048
+    assert len(bins) == P.lower_bound(sizes, 2048) < len(P.best_fit(sizes, 2048)) and proved
+    assert P.solve([7, 7, 6, 6, 5, 5, 4, 4, 4], 12, nodes=1)[1] in (True, False) and P.solve([], 5) == ([], True)
+
+
 def docs(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, tokens long, container string")
 
@@ -60,6 +80,8 @@ def test_operator(spark):
         fill[r["container"]] += r["tokens"]
     assert all(fill[r["container"]] == r["filled"] <= 100 for r in out)
     assert len([c for c in fill if fill[c]]) <= -(-sum(fill.values()) // 100) + 1
+    report = P.container_report(P.pack_documents(docs(spark, rows), 100), 100).first()
+    assert report["tokens"] == sum(fill.values()) and report["containers"] == len([c for c in fill if fill[c]]) >= report["least"] and report["not_proved"] == 0
     for d in (1000, 1003):
         spans = sorted((r["first_token"], r["first_token"] + r["tokens"]) for r in out if r["doc_id"] == d)
         assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
@@ -74,4 +96,5 @@ def test_groups_share_their_loose_containers(spark, monkeypatch):
 
 
 def test_empty(spark):
+    assert P.container_report(P.pack_documents(docs(spark, []), 100), 100).first()["containers"] == 0
     assert P.pack_documents(docs(spark, []), 100).collect() == []
