@@ -5,7 +5,6 @@ Both are plain objects that travel to the Python workers. The defaults are deter
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -40,6 +39,22 @@ class RuleClient:
         return self.otherwise
 
 
+class LineClient:
+    """Answers each numbered line "n. text" of a prompt with "n -> answer" by the first rule that is found in the text.
+
+    ``tasks`` are rules over whole prompts, which go first.
+    """
+
+    def __init__(self, rules: list[tuple[str, str | Callable[[str], str]]], otherwise: str = "none", tasks: list[tuple[str, str]] = ()):
+        self.line, self.tasks = RuleClient(rules, otherwise), list(tasks)
+
+    def answer(self, prompt: str) -> str:
+        for pattern, reply in self.tasks:
+            if re.search(pattern, prompt):
+                return reply
+        return "\n".join(f"{m[1]} -> {self.line.answer(m[2])}" for m in re.finditer(r"^(\d+)\. (.*)$", prompt, re.M))
+
+
 class SentenceTriples:
     """A stand-in for extraction: sentences "The x verb y ..." as triples."""
 
@@ -57,14 +72,21 @@ class HashedEmbedder:
         self.dim = dim
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim))
-        for i, t in enumerate(texts):
-            words = re.findall(r"[^\W_]+", (t or "").lower())
-            t = f" {' '.join(words)} " if words else ""
-            for n in (2, 3, 4):
-                for j in range(len(t) - n + 1):
-                    h = int.from_bytes(hashlib.blake2b(t[j : j + n].encode(), digest_size=5).digest(), "big")
-                    out[i, h % self.dim] += 1 if h & (1 << 39) else -1
+        clean = [" ".join(re.findall(r"[^\W_]+", (t or "").lower())) for t in texts]
+        clean = [f" {t} " if t else "" for t in clean]
+        chars = np.frombuffer("".join(clean).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+        owner = np.repeat(np.arange(len(clean)), [len(t) for t in clean])
+        out, rolling = np.zeros(len(texts) * self.dim), np.zeros(len(chars), dtype=np.uint64)
+        for n in range(1, 5):
+            if len(chars) < n:
+                break
+            rolling = rolling[: len(chars) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + chars[n - 1 :] + np.uint64(1)
+            if n > 1:
+                inside = owner[: len(rolling)] == owner[n - 1 :]
+                h = (rolling ^ (rolling >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                sign = np.where(h >> np.uint64(63), 1.0, -1.0)
+                np.add.at(out, (owner[: len(rolling)] * self.dim + (h >> np.uint64(32) & np.uint64(0x3FFFFFFF)).astype(np.int64) % self.dim)[inside], sign[inside])
+        out = out.reshape(len(texts), self.dim)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 

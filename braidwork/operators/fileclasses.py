@@ -6,18 +6,21 @@ are plans over (file, header) rows.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import bounded_rows
+from .resolution import components
 
 #: Headers of a prefix group, suffix overlap of siblings, header overlap and score by which files group.
 GROUP, SIBLING, CROSS_FILE, SCORE = 3, 0.8, 0.3, 0.5
 #: Files whose metadata the driver may hold.
 MAX_FILES = 20_000
+#: Marks words among files; sorts after every name.
+WORD = "\uffffword "
 
 
 def prefix_groups(headers: DataFrame, least: int = GROUP, separator: str = "_") -> DataFrame:
@@ -125,16 +128,13 @@ def file_clusters(tokens: dict[str, set[str]]) -> list[set[str]]:
     for f in files:
         for t in tokens[f]:
             of[t].add(f)
-    sets = _Sets(files)
-    for a, b in combinations(files, 2):
-        if len(tokens[a] & tokens[b]) >= 2:
-            sets.join(a, b)
-
-    def size(f: str) -> int:
-        return sum(sets.root(x) == sets.root(f) for x in files)
+    sets, holder = _Sets(files), {}
+    for f in files:  # files with the same two words meet at the first of them
+        for pair in combinations(sorted(tokens[f]), 2):
+            sets.join(holder.setdefault(pair, f), f)
 
     first = {f: sets.root(f) for f in files}
-    large = {r for r in first.values() if sum(x == r for x in first.values()) > 1}
+    large = {r for r, n in Counter(first.values()).items() if n > 1}
     for t in sorted(of):
         if len(of[t]) >= 3:
             roots = {first[f] for f in of[t]}
@@ -142,19 +142,22 @@ def file_clusters(tokens: dict[str, set[str]]) -> list[set[str]]:
                 target = sorted(roots & large or roots)[0]
                 for r in sorted(roots - {target} - (roots & large)):
                     sets.join(target, r)
-    if any(len(g) > 1 for g in sets.groups()):
+    groups = sets.groups()
+    if any(len(g) > 1 for g in groups):
         changed = True
-        while changed:
-            changed = False
-            for f in files:
-                if size(f) == 1:
-                    for g in sets.groups():
-                        identity = {t for t in {x for m in g for x in tokens[m]} if sum(t in tokens[m] for m in g) >= 2}
-                        if len(g) > 1 and tokens[f] & identity:
-                            sets.join(sorted(g)[0], f)
-                            changed = True
-                            break
-        single = {f for f in files if size(f) == 1}
+        while changed:  # each round a single file joins the first group one of whose words of two files it has
+            changed, known = False, {}
+            for g in sets.groups():
+                if len(g) > 1:
+                    for t, n in Counter(t for f in g for t in tokens[f]).items():
+                        if n >= 2:
+                            known.setdefault(t, min(g))
+            for g in sets.groups():
+                targets = sorted(known[t] for f in g for t in tokens[f] if t in known) if len(g) == 1 else []
+                if targets:
+                    sets.join(targets[0], min(g))
+                    changed = True
+        single = {f for g in sets.groups() if len(g) == 1 for f in g}
         for t in sorted(of):
             if len(of[t]) >= 2 and of[t] <= single:
                 a, *rest = sorted(of[t])
@@ -197,41 +200,39 @@ def token_roles(file_tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def function_groups(headers: DataFrame, file_tokens: DataFrame, least: float = SCORE) -> DataFrame:
-    """(group, file): files of different lines of business with the same function.
+    """(group, file): files of different lines of business with the same function, by the name of the first file of each group.
 
     Half a point for a common function word, 0.3 for a common header prefix of two headers, 0.2 for a header overlap above
-    0.1; files of one line of business never group directly. Single files count as lines of their own.
+    0.1; files of one line of business never group directly. Single files count as lines of their own. A file without a
+    partner is a group. Files meet by equality on words, prefixes and headers, never all with all.
     """
     roles, clusters = token_roles(file_tokens)
-    functions = {r["token"] for r in roles.where("role = 'function'").collect()}
-    number = {r["file"]: r["cluster"] for r in clusters.collect()}
-    sizes = defaultdict(int)
-    for c in number.values():
-        sizes[c] += 1
-    words, heads = defaultdict(set), defaultdict(set)
-    for r in bounded_rows(file_tokens.select("file", "token"), MAX_FILES * 10, "file words"):
-        words[r["file"]].add(_plain(r["token"]))
-    for r in bounded_rows(headers.select("file", "header").where("header is not null"), MAX_FILES * 10, "file headers"):
-        heads[r["file"]].add(r["header"])
-
-    def prefixes(f: str) -> set[str]:
-        counts = defaultdict(int)
-        for h in heads[f]:
-            if "_" in h and not h.startswith("_"):
-                counts[h.split("_", 1)[0]] += 1
-        return {p for p, n in counts.items() if n >= 2}
-
-    files = sorted(words.keys() | heads.keys())
-    sets, dominant = _Sets(files), {f: prefixes(f) for f in files}
-    for a, b in combinations(files, 2):
-        same = number.get(a, -1) == number.get(b, -2) and sizes[number.get(a, -1)] > 1
-        if not same:
-            common = words[a] & words[b] & functions if functions else words[a] & words[b]
-            union = heads[a] | heads[b]
-            overlap = len(heads[a] & heads[b]) / len(union) if union else 0.0
-            if 0.5 * bool(common) + 0.3 * bool(dominant[a] & dominant[b]) + 0.2 * (overlap > 0.1) >= least:
-                sets.join(a, b)
-    return headers.sparkSession.createDataFrame([(i, f) for i, g in enumerate(sets.groups()) for f in sorted(g)], "`group` int, file string")
+    line = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    line = clusters.join(line, "cluster").select("file", F.when(F.col("n") > 1, F.concat(F.lit("line "), F.col("cluster"))).otherwise(F.concat(F.lit("file "), F.col("file"))).alias("line"))
+    t = F.lower("token")
+    words = file_tokens.where("file is not null and token is not null").select("file", F.when((F.length(t) > 3) & t.endswith("s"), F.substr(t, F.lit(1), F.length(t) - 1)).otherwise(t).alias("token")).distinct()
+    functions = roles.where("role = 'function'").select("token")
+    words = words.join(functions, "token", "left_semi") if not functions.isEmpty() else words
+    heads = headers.where("file is not null and header is not null").select("file", "header").distinct()
+    files = words.select("file").union(file_tokens.select("file")).union(heads.select("file")).where("file is not null").distinct()
+    lines = files.join(line, "file", "left").withColumn("line", F.coalesce("line", F.concat(F.lit("file "), F.col("file"))))
+    prefix = heads.where(F.col("header").rlike("^[^_]+_")).withColumn("prefix", F.split("header", "_")[0]).groupBy("file", "prefix").agg(F.count(F.lit(1)).alias("k")).where("k >= 2").select("file", "prefix")
+
+    def meet(df: DataFrame, on: str) -> DataFrame:
+        return df.withColumnRenamed("file", "a").join(df.withColumnRenamed("file", "b"), on).where("a < b").select("a", "b").distinct()
+
+    if least <= 0.5:  # a common function word is enough: the files of a word meet at the word if they are of several lines
+        several = words.join(lines, "file").groupBy("token").agg(F.count_distinct("line").alias("n")).where("n > 1").select("token")
+        links = words.join(several, "token", "left_semi").select(F.col("file").alias("a"), F.concat(F.lit(WORD), "token").alias("b"))
+    else:
+        links = None
+    scored = meet(words, "token").withColumn("s", F.lit(0.5)).unionByName(meet(prefix, "prefix").withColumn("s", F.lit(0.3))) if links is None else meet(prefix, "prefix").withColumn("s", F.lit(0.3))
+    scored = scored.unionByName(header_overlap(heads).where("jaccard > 0.1").select("a", "b", F.lit(0.2).alias("s"))).groupBy("a", "b").agg(F.sum("s").alias("s")).where(F.round("s", 6) >= least)
+    la, lb = lines.select(F.col("file").alias("a"), F.col("line").alias("la")), lines.select(F.col("file").alias("b"), F.col("line").alias("lb"))
+    scored = scored.join(la, "a").join(lb, "b").where("la <> lb").select("a", "b")
+    found = components(scored if links is None else links.unionByName(scored)).where(~F.col("id").startswith(WORD))
+    first = found.groupBy("component").agg(F.min("id").alias("group"))
+    return files.join(found.join(first, "component").select(F.col("id").alias("file"), "group"), "file", "left").select(F.coalesce("group", "file").alias("group"), "file")
 
 
 def functional_classes(headers: DataFrame, groups: DataFrame) -> DataFrame:

@@ -19,8 +19,8 @@ LITERALS = r"^\$[\d,]+\.?\d*$|^\d{4}-\d{2}-\d{2}$|^\d{1,2}/\d{1,2}/\d{2,4}$|^-?[
 
 def ends(triples: DataFrame) -> DataFrame:
     """(id, type, source_type, ord): both ends of every triple in order of appearance; null ends are left out."""
-    s = F.struct(F.col("subject").alias("id"), F.col("subject_type").alias("type"), "source_type", (F.col("seq") * 2).alias("ord"))
-    o = F.struct(F.col("object").alias("id"), F.col("object_type").alias("type"), "source_type", (F.col("seq") * 2 + 1).alias("ord"))
+    s = F.struct(F.col("subject").alias("id"), F.col("subject_type").alias("type"), "source_type", F.struct("seq", F.lit(0).alias("end")).alias("ord"))
+    o = F.struct(F.col("object").alias("id"), F.col("object_type").alias("type"), "source_type", F.struct("seq", F.lit(1).alias("end")).alias("ord"))
     return triples.select(F.explode(F.array(s, o)).alias("e")).select("e.*").where("id is not null")
 
 
@@ -82,13 +82,20 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def summaries(edges: DataFrame, n: int = 5) -> DataFrame:
-    """(id, out_summary, out_rel_counts): the first ``n`` outgoing edges as text by seq, and counts by relation as "rel=n".
+    """(id, out_summary, out_rel_counts, in_summary, in_rel_counts) of every end of an edge.
 
+    The first ``n`` edges of each direction as text by seq, and counts by relation as "rel=n"; empty where there are none.
     Ranks are cut per node before anything is collected, so a node with very many edges yields n entries.
     """
-    first = edges.withColumn("r", F.row_number().over(W.partitionBy("src").orderBy("seq"))).where(F.col("r") <= n).groupBy("src").agg(F.array_sort(F.collect_list(F.struct("r", F.concat("rel", F.lit(" -> "), "dst").alias("t")))).alias("s"))
-    counts = edges.groupBy("src", "rel").agg(F.count(F.lit(1)).alias("k")).groupBy("src").agg(F.array_sort(F.collect_list(F.concat("rel", F.lit("="), F.col("k").cast("string")))).alias("c"))
-    return first.join(counts, "src").select(F.col("src").alias("id"), F.col("s.t").alias("out_summary"), F.col("c").alias("out_rel_counts"))
+
+    def side(end: str, shown: Column, prefix: str) -> DataFrame:
+        first = edges.withColumn("r", F.row_number().over(W.partitionBy(end).orderBy("seq"))).where(F.col("r") <= n).groupBy(end).agg(F.array_sort(F.collect_list(F.struct("r", shown.alias("t")))).alias("s"))
+        counts = edges.groupBy(end, "rel").agg(F.count(F.lit(1)).alias("k")).groupBy(end).agg(F.array_sort(F.collect_list(F.concat("rel", F.lit("="), F.col("k").cast("string")))).alias("c"))
+        return first.join(counts, end).select(F.col(end).alias("id"), F.col("s.t").alias(f"{prefix}_summary"), F.col("c").alias(f"{prefix}_rel_counts"))
+
+    out, into = side("src", F.concat("rel", F.lit(" -> "), "dst"), "out"), side("dst", F.concat("src", F.lit(" -> "), "rel"), "in")
+    no = F.array().cast("array<string>")
+    return out.join(into, "id", "full").select("id", *(F.coalesce(c, no).alias(c) for c in ("out_summary", "out_rel_counts", "in_summary", "in_rel_counts")))
 
 
 def neighbor_vote(edges: DataFrame, classes: DataFrame) -> DataFrame:

@@ -8,14 +8,20 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import LOOKUP_ROWS, bounded_rows
+from ..functions.text import strip
+from ..models import Embedder, LLMClient, ask, embed_column
+from ..session import LOOKUP_ROWS, bounded_rows, materialize
+from .extraction import prompt_parts
 
 #: Similarity from which names match, from which depths are compared, and from which members count fully or half.
 MATCH, DEPTH_MATCH, FULL, HALF = 0.436, 0.3, 0.58, 0.42
+#: Cosine from which a fact is found, and characters that a fact has more than.
+FACT_MATCH, FACT_CHARS = 0.65, 15
 #: Names of classes that the driver may hold for an optimal matching.
 MAX_NAMES = 5000
 #: Slices of one unit of a score.
@@ -64,6 +70,94 @@ def grounding_score(verdicts: DataFrame) -> DataFrame:
     return out.select("supported", "partial", "rejected", F.coalesce(F.try_divide(F.col("supported") + 0.5 * F.col("partial"), F.col("n")), F.lit(0.0)).alias("score"))
 
 
+def chunk_facts(chunks: DataFrame, client: LLMClient, form: str = "sentence", replay: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, fact) that a model lists for chunks (chunk_id, source, content), long ones asked about in parts.
+
+    ``form``: sentence, a line of more than FACT_CHARS characters without its bullet or number, or triple, a line
+    "subject | relation | object" with three parts.
+    """
+    task = {"sentence": "List the facts in the text, one short sentence a line.\nTEXT:", "triple": "List the facts in the text, one a line, as subject | relation | object.\nTEXT:"}[form]
+    prompts = prompt_parts(chunks).select(F.struct("chunk_id", "part").alias("key"), F.concat(F.lit(task), "content").alias("prompt"))
+    lines = ask(prompts, client, replay).select("key.chunk_id", F.explode(F.split("answer", "\n")).alias("line"))
+    if form == "sentence":
+        return lines.select("chunk_id", F.regexp_replace(F.trim("line"), r"^[0-9.\-) •]+", "").alias("fact")).where(F.length("fact") > FACT_CHARS)
+    return triple_facts(lines)
+
+
+def triple_facts(lines: DataFrame) -> DataFrame:
+    """(chunk_id, fact, subject, object) of lines (chunk_id, line) with three parts between bars, none blank."""
+    parts = F.transform(F.split("line", r"\|"), strip)
+    return lines.withColumn("p", parts).where((F.size("p") == 3) & F.forall("p", lambda x: x != "")).select("chunk_id", F.col("line").alias("fact"), F.col("p")[0].alias("subject"), F.col("p")[2].alias("object"))
+
+
+def linearized(triples: DataFrame) -> DataFrame:
+    """(text) of triples as sentences; record ids stand as the name of their type."""
+
+    def shown(c: str, kind: str) -> Column:
+        name = F.lower(F.regexp_replace(F.coalesce(kind, F.lit("record")), "Record$", ""))
+        return F.when(F.col(c).rlike(r"^[A-Z]+-[0-9a-f]{8,}"), name).otherwise(F.col(c))
+
+    return triples.select(F.concat_ws(" ", shown("subject", "subject_type"), F.lower(F.replace("relation", F.lit("_"), F.lit(" "))), shown("object", "object_type")).alias("text"))
+
+
+def fact_recall(facts: DataFrame, triples: DataFrame, embedder: Embedder | None = None, least: float = FACT_MATCH, block: int = 4096) -> DataFrame:
+    """One row: facts, found, recall: facts (chunk_id, fact) with a triple whose sentence has a cosine of ``least`` or more.
+
+    Facts are compared with all distinct sentences, block by block, one matrix product each; only the hits leave a task.
+    """
+    both = facts.where("fact is not null").select("chunk_id", "fact")
+    f = materialize(embed_column(both.select(F.col("fact").alias("text")).distinct(), "text", embedder), "facts")
+    t = materialize(embed_column(linearized(triples).distinct(), "text", embedder), "sentences")
+    nf, nt = max(1, -(-f.count() // block)), max(1, -(-t.count() // (4 * block)))
+
+    def dealt(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64("text"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"text": pd.Series(dtype=str)})
+        s = np.stack(a["v"].to_numpy()) @ np.stack(b["v"].to_numpy()).T
+        return pd.DataFrame({"text": a["text"][s.max(axis=1) >= least]})
+
+    hits = dealt(f, "i", nf, "j", nt).groupBy("i", "j").cogroup(dealt(t, "j", nt, "i", nf).groupBy("i", "j")).applyInPandas(compare, "text string").distinct()
+    found = both.join(hits.select(F.col("text").alias("fact"), F.lit(1).alias("hit")), "fact", "left")
+    return _recall(found)
+
+
+def _recall(found: DataFrame) -> DataFrame:
+    n = found.agg(F.count(F.lit(1)).alias("facts"), F.count("hit").alias("found"))
+    return n.withColumn("recall", F.coalesce(F.try_divide("found", "facts"), F.lit(0.0)))
+
+
+def part_of_each_other(strings: DataFrame, ids: DataFrame) -> DataFrame:
+    """(text) of distinct ``strings`` (text) that contain an id (text) or are part of one.
+
+    A string is looked for where its first three letters, or all of fewer, occur, which is an equality join. Null and empty
+    strings contain nothing and are part of nothing.
+    """
+    x, e = (df.select("text").where("text <> ''").distinct() for df in (strings, ids))
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.col("text").alias(name), F.left("text", F.lit(3)).alias("k"))
+
+    def grams(df: DataFrame, name: str) -> DataFrame:
+        at = F.sequence(F.lit(1), F.length("text"))
+        cut = F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(*(F.substr("text", i, F.lit(n)) for n in (1, 2, 3))))))
+        return df.select(F.col("text").alias(name), F.explode(cut).alias("k"))
+
+    inside = keyed(x, "a").join(grams(e, "b"), "k").where(F.col("b").contains(F.col("a"))).select(F.col("a").alias("text"))
+    around = keyed(e, "a").join(grams(x, "b"), "k").where(F.col("b").contains(F.col("a"))).select(F.col("b").alias("text"))
+    return inside.union(around).distinct()
+
+
+def fact_recall_substring(facts: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row: facts, found, recall: facts (subject, object) both of whose ends are part of an id or contain one, ignoring case."""
+    f = facts.select(F.lower("subject").alias("s"), F.lower("object").alias("o"))
+    hits = part_of_each_other(f.select(F.explode(F.array("s", "o")).alias("text")), ids.select(F.lower("id").alias("text"))).withColumn("hit", F.lit(1))
+    s, o = hits.select(F.col("text").alias("s"), F.col("hit").alias("hs")), hits.select(F.col("text").alias("o"), F.col("hit").alias("ho"))
+    return _recall(f.join(s, "s", "left").join(o, "o", "left").withColumn("hit", F.col("hs") * F.col("ho")))
+
+
 def edge_f1(induced: DataFrame, reference: DataFrame, similarity: DataFrame, threshold: float = MATCH) -> DataFrame:
     """(run_id, precision, recall, f1) of edges that match if both ends' similarity exceeds the threshold.
 
@@ -371,7 +465,21 @@ def compare_runs(metrics: DataFrame, base: str) -> DataFrame:
     return metrics.join(b, "metric", "left").select("metric", "run", "value", (F.col("value") - F.col("_b")).alias("delta"))
 
 
-def keyword_pass(answers: DataFrame) -> DataFrame:
-    """(task, passed) of (task, values, keywords): whether a keyword is in the answer's values, not in its column names."""
-    text = F.lower(F.array_join("values", " "))
-    return answers.select("task", F.exists("keywords", lambda k: text.contains(F.lower(k))).alias("passed"))
+def run_tasks(spark: SparkSession, tasks: list[tuple[str, str, list[str]]], limit: int = 200) -> DataFrame:
+    """(task, passed) of (task, statement, keywords): whether a keyword is in the values of the first ``limit`` rows.
+
+    A statement that may not run, or that fails, does not pass.
+    """
+    from ..sources.writers import answer
+
+    out = None
+    for name, sql, keywords in tasks:
+        try:
+            rows = answer(spark, sql, limit)
+            text = F.concat_ws(" ", *[F.lower(F.col(f"`{c}`").cast("string")) for c in rows.columns])
+            hits = rows.agg(F.coalesce(F.max(F.exists(F.array(*map(F.lit, keywords)), lambda k: text.contains(F.lower(k)))), F.lit(False)).alias("passed"))
+        except (ValueError, AnalysisException):
+            hits = spark.createDataFrame([(False,)], "passed boolean")
+        hits = hits.select(F.lit(name).alias("task"), "passed")
+        out = hits if out is None else out.unionByName(hits)
+    return out if out is not None else spark.createDataFrame([], "task string, passed boolean")

@@ -31,24 +31,29 @@ def _arrows(answers: pd.Series) -> pd.Series:
 
 
 def batches(rows: DataFrame, key: str, size: int, *by: str) -> DataFrame:
-    """``rows`` with ``batch``: numbers of ``size`` rows in a hash order of ``key``, within ``by``.
+    """``rows`` with ``batch`` of ``size`` rows in a hash order of ``key``, within ``by``, and their number ``no`` in it.
 
     Numbering is per hash bucket, not over all rows, so no task sees more than a bucket.
     """
     buckets = max(1, rows.count() // 20_000 + 1)
     b = rows.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(buckets)))
-    n = F.floor((F.row_number().over(W.partitionBy("_b", *by).orderBy(key)) - 1) / size)
-    return b.withColumn("batch", F.concat_ws("/", *[F.col(c).cast("string") for c in by], F.col("_b").cast("string"), n.cast("string"))).drop("_b")
+    b = b.withColumn("_n", F.row_number().over(W.partitionBy("_b", *by).orderBy(key)) - 1)
+    n = F.floor(F.col("_n") / size)
+    return b.withColumn("batch", F.concat_ws("/", *[F.col(c).cast("string") for c in by], F.col("_b").cast("string"), n.cast("string"))).withColumn("no", (F.col("_n") % size + 1).cast("string")).drop("_b", "_n")
 
 
 def ask_per_item(items: DataFrame, client: LLMClient, task: str, size: int = BATCH, detail: str | None = None, replay: DataFrame | None = None) -> DataFrame:
-    """(item, answer) of items (item, and the column ``detail``), asked ``size`` at a time; lines "item -> answer" come back."""
+    """(item, answer) of items (item, and the column ``detail``), asked ``size`` at a time.
+
+    Each item is a numbered line, line breaks in it as blanks; a line "number -> answer" or "item -> answer" comes back.
+    """
     line = F.concat("item", F.lit(" : "), F.coalesce(detail, F.lit(""))) if detail else F.col("item")
     b = batches(items.select("item", line.alias("line")).where("item is not null").dropDuplicates(["item"]), "item", size)
-    prompts = b.groupBy("batch").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("lines"))
-    said = ask(prompts.select(F.col("batch").alias("key"), F.concat(F.lit(task + "\nAnswer with a line \"name -> answer\" for each.\n"), "lines").alias("prompt")), client, replay)
-    pairs = said.select(F.explode(_arrows("answer")).alias("item", "answer"))
-    return pairs.join(b.select("item"), "item", "left_semi").dropDuplicates(["item"])
+    b = b.withColumn("line", F.concat("no", F.lit(". "), F.regexp_replace("line", r"[\r\n]+", " ")))
+    prompts = b.groupBy("batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("no").cast("int").alias("no"), "line"))), lambda x: x["line"]), "\n").alias("lines"))
+    said = ask(prompts.select(F.col("batch").alias("key"), F.concat(F.lit(task + "\nAnswer with a line \"number -> answer\" for each.\n"), "lines").alias("prompt")), client, replay)
+    pairs = said.select(F.col("key").alias("batch"), F.explode(_arrows("answer")).alias("name", "answer"))
+    return pairs.join(b.select("batch", "no", "item"), "batch").where((F.col("name") == F.col("no")) | (F.col("name") == F.col("item"))).select("item", "answer").dropDuplicates(["item"])
 
 
 def propose_classes(support: DataFrame, client: LLMClient, evidence: str = "", forbidden: tuple[str, ...] = ("Other", "Entity", "Thing", "Value"), least: int = 10, fallback: tuple[str, ...] = ("Policy", "Claim", "Coverage", "Property", "Person", "Organization")) -> list[str]:
@@ -77,7 +82,8 @@ def type_entities(entities: DataFrame, vocabulary: list[str], client: LLMClient,
 def rebalance(assignments: DataFrame, client: LLMClient, replay: DataFrame | None = None) -> DataFrame:
     """Assignments whose classes of more than MEGA_SHARE of all and MEGA_SIZE members are split by the model's sub-classes."""
     sizes = assignments.where("class <> 'Other'").groupBy("class").agg(F.count(F.lit(1)).alias("n"))
-    mega = [r["class"] for r in sizes.crossJoin(sizes.agg(F.sum("n").alias("t"))).where((F.col("n") > MEGA_SHARE * F.col("t")) & (F.col("n") >= MEGA_SIZE)).collect()]
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    mega = [r["class"] for r in sizes.where((F.col("n") > MEGA_SHARE * total) & (F.col("n") >= MEGA_SIZE)).collect()]  # at most 1/MEGA_SHARE
     out = assignments
     for name in sorted(mega):
         parts = [x for x in parse_json_list(client.answer(f"Split the class {name} into sub-classes as a JSON array.")) if isinstance(x, str)]
@@ -88,11 +94,11 @@ def rebalance(assignments: DataFrame, client: LLMClient, replay: DataFrame | Non
     return out
 
 
-def rescue_other(assignments: DataFrame, concepts: DataFrame, client: LLMClient, examples: int = 3, replay: DataFrame | None = None) -> DataFrame:
-    """Assignments with concepts of Other asked for again, with members of each class as examples, if Other exceeds OTHER_SHARE."""
+def rescue_other(assignments: DataFrame, concepts: DataFrame, client: LLMClient, examples: int = 3, replay: DataFrame | None = None, least: float = OTHER_SHARE) -> DataFrame:
+    """Assignments with concepts of Other asked for again, with members of each class as examples, if Other exceeds ``least``."""
     c = assignments.join(concepts.select("entity_id"), "entity_id", "left_semi")
     n = c.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("class") == "Other", 1)).alias("o")).first()
-    if not n["n"] or n["o"] <= OTHER_SHARE * n["n"]:
+    if not n["n"] or n["o"] <= least * n["n"]:
         return assignments
     ranked = c.where("class <> 'Other'").withColumn("r", F.row_number().over(W.partitionBy("class").orderBy("entity_id"))).where(F.col("r") <= examples)
     shown: dict[str, list[str]] = {}

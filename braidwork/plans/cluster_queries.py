@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..models import RuleClient, SentenceTriples, ask
+from ..models import SentenceTriples
 from ..operators import clustering as C
 from ..operators import extraction as X
 from ..operators import fileclasses as B
@@ -68,13 +68,10 @@ def function_groups(spark: SparkSession, sf: str) -> DataFrame:
     return B.function_groups(_headers(spark, sf), _file_tokens(spark, sf))
 
 
-_GROUPS = "grp AS (SELECT DISTINCT file, CAST(length(file) % 3 AS INT) AS \"group\" FROM heads)"
-
-
-@query(f"WITH {_HEADERS}, {_GROUPS}, n AS (SELECT \"group\", count(*) AS n FROM grp GROUP BY ALL), k AS (SELECT \"group\", header, count(*) AS k FROM heads JOIN grp USING (file) GROUP BY ALL) SELECT \"group\", file, header, k = n AS shared FROM heads JOIN grp USING (file) JOIN n USING (\"group\") JOIN k USING (\"group\", header)")
+@query()
 def functional_classes(spark: SparkSession, sf: str) -> DataFrame:
     h = _headers(spark, sf)
-    return B.functional_classes(h, h.select("file", (F.length("file") % 3).alias("group")).distinct())
+    return B.functional_classes(h, B.function_groups(h, _file_tokens(spark, sf)))
 
 
 @query(f"WITH {_HEADERS} SELECT a.file AS source_class, b.file AS target_class, a.header AS bridge_column FROM heads a JOIN heads b ON a.header = b.header AND a.file < b.file")
@@ -168,14 +165,6 @@ def model_triples(spark: SparkSession, sf: str) -> DataFrame:
     return X.extract(chunks, SentenceTriples(), ["COVERS", "EXCLUDES", "REQUIRES"])
 
 
-@query()
-def model_types(spark: SparkSession, sf: str) -> DataFrame:
-    """Entity types through a client that answers by rules."""
-    names = table(spark, sf, "entity_embeddings").select("id").distinct()
-    prompts = names.select(F.col("id").alias("key"), F.concat(F.lit("Class of this entity:\n"), F.col("id")).alias("prompt"))
-    return ask(prompts, RuleClient([("POL-", "Policy"), ("CLM-", "Claim"), ("(?i)exclusion", "Exclusion")], "Other")).select(F.col("key").alias("entity_id"), F.col("answer").alias("class"))
-
-
 @query()
 def fused_vectors(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "entity_embeddings").select("id", "entity_type").dropDuplicates(["id"])

@@ -299,12 +299,16 @@ def graph_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return G.statistics(entities(spark, sf), edges(spark, sf))
 
 
-@query(f"""WITH {EDGES}, f AS (SELECT src, rel, dst, row_number() OVER (PARTITION BY src ORDER BY seq) AS r FROM edges), s AS (SELECT src, string_agg(rel || ' -> ' || dst, chr(10) ORDER BY r) AS s FROM f WHERE r <= 5 GROUP BY src),
-  c AS (SELECT src, string_agg(t, ',' ORDER BY t) AS c FROM (SELECT src, rel || '=' || count(*) AS t FROM edges GROUP BY src, rel) GROUP BY src)
-  SELECT src AS id, s AS out_summary, c AS out_rel_counts FROM s JOIN c USING (src)""")
+def _side(end: str, text: str, p: str) -> str:
+    return f"""{p}f AS (SELECT {end} AS id, {text} AS t, row_number() OVER (PARTITION BY {end} ORDER BY seq) AS r FROM edges), {p}s AS (SELECT id, string_agg(t, chr(10) ORDER BY r) AS s FROM {p}f WHERE r <= 5 GROUP BY id),
+  {p}c AS (SELECT id, string_agg(t, ',' ORDER BY t) AS c FROM (SELECT {end} AS id, rel || '=' || count(*) AS t FROM edges GROUP BY {end}, rel) GROUP BY id)"""
+
+
+@query(f"""WITH {EDGES}, {_side("src", "rel || ' -> ' || dst", "o")}, {_side("dst", "src || ' -> ' || rel", "i")}, ids AS (SELECT id FROM os UNION SELECT id FROM iss)
+  SELECT ids.id, coalesce(os.s, '') AS out_summary, coalesce(oc.c, '') AS out_rel_counts, coalesce(iss.s, '') AS in_summary, coalesce(ic.c, '') AS in_rel_counts FROM ids LEFT JOIN os USING (id) LEFT JOIN oc USING (id) LEFT JOIN iss USING (id) LEFT JOIN ic USING (id)""".replace("is AS (SELECT id, string_agg(t, chr(10)", "iss AS (SELECT id, string_agg(t, chr(10)"))
 def adjacency_summaries(spark: SparkSession, sf: str) -> DataFrame:
     s = G.summaries(edges(spark, sf))
-    return s.select("id", F.array_join("out_summary", "\n").alias("out_summary"), F.array_join("out_rel_counts", ",").alias("out_rel_counts"))
+    return s.select("id", *(F.array_join(c, sep).alias(c) for c, sep in (("out_summary", "\n"), ("out_rel_counts", ","), ("in_summary", "\n"), ("in_rel_counts", ","))))
 
 
 #: Concept and record entities have their type as class, values have none; every third concept is left open for votes.

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..models import RuleClient
 from ..operators import metrics as M
 from .graph_queries import _VEC, assignments, edges, entities, triples, unit_vectors
 from .ontology_queries import BASE
@@ -127,6 +130,27 @@ def continuous_f1(spark: SparkSession, sf: str) -> DataFrame:
     return M.against_first(table(spark, sf, "taxonomy_nodes"), M.continuous_f1_of, "precision double, recall double, f1 double")
 
 
+_BAR = r"list_transform(string_split(line, '|'), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'))"
+
+
+@query(rf"""WITH l AS (SELECT unnest(string_split(content, chr(10))) AS line FROM hybrid_chunks), p AS (SELECT {_BAR} AS p FROM l), f AS (SELECT lower(p[1]) AS s, lower(p[3]) AS o FROM p WHERE len(p) = 3 AND len(list_filter(p, lambda x: x = '')) = 0),
+  ids AS (SELECT DISTINCT lower(id) AS id FROM (SELECT subject AS id FROM sampled_triples UNION SELECT object FROM sampled_triples) WHERE id <> ''), x AS (SELECT s AS t FROM f UNION SELECT o FROM f), hit AS (SELECT t FROM x WHERE EXISTS (SELECT 1 FROM ids WHERE contains(id, t) OR contains(t, id)))
+  SELECT count(*) AS facts, count(*) FILTER (s IN (SELECT t FROM hit) AND o IN (SELECT t FROM hit)) AS found, coalesce(count(*) FILTER (s IN (SELECT t FROM hit) AND o IN (SELECT t FROM hit)) * 1.0 / nullif(count(*), 0), 0.0) AS recall FROM f""")
+def fact_recall_substring(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of three cells of every chunk as the facts."""
+    lines = table(spark, sf, "hybrid_chunks").select("chunk_id", F.explode(F.split("content", "\n")).alias("line"))
+    ids = triples(spark, sf).select(F.explode(F.array("subject", "object")).alias("id"))
+    return M.fact_recall_substring(M.triple_facts(lines), ids)
+
+
+@query()
+def fact_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences with a verb of policies as the facts that a model lists."""
+    client = RuleClient([("", lambda p: "\n".join(re.findall(r"[A-Z][^.!?\n]* (?:covers|excludes|requires|includes|means|says) [^.!?\n]*", p.split("TEXT:", 1)[1])))])
+    facts = M.chunk_facts(table(spark, sf, "hybrid_chunks").select("chunk_id", "source", "content"), client)
+    return M.fact_recall(facts, triples(spark, sf).where("subject is not null and object is not null"))
+
+
 @query(f"""WITH {BASE}, z AS (SELECT class, count(*) AS n FROM asg GROUP BY class), t AS (SELECT CAST(sum(n) AS BIGINT) AS entities, CAST(sum(n) FILTER (class <> 'Other') AS BIGINT) AS labeled, count(*) FILTER (class <> 'Other') AS n_classes FROM z)
   SELECT entities, labeled, labeled * 1.0 / entities AS coverage, n_classes, labeled * 1.0 / n_classes AS avg_class_size, (SELECT -sum(n * 1.0 / labeled * log2(n * 1.0 / labeled)) FROM z WHERE class <> 'Other') / log2(n_classes) AS entropy FROM t""")
 def class_entropy(spark: SparkSession, sf: str) -> DataFrame:

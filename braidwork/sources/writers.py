@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,34 +12,133 @@ from ..operators import graph as G
 from ..operators import normalize as N
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _path(spark: SparkSession, path: str) -> tuple:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return fs.exists(p)
+
+
+def current_version(spark: SparkSession, path: str) -> tuple[str | None, int]:
+    """(folder of the version that ``path`` points to, last batch of a stream that it holds); (None, -1) without any."""
+    p, fs = _path(spark, f"{path}/current")
+    if not fs.exists(p):
+        return None, -1
+    name, batch = spark.read.text(f"{path}/current").first()[0].split("\t")
+    return f"{path}/versions/{name}", int(batch)
+
+
+def publish(spark: SparkSession, path: str, tables: dict[str, DataFrame], batch: int = -1) -> None:
+    """Write ``tables`` as a new version under ``path`` and point to it with one rename, so that readers see all or none.
+
+    The version before stays for those who still read it; older ones are deleted.
+    """
+    before, _ = current_version(spark, path)
+    name = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    for table, df in tables.items():
+        df.write.parquet(f"{path}/versions/{name}/{table}")
+    new, fs = _path(spark, f"{path}/current-{name}")
+    out = fs.create(new, True)
+    out.write(bytearray(f"{name}\t{batch}\n".encode()))
+    out.close()
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(new.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(new, _path(spark, f"{path}/current")[0], options)
+    for old in fs.listStatus(_path(spark, f"{path}/versions")[0]):
+        if old.getPath().getName() not in (name, (before or "").rsplit("/", 1)[-1]):
+            fs.delete(old.getPath(), True)
+
+
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) under ``path``: the current version with the batches of a stream that came after it, merged by key.
+
+    Of equal edges the first counts, by batch and then seq; a node has the first known type.
+    """
+    version, last = current_version(spark, path)
+    parts = []
+    for table in ("nodes", "edges"):
+        base = spark.read.parquet(f"{version}/{table}").withColumn("batch", F.lit(-1)) if version else None
+        new = None
+        if _exists(spark, f"{path}/deltas/{table}"):
+            new = spark.read.parquet(f"{path}/deltas/{table}").where(F.col("batch") > last)
+        parts.append(base if new is None else new if base is None else base.unionByName(new, allowMissingColumns=True))
+    nodes, edges = parts
+    if nodes is None:
+        raise ValueError(f"no graph under {path}")
+    known = F.col("entity_type") != "Unknown"
+    nodes = nodes.groupBy("id").agg(
+        F.coalesce(F.min(F.when(known, F.struct("batch", "entity_type")))["entity_type"], F.lit("Unknown")).alias("entity_type"),
+        F.min(F.struct("batch", "source_type"))["source_type"].alias("source_type"), F.any_value("props", True).alias("props"),
+    )
+    rest = [c for c in edges.columns if c not in ("src", "rel", "dst", "batch", "seq")]
+    first = F.min(F.struct("batch", "seq", *rest)).alias("x")
+    return nodes, edges.groupBy("src", "rel", "dst").agg(first).select("src", "rel", "dst", *(f"x.{c}" for c in [*rest, "seq"]))
 
 
-def _swap(spark: SparkSession, new: str, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    a, b = jvm.org.apache.hadoop.fs.Path(new), jvm.org.apache.hadoop.fs.Path(path)
-    fs = a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(b, True)
-    fs.rename(a, b)
+def graph_tables(triples: DataFrame, collapse: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of triples; with ``collapse`` the literal objects of few subjects become properties of their nodes."""
+    if not collapse:
+        return G.merge_nodes(triples).withColumn("props", F.lit(None).cast("map<string,string>")), G.merge_edges(triples)
+    left, properties = N.collapse(triples)
+    values = properties.groupBy("subject").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("property", "value")))).alias("props")).withColumnRenamed("subject", "id")
+    nodes = G.merge_nodes(left).join(values, "id", "full").select("id", F.coalesce("entity_type", F.lit("Unknown")).alias("entity_type"), "source_type", "props")
+    return nodes, G.merge_edges(left)
 
 
 def write_graph(triples: DataFrame, path: str, wipe: bool = True, collapse: bool = True) -> None:
-    """nodes, edges and properties tables under ``path``. Without ``wipe`` they merge into those there: what is there stays first."""
-    spark, left, properties = triples.sparkSession, triples, None
-    if collapse:
-        left, properties = N.collapse(triples)
-        values = properties.groupBy("subject").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("property", "value")))).alias("props")).withColumnRenamed("subject", "id")
-        nodes = G.merge_nodes(left).join(values, "id", "full").select("id", F.coalesce("entity_type", F.lit("Unknown")).alias("entity_type"), "source_type", "props")
-    else:
-        nodes = G.merge_nodes(left).withColumn("props", F.lit(None).cast("map<string,string>"))
-    edges = G.merge_edges(left)
-    if not wipe and _exists(spark, f"{path}/nodes"):
-        nodes, edges = merge_nodes(spark.read.parquet(f"{path}/nodes"), nodes), merge_edges(spark.read.parquet(f"{path}/edges"), edges)
-    for name, df in (("nodes", nodes), ("edges", edges)):
-        df.write.mode("overwrite").parquet(f"{path}/_new_{name}")
-        _swap(spark, f"{path}/_new_{name}", f"{path}/{name}")
+    """A new version of the nodes and edges under ``path``. Without ``wipe`` they merge into those there: what is there stays first."""
+    spark = triples.sparkSession
+    nodes, edges = graph_tables(triples, collapse)
+    version, batch = current_version(spark, path)
+    if not wipe and (version or _exists(spark, f"{path}/deltas/nodes")):
+        batch = max([batch, *_batches(spark, path)])
+        old_nodes, old_edges = read_graph(spark, path)
+        nodes, edges = merge_nodes(old_nodes, nodes), merge_edges(old_edges, edges)
+    elif wipe:
+        batch = max([batch, *_batches(spark, path)])
+    publish(spark, path, {"nodes": nodes, "edges": edges}, batch)
+
+
+def clear_graph(spark: SparkSession, path: str) -> None:
+    """Delete the graph under ``path`` with all its versions and batches."""
+    for name in ("current", "versions", "deltas"):
+        p, fs = _path(spark, f"{path}/{name}")
+        fs.delete(p, True)
+
+
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    p, fs = _path(spark, f"{path}/deltas/nodes")
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    return [int(n.split("=")[1]) for n in names if n.startswith("batch=")]
+
+
+def append_batch(triples: DataFrame, path: str, batch: int) -> None:
+    """The nodes and edges of one batch beside the current version. A batch that runs again replaces what it wrote."""
+    for table, df in zip(("nodes", "edges"), graph_tables(triples, collapse=False)):
+        df.write.mode("overwrite").parquet(f"{path}/deltas/{table}/batch={batch}")
+
+
+def compact(spark: SparkSession, path: str) -> None:
+    """Merge the batches of a stream into a new version, then delete them; readers never see a batch twice or not at all."""
+    _, last = current_version(spark, path)
+    done = _batches(spark, path)
+    if not done or max(done) <= last:
+        return
+    nodes, edges = read_graph(spark, path)
+    publish(spark, path, {"nodes": nodes, "edges": edges}, max(done))
+    for table in ("nodes", "edges"):
+        for b in done:
+            p, fs = _path(spark, f"{path}/deltas/{table}/batch={b}")
+            fs.delete(p, True)
+
+
+def edges_by_relation(edges: DataFrame, path: str) -> None:
+    """The edges as a table with a folder per relation, so that a question over one relation reads that one only."""
+    edges.hint("rebalance", "rel").write.mode("overwrite").partitionBy("rel").parquet(path)
 
 
 def merge_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -85,7 +187,10 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def register_views(spark: SparkSession, path: str) -> None:
     """nodes, edges, classes, class_edges and instance_of under ``path`` as views of the session, as far as they exist."""
-    for name in ("nodes", "edges", "classes", "class_edges", "instance_of"):
+    if current_version(spark, path)[0] or _exists(spark, f"{path}/deltas/nodes"):
+        for name, df in zip(("nodes", "edges"), read_graph(spark, path)):
+            df.createOrReplaceTempView(name)
+    for name in ("classes", "class_edges", "instance_of"):
         if _exists(spark, f"{path}/{name}"):
             spark.read.parquet(f"{path}/{name}").createOrReplaceTempView(name)
 

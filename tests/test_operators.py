@@ -412,8 +412,8 @@ def test_sources_and_sinks(spark, tmp_path):
     t = triples(spark, [("a", "Unknown", "R", "b", "Risk"), ("a", "Policy", "HAS_NOTE", "once", "Text")])
     writers.write_graph(t, path)
     writers.write_graph(triples(spark, [("b", "Peril", "S", "c", "Unknown"), ("a", "Policy", "R", "b", "Risk")]), path, wipe=False)
-    nodes = {r["id"]: r for r in spark.read.parquet(path + "/nodes").collect()}
-    assert set(nodes) == {"a", "b", "c"} and nodes["a"]["props"] == {"note": "once"} and nodes["b"]["entity_type"] == "Risk" and spark.read.parquet(path + "/edges").count() == 2
+    nodes = {r["id"]: r for r in writers.read_graph(spark, path)[0].collect()}
+    assert set(nodes) == {"a", "b", "c"} and nodes["a"]["props"] == {"note": "once"} and nodes["b"]["entity_type"] == "Risk" and writers.read_graph(spark, path)[1].count() == 2
     writers.register_views(spark, path)
     assert writers.answer(spark, "select count(*) as n from edges").first()["n"] == 2
     with pytest.raises(ValueError):
@@ -423,7 +423,29 @@ def test_sources_and_sinks(spark, tmp_path):
     t.write.parquet(src)
     q = stream_graph(spark.readStream.schema(t.schema).parquet(src), out, str(tmp_path / "ck"))
     q.awaitTermination()
-    assert spark.read.parquet(out + "/edges").count() == 2
+    assert writers.read_graph(spark, out)[1].count() == 2
+    more = triples(spark, [("c", "Peril", "S", "a", "Other"), ("a", "Policy", "R", "b", "Risk")])
+    for _ in range(2):  # a batch that runs again
+        writers.append_batch(more, out, 1)
+    before = {r["id"]: r["entity_type"] for r in writers.read_graph(spark, out)[0].collect()}
+    writers.compact(spark, out)
+    writers.append_batch(more, out, 1)  # and one that runs again after it was merged
+    nodes, edges = writers.read_graph(spark, out)
+    assert {r["id"]: r["entity_type"] for r in nodes.collect()} == before == {"a": "Policy", "b": "Risk", "c": "Peril", "once": "Text"} and edges.count() == 3
+    writers.write_graph(triples(spark, [("x", "Risk", "R", "y", "Risk")]), out)
+    assert {r["id"] for r in writers.read_graph(spark, out)[0].collect()} == {"x", "y"}
+    writers.edges_by_relation(edges, str(tmp_path / "by"))
+    assert {r["rel"] for r in spark.read.parquet(str(tmp_path / "by")).collect()} == {"R", "S", "HAS_NOTE"}
+    writers.clear_graph(spark, out)
+    with pytest.raises(ValueError):
+        writers.read_graph(spark, out)
+
+
+def test_heads_of_csv_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('\ufeffid,"last, first", note ,,"say ""x"""\r\n1,2,3,4,5\r\n\r\n6,7,8,9,0\n')
+    (tmp_path / "b.csv").write_text("only\n")
+    got = {r["file"].rsplit("/", 1)[1]: (r["headers"], r["record_count"]) for r in readers.csv_fingerprints(spark, str(tmp_path)).collect()}
+    assert got == {"a.csv": (["ID", "LAST, FIRST", "NOTE", 'SAY "X"'], 2), "b.csv": (["ONLY"], 0)}
 
 
 def test_chunks_to_triples(spark):
