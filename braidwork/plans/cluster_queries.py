@@ -11,7 +11,7 @@ from ..operators import extraction as X
 from ..operators import fileclasses as B
 from ..operators import recursive as Rc
 from ..operators import resolution as Re
-from .graph_queries import edges, triples, unit_vectors
+from .graph_queries import _VEC, EDGES, edges, triples, unit_vectors
 from .registry import contains_sql, registry
 from .tables import table
 
@@ -30,7 +30,18 @@ def _file_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("file", F.explode(F.split(F.regexp_replace(F.lower("file"), r"\.[a-z]+$", ""), "[_0-9]+")).alias("token")).where("token <> ''")
 
 
-@query()
+def _claims_sql(most: int = 12) -> str:
+    """Prefixes of ``most`` parts down to one, each claimed by the headers that are still free."""
+    out, parts = [f"f{most} AS (SELECT DISTINCT header, string_split(header, '_') AS p FROM heads)"], []
+    for n in range(most, 0, -1):
+        out.append(f"a{n} AS (SELECT header, array_to_string(p[1:{n}], '_') AS prefix FROM f{n} WHERE len(p) > {n})")
+        out.append(f"w{n} AS (SELECT header, prefix FROM a{n} WHERE prefix IN (SELECT prefix FROM a{n} GROUP BY prefix HAVING count(*) >= 3))")
+        out.append(f"f{n - 1} AS (SELECT * FROM f{n} WHERE header NOT IN (SELECT header FROM w{n}))")
+        parts.append(f"SELECT * FROM w{n}")
+    return f"{', '.join(out)}, won AS ({' UNION ALL '.join(parts)})"
+
+
+@query(f"WITH {_HEADERS}, {_claims_sql()} SELECT prefix, header, substr(header, length(prefix) + 2) AS suffix FROM won")
 def prefix_groups(spark: SparkSession, sf: str) -> DataFrame:
     return B.prefix_groups(_headers(spark, sf))
 
@@ -108,7 +119,13 @@ def _profiles(spark: SparkSession, sf: str) -> DataFrame:
     return e.join(t, "name", "left").select("id", "entity_type", "relations", "chunks")
 
 
-@query()
+_JACCARD = "coalesce(len(list_intersect({0}, {1})) * 1.0 / nullif(len(list_distinct(list_concat({0}, {1}))), 0), 0)"
+
+
+@query(f"""WITH {_VEC}, u AS (SELECT id, v, min(id) OVER (PARTITION BY list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y))))) AS rep FROM vec),
+  pr AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS sim FROM u a JOIN u b ON a.id < b.id AND a.id = a.rep AND b.id = b.rep WHERE list_cosine_similarity(a.v, b.v) >= 0.6 - 1e-9 UNION ALL SELECT rep, id, 1.0 FROM u WHERE id <> rep),
+  t AS (SELECT subject AS name, list_distinct(list(relation)) AS r, list_distinct(list(chunk_id)) AS c FROM sampled_triples WHERE subject IS NOT NULL GROUP BY subject), e AS (SELECT vec_id AS id, entity_type AS t, coalesce(r, []) AS r, coalesce(c, []) AS c FROM entity_embeddings LEFT JOIN t ON t.name = id)
+  SELECT a, b, weight FROM (SELECT a, b, 0.4 * sim + 0.25 * {_JACCARD.format('x.r', 'y.r')} + 0.15 * {_JACCARD.format('x.c', 'y.c')} + 0.2 * CAST(coalesce(x.t = y.t AND x.t <> 'Unknown', false) AS INT) AS weight FROM pr JOIN e x ON x.id = a JOIN e y ON y.id = b) WHERE weight >= 0.3""")
 def similarity_graph(spark: SparkSession, sf: str) -> DataFrame:
     return C.similarity_graph(_similar(spark, sf), _profiles(spark, sf), 0.3)
 
@@ -123,10 +140,13 @@ def heterogeneous_splits(spark: SparkSession, sf: str) -> DataFrame:
     return C.split_groups(unit_vectors(spark, sf).select(F.col("entity_type").alias("grp"), "id", "v"), least_silhouette=0.02)
 
 
-@query()
+@query(f"""WITH {EDGES}, c AS (SELECT split_part(rel, '_', 1) AS grp, CAST(length(src) % 3 AS INT) AS part, rel, count(*) AS n FROM edges WHERE rel IS NOT NULL GROUP BY ALL), t AS (SELECT grp, part, sum(n) AS t FROM c GROUP BY ALL),
+  p AS (SELECT grp, part, rel, n / t AS p FROM c JOIN t USING (grp, part)), x AS (SELECT a.grp, a.part AS part_a, b.part AS part_b FROM t a JOIN t b ON a.grp = b.grp AND a.part < b.part), r AS (SELECT DISTINCT grp, rel FROM p),
+  g AS (SELECT x.grp, part_a, part_b, coalesce(a.p, 0) AS a, coalesce(b.p, 0) AS b FROM x JOIN r USING (grp) LEFT JOIN p a ON a.grp = x.grp AND a.part = part_a AND a.rel = r.rel LEFT JOIN p b ON b.grp = x.grp AND b.part = part_b AND b.rel = r.rel)
+  SELECT grp, part_a, part_b, sum((CASE WHEN a > 0 THEN a * log2(a / ((a + b) / 2)) ELSE 0 END + CASE WHEN b > 0 THEN b * log2(b / ((a + b) / 2)) ELSE 0 END) / 2) AS divergence FROM g GROUP BY ALL""")
 def relation_divergence(spark: SparkSession, sf: str) -> DataFrame:
     e = edges(spark, sf).select(F.split("rel", "_")[0].alias("grp"), (F.length("src") % 3).alias("part"), F.col("rel").alias("relation"))
-    return C.relation_divergence(e.groupBy("grp", "part", "relation").agg(F.count(F.lit(1)).alias("n")))
+    return C.relation_divergence(e.where("relation is not null").groupBy("grp", "part", "relation").agg(F.count(F.lit(1)).alias("n")))
 
 
 @query()
@@ -168,7 +188,7 @@ def model_triples(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def fused_vectors(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "entity_embeddings").select("id", "entity_type").dropDuplicates(["id"])
-    return Rc.fused_vectors(e, edges(spark, sf)).select("id", F.size("v").alias("n"))
+    return Rc.fused_vectors(e, edges(spark, sf)).select("id", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
 
 
 @query()
@@ -178,6 +198,6 @@ def recursive_taxonomy(spark: SparkSession, sf: str) -> DataFrame:
     return Rc.recursive_taxonomy(e, u.select(F.col("id").cast("string").alias("id"), "v"), least_silhouette=0.02)[1]
 
 
-@query("SELECT source, min(CASE WHEN contains(content, 'RECORD:') THEN {'c': chunk_id, 't': substr(regexp_extract(content, 'RECORD:\\s*\\n((?:[^\\n]+\\n?)+)', 1), 1, 300)} END).t AS sample FROM hybrid_chunks WHERE source IS NOT NULL GROUP BY source")
+@query("SELECT source, min(CASE WHEN list_contains(section_hierarchy, 'schema') THEN {'c': chunk_id, 't': substr(content, 1, 300)} END).t AS schema_text, min(CASE WHEN NOT coalesce(list_contains(section_hierarchy, 'schema'), false) AND contains(content, 'RECORD:') THEN {'c': chunk_id, 't': substr(regexp_extract(content, 'RECORD:\\s*\\n((?:[^\\n]+\\n?)+)', 1), 1, 300)} END).t AS sample FROM hybrid_chunks WHERE source IS NOT NULL GROUP BY source")
 def data_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    return Rc.data_fingerprint(table(spark, sf, "hybrid_chunks")).select("source", "sample")
+    return Rc.data_fingerprint(table(spark, sf, "hybrid_chunks")).select("source", "schema_text", "sample")

@@ -341,7 +341,13 @@ def backbone_connectivity(spark: SparkSession, sf: str) -> DataFrame:
     return G.backbone(edges(spark, sf), assignments(spark, sf).withColumnRenamed("entity_id", "id"))
 
 
-@query()
+@query(f"""WITH {ENDS}, {EDGES}, {ENTITIES}, {CLASSES}, a AS (SELECT entity_id AS id, class, {_PRE.format('entity_id')} AS rec FROM asg), b AS (SELECT DISTINCT src AS id, dst AS n FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst),
+  z AS (SELECT class, count(*) AS n FROM a GROUP BY class), t AS (SELECT coalesce(sum(n) FILTER (class = 'Other'), 0) AS other, coalesce(sum(n) FILTER (class <> 'Other'), 0) AS named, coalesce(max(n) FILTER (class <> 'Other'), 0) AS largest, count(*) FILTER (class <> 'Other') AS classes FROM z),
+  near AS (SELECT b.id, b.n, x.class AS c, x.rec, y.class AS nc, y.rec AS nrec FROM b JOIN a x ON x.id = b.id JOIN a y ON y.id = b.n),
+  hub AS (SELECT id, min(n) AS n1, max(n) AS n2 FROM near WHERE c = 'Other' AND nc <> 'Other' GROUP BY id),
+  cov AS (SELECT id FROM near WHERE rec AND nc <> 'Other' AND NOT nrec UNION SELECT near.id FROM near JOIN hub ON hub.id = near.n WHERE rec AND (n1 <> near.id OR n2 <> near.id))
+  SELECT round((SELECT count(DISTINCT id) FROM near WHERE c <> 'Other' AND nc <> 'Other' AND c <> nc) / named, 4) AS connectivity, round((SELECT count(DISTINCT c) FROM near WHERE c <> 'Other' AND nc <> 'Other' AND c <> nc) / classes, 4) AS completeness,
+    round(1 - largest / named, 4) AS balance, round(other / (other + named), 4) AS other_fraction, round((SELECT count(*) FROM cov) / (SELECT count(*) FROM a WHERE rec), 4) AS backbone_coverage FROM t""")
 def intrinsic_quality(spark: SparkSession, sf: str) -> DataFrame:
     return G.quality(edges(spark, sf), assignments(spark, sf).withColumnRenamed("entity_id", "id"))
 

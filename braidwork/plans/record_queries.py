@@ -104,15 +104,23 @@ def record_triples(spark: SparkSession, sf: str) -> DataFrame:
     return R.record_triples(fields, R.composite_key(fields, ["id"]), ["id"]).select("subject", "relation", "object", "object_type", "span")
 
 
-@query(f"""WITH {_CLAIMS}, g AS (SELECT id, field, value, CASE WHEN {contains_sql('lower(field)', R.IDENTITY['person'])} THEN 'person' WHEN {contains_sql('lower(field)', R.IDENTITY['property'])} THEN 'property' END AS grp FROM claims),
+_IDENTITY = f"""g AS (SELECT id, field, value, CASE WHEN {contains_sql('lower(field)', R.IDENTITY['person'])} THEN 'person' WHEN {contains_sql('lower(field)', R.IDENTITY['property'])} THEN 'property' END AS grp FROM claims),
   n AS (SELECT *, count(*) OVER (PARTITION BY id, grp) AS n FROM g WHERE grp IS NOT NULL),
-  c AS (SELECT id, grp, CASE field WHEN 'property state' THEN 'property:state' WHEN 'reported zip code' THEN 'reported:zip' WHEN 'reported city' THEN 'reported:city' ELSE field END AS c, lower(trim(value)) AS v FROM n WHERE n >= 2 AND trim(value) <> '')
-  SELECT id, grp, CASE grp WHEN 'person' THEN 'PER-' ELSE 'PROP-' END || sha256(string_agg(c || '=' || v, '|' ORDER BY c))[1:12] AS identity_key FROM c GROUP BY id, grp""")
+  c AS (SELECT id, grp, CASE field WHEN 'property state' THEN 'property:state' WHEN 'reported zip code' THEN 'reported:zip' WHEN 'reported city' THEN 'reported:city' ELSE field END AS c, lower(trim(value)) AS v FROM n WHERE n >= 2 AND trim(value) <> ''),
+  idk AS (SELECT id, grp, CASE grp WHEN 'person' THEN 'PER-' ELSE 'PROP-' END || sha256(string_agg(c || '=' || v, '|' ORDER BY c))[1:12] AS identity_key FROM c GROUP BY id, grp)"""
+
+
+@query(f"WITH {_CLAIMS}, {_IDENTITY} SELECT id, grp, identity_key FROM idk")
 def identity_groups(spark: SparkSession, sf: str) -> DataFrame:
     return R.identity_keys(_claims(spark, sf), ["id"])
 
 
-@query()
+_ID_TYPE = "CASE grp " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in R.IDENTITY_TYPE.items()) + " ELSE 'IdentityEntity' END"
+
+
+@query(f"""WITH {_CLAIMS}, {_KEYS}, {_IDENTITY} SELECT identity_key AS subject, 'IS_A' AS relation, {_ID_TYPE} AS object FROM idk
+  UNION ALL SELECT record_key, 'BELONGS_TO', identity_key FROM idk JOIN keys USING (id)
+  UNION ALL SELECT identity_key, {_REL}, value FROM idk JOIN n USING (id, grp) WHERE n >= 2""")
 def identity_triples(spark: SparkSession, sf: str) -> DataFrame:
     fields = _claims(spark, sf).withColumn("chunk_id", F.lit("0")).withColumn("source", F.lit("orders.csv"))
     return R.identity_triples(fields, R.composite_key(fields, ["id"]), ["id"]).select("subject", "relation", "object")

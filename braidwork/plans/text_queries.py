@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking as C
-from .registry import registry
+from .registry import contains_sql, quoted, registry
 from .tables import table
 
 QUERIES, SQL, query = registry()
@@ -89,12 +89,12 @@ def sliding_windows(spark: SparkSession, sf: str) -> DataFrame:
     return C.sliding_windows(table(spark, sf, "documents").select(F.col("doc_id").alias("source"), "text"))
 
 
-_FIELDS = "(SELECT unnest(['o_orderkey','o_custkey','o_orderstatus','o_totalprice','o_orderdate','POLICY_NUMBER','GWP','amountPaidOnBuildingClaim','ENDORSEMENT_PET_ID','OVERALL_CSAT','claim_city','bi_created_dt','riskKind']) AS name)"
+_NAMES = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "POLICY_NUMBER", "GWP", "amountPaidOnBuildingClaim", "ENDORSEMENT_PET_ID", "OVERALL_CSAT", "claim_city", "bi_created_dt", "riskKind"]
+_FIELDS = "(VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(_NAMES)) + ") t(pos, name)"
 
 
 def _fields(spark: SparkSession) -> DataFrame:
-    names = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "POLICY_NUMBER", "GWP", "amountPaidOnBuildingClaim", "ENDORSEMENT_PET_ID", "OVERALL_CSAT", "claim_city", "bi_created_dt", "riskKind"]
-    return spark.createDataFrame(list(enumerate(names)), "pos int, name string")
+    return spark.createDataFrame(list(enumerate(_NAMES)), "pos int, name string")
 
 
 def _group_sql(name: str) -> str:
@@ -110,7 +110,11 @@ def humanize_fields(spark: SparkSession, sf: str) -> DataFrame:
     return _fields(spark).select("name", T.humanize_field(F.col("name")).alias("human"), T.field_group(F.col("name")).alias("grp"))
 
 
-@query()
+_ORDER = "CASE g " + " ".join(f"WHEN '{g}' THEN {i}" for i, g in enumerate(C.GROUP_ORDER)) + " END"
+
+
+@query(f"""WITH k AS (SELECT pos, {_group_sql('name')} AS g, {_HUMAN.format('name')} AS h FROM {_FIELDS} WHERE lower(name) NOT IN ({quoted(C.AUDIT)})), l AS (SELECT g, '  [' || g || '] ' || string_agg(h, ', ' ORDER BY pos) AS line FROM k GROUP BY g)
+  SELECT 'DATASET SCHEMA: sample' || chr(10) || 'Total fields: {len(_NAMES)}' || chr(10) || string_agg(line, chr(10) ORDER BY {_ORDER}) AS content FROM l""")
 def schema_chunk(spark: SparkSession, sf: str) -> DataFrame:
     return C.schema_chunk(_fields(spark), "sample")
 
@@ -154,9 +158,17 @@ def semantic_merge(spark: SparkSession, sf: str) -> DataFrame:
     return C.semantic_merge(sections, 0.4).select("source", "chunk_no", "content", F.size("merged_from").alias("n"))
 
 
-@query()
+def _slots() -> str:
+    out, taken = [], "SELECT CAST(NULL AS BIGINT) AS s WHERE false"
+    for i, words in enumerate(C.SAMPLE_GROUPS):
+        out.append(f"g{i} AS (SELECT min(seq) AS s FROM c WHERE {contains_sql('lower(content)', words)} AND seq NOT IN ({taken}))")
+        taken += f" UNION ALL SELECT s FROM g{i} WHERE s IS NOT NULL"
+    return ", ".join(out) + ", found AS (" + " UNION ALL ".join(f"SELECT {i} AS o, s FROM g{i} WHERE s IS NOT NULL" for i in range(len(C.SAMPLE_GROUPS))) + ")"
+
+
+@query(rf"WITH c AS (SELECT CAST(regexp_extract(chunk_id, '-(\d+)$', 1) AS BIGINT) AS seq, min(content) AS content FROM hybrid_chunks GROUP BY chunk_id), {_slots()} SELECT slot, seq, substr(content, 1, 800) AS excerpt FROM (SELECT CAST(row_number() OVER (ORDER BY o) - 1 AS INT) AS slot, s AS seq FROM found) JOIN c USING (seq) WHERE slot < 8")
 def stratified_samples(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = table(spark, sf, "hybrid_chunks").groupBy("chunk_id").agg(F.first("content").alias("content"))
+    chunks = table(spark, sf, "hybrid_chunks").groupBy("chunk_id").agg(F.min("content").alias("content"))
     return C.stratified_samples(chunks.select(F.regexp_extract("chunk_id", r"-(\d+)$", 1).cast("long").alias("seq"), "content"))
 
 
