@@ -12,7 +12,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bounded_rows
+from ..session import bounded_rows, materialize
 from .resolution import components
 
 #: Headers of a prefix group, suffix overlap of siblings, header overlap and score by which files group.
@@ -34,9 +34,9 @@ def prefix_groups(headers: DataFrame, least: int = GROUP, separator: str = "_")
     for n in range(longest - 1, 0, -1):
         at = free.where(F.size("parts") > n).select("header", F.array_join(F.slice("parts", 1, n), separator).alias("prefix"))
         good = at.groupBy("prefix").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least).select("prefix")
-        won = at.join(good, "prefix", "left_semi")
+        won = materialize(at.join(good, "prefix", "left_semi"), "claimed-headers")
         claimed = won if claimed is None else claimed.unionByName(won)
-        free = free.join(won.select("header"), "header", "left_anti")
+        free = materialize(free.join(won.select("header"), "header", "left_anti"), "free-headers")
     if claimed is None:
         claimed = h.select("header", F.lit("").alias("prefix")).limit(0)
     return claimed.select("prefix", "header", F.substr("header", F.length("prefix") + 2).alias("suffix"))

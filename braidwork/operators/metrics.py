@@ -22,6 +22,8 @@ from .extraction import prompt_parts
 MATCH, DEPTH_MATCH, FULL, HALF = 0.436, 0.3, 0.58, 0.42
 #: Cosine from which a fact is found, and characters that a fact has more than.
 FACT_MATCH, FACT_CHARS = 0.65, 15
+#: Fixed value: similarity from which a model is asked if two names are one class.
+CANDIDATE = 0.60
 #: Names of classes that the driver may hold for an optimal matching.
 MAX_NAMES = 5000
 #: Slices of one unit of a score.
@@ -229,6 +231,18 @@ def alignment(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     return _balanced(both, F.try_divide("p", "n_induced"), F.try_divide("r", "n_reference"))
 
 
+def judged_alignment(pairs: DataFrame, sizes: DataFrame, client: LLMClient, least: float = CANDIDATE) -> DataFrame:
+    """(run_id, precision, recall, f1): classes that the model judges the same as one of the other side.
+
+    Only pairs (run_id, induced, reference, sim) with a similarity of ``least`` are asked about, each pair of names once.
+    """
+    near = pairs.where(F.col("sim") >= least).select("run_id", "induced", "reference")
+    prompts = near.select("induced", "reference").distinct().select(F.struct("induced", "reference").alias("key"), F.concat(F.lit("Do these name the same class? yes or no\n"), "induced", F.lit("\n"), "reference").alias("prompt"))
+    same = near.join(ask(prompts, client).where(F.lower(F.trim("answer")).startswith("yes")).select("key.*"), ["induced", "reference"])
+    hits = same.groupBy("run_id").agg(F.countDistinct("induced").alias("p"), F.countDistinct("reference").alias("r"))
+    return _balanced(sizes.join(hits, "run_id", "left"), F.try_divide("p", "n_induced"), F.try_divide("r", "n_reference"))
+
+
 def roc_auc(scores: DataFrame, zeros: DataFrame | None = None) -> DataFrame:
     """(run_id, positives, negatives, auc) of (run_id, score, label); ties count half. Null auc without both labels.
 
@@ -413,6 +427,41 @@ def continuous_f1_of(a: Run, b: Run) -> list[tuple]:
     return [_f1(sum(m[i, j] for i, j in assignment(-m)), *m.shape)]
 
 
+def _depths(run: Run) -> np.ndarray:
+    """Links from each end up to its top; in a cycle, links until an end comes again."""
+    up, out = dict(zip(run.child.tolist(), run.parent.tolist())), []
+    for i in range(run.n_ends):
+        seen = set()
+        while i in up and i not in seen:
+            seen.add(i)
+            i = up[i]
+        out.append(len(seen))
+    return np.array(out, dtype=int)
+
+
+def depth_similarity_of(a: Run, b: Run) -> list[tuple]:
+    """As :func:`depth_similarity`, by common words of the names."""
+    s = word_similarity(a, b)
+    return [(depth_similarity(s, _depths(a)[: len(a.names)].tolist(), _depths(b)[: len(b.names)].tolist()),)]
+
+
+def graph_f1_of(a: Run, b: Run) -> list[tuple]:
+    """As :func:`graph_f1`, with vectors of the names by the words of both runs."""
+    place = {w: i for i, w in enumerate(sorted(set().union(*a.words, *b.words)))}
+
+    def vectors(r: Run) -> dict[str, np.ndarray]:
+        out = {}
+        for n, words in zip(r.names, r.words):
+            out[n] = np.zeros(len(place))
+            out[n][[place[w] for w in words]] = 1.0
+        return out
+
+    def links(r: Run) -> list:
+        return [(r.names[c], r.names[p]) for c, p in zip(r.child, r.parent) if p < len(r.names)]
+
+    return [graph_f1(vectors(a), vectors(b), links(a), links(b))]
+
+
 def against_first(nodes: DataFrame, score: Callable[[Run, Run], list[tuple]], schema: str) -> DataFrame:
     """(run_id, *schema): ``score`` of the first run by run_id as the induced one with each other run of (run_id, name, parent).
 

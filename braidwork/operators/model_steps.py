@@ -6,8 +6,11 @@ relations are small and checked; entities are asked about in batches on the work
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -205,3 +208,29 @@ def question_sql(question: str, schema: str, client: LLMClient) -> str | None:
     lines = [x for x in answer.splitlines() if not x.strip().startswith("```")]
     text = "\n".join(lines).strip()
     return None if not text or "UNANSWERABLE" in text.upper() else text
+
+
+def answer_question(spark: SparkSession, question: str, schema: str, client: LLMClient, limit: int = 200, shown: int = 20) -> dict:
+    """sql, rows, text and chart for a question over the views: a statement by the model, read-only and limited, and its words.
+
+    sql is None where the model cannot answer; error holds why a statement did not run. chart is bar for a name and a number,
+    line where the name is a date, number for one value, else table.
+    """
+    from ..sources.writers import answer
+
+    sql = question_sql(question, schema, client)
+    out = {"question": question, "sql": sql, "rows": None, "text": "", "chart": None, "error": None}
+    if sql is None:
+        return out
+    try:
+        rows = answer(spark, sql, limit)
+        first = [r.asDict() for r in rows.limit(shown).collect()]
+    except (ValueError, AnalysisException) as e:
+        return {**out, "error": str(e).split("\n")[0]}
+    numbers = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.NumericType)]
+    others = [f for f in rows.schema.fields if f.name not in numbers]
+    kind = "number" if len(first) == 1 and len(numbers) == 1 and not others else "table"
+    if len(numbers) == 1 and len(others) == 1 and len(first) > 1:
+        kind = "line" if isinstance(others[0].dataType, (T.DateType, T.TimestampType)) else "bar"
+    text = client.answer("Say in one sentence what these rows answer.\nQuestion: " + question + "\nRows: " + json.dumps(first, default=str))
+    return {**out, "rows": rows, "text": text.strip(), "chart": {"kind": kind, "x": others[0].name if others else None, "y": numbers[0] if numbers else None}}

@@ -47,19 +47,19 @@ def fused_vectors(entities: DataFrame, edges: DataFrame, embedder: Embedder | No
     return out.select("id", _unit(F.concat(*parts)).alias("v"))
 
 
-def recursive_taxonomy(entities: DataFrame, vectors: DataFrame, root: str = "Root", levels: int = LEVELS, classes: int = CLASSES, least_silhouette: float = 0.05) -> tuple[DataFrame, DataFrame]:
+def recursive_taxonomy(entities: DataFrame, vectors: DataFrame, root: str = "Root", levels: int = LEVELS, classes: int | None = CLASSES, least_silhouette: float = 0.05) -> tuple[DataFrame, DataFrame]:
     """((id, class), (child, parent, depth, split_method)) of entities (id, entity_type) split a level at a time.
 
     A class of SPLIT members or more is split by entity type if two types or more hold max(PART, 12 %) of it each, else by
     its vectors (id, v), as all classes of a level are at once. Members of no large type stay in the class. Splitting ends
-    after ``levels`` levels or once there are ``classes`` classes. Entities without a vector stay where they are.
+    after ``levels`` levels or once there are ``classes`` classes, None for any number. Entities without a vector stay where they are.
     """
     spark = entities.sparkSession
     state = materialize(entities.select("id", F.coalesce("entity_type", F.lit("Unknown")).alias("entity_type"), F.lit(root).alias("class")), "taxonomy")
     found, done, total = [], set(), 1
     for depth in range(1, levels + 1):
         sizes = [r for r in state.groupBy("class").count().collect() if r["count"] >= SPLIT and r["class"] not in done]
-        if not sizes or total >= classes:
+        if not sizes or (classes is not None and total >= classes):
             break
         todo = F.broadcast(spark.createDataFrame([(r["class"], r["count"]) for r in sizes], "class string, n long"))
         large = state.join(todo, "class").groupBy("class", "entity_type", "n").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= F.greatest(F.lit(PART), F.col("n") * PART_SHARE))
@@ -77,7 +77,7 @@ def recursive_taxonomy(entities: DataFrame, vectors: DataFrame, root: str = "Roo
             moves += [(c, None, p, child) for (c, p), child in named.items()]
         else:
             parts = spark.createDataFrame([], "grp string, id string, part int")
-        moves = moves[: max(0, classes - total)]
+        moves = moves if classes is None else moves[: max(0, classes - total)]
         done |= {r["class"] for r in sizes}
         if not moves:
             break

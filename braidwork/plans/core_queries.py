@@ -90,7 +90,7 @@ def _wide_columns() -> list[tuple[str, str]]:
     return plain + [(f"HAS_ENDORSEMENT_{k}_{c}", t) for k in ("BOAT", "EARTHQUAKE", "JEWELRY", "PET", "SOLAR", "SUMP") for c, t in _RIDERS.items()]
 
 
-_UP = r"""own AS (SELECT node_id AS id, run_id, max({'u': updated_at, 'n': name}).n AS name, lower(regexp_replace(max(name), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS k FROM taxonomy_nodes GROUP BY node_id, run_id),
+UP = r"""own AS (SELECT node_id AS id, run_id, max({'u': updated_at, 'n': name}).n AS name, lower(regexp_replace(max(name), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS k FROM taxonomy_nodes GROUP BY node_id, run_id),
   pairs AS (SELECT run_id, lower(regexp_replace(name, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS c, lower(regexp_replace(parent, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS p FROM taxonomy_nodes WHERE parent IS NOT NULL
     UNION SELECT run_id, lower(regexp_replace(child, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lower(regexp_replace(parent, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) FROM class_hierarchy WHERE edge_type = 'SUBCLASS_OF'),
   up AS (SELECT x.id, min(y.id) AS parent FROM pairs JOIN own x ON x.run_id = pairs.run_id AND x.k = c JOIN own y ON y.run_id = pairs.run_id AND y.k = p GROUP BY x.id),
@@ -101,7 +101,7 @@ SQL: dict[str, str] = {
     "p1_found": f"WITH {CELLS} SELECT subject, relation, value FROM best WHERE value_type <> 'parts'",
     "p1_wide": f"WITH {CELLS} SELECT subject, split_part(subject, '-', 1) AS record_type, "
     + ", ".join(f"CAST(max({'o' if t == 'VARCHAR' else 'value'}) FILTER (relation = '{c}') AS {t}) AS {c}" for c, t in _wide_columns()) + " FROM best GROUP BY subject",
-    "p5_found": f"WITH RECURSIVE {_UP} SELECT own.id AS node_id, coalesce(root_id, -1) AS root_id, coalesce(depth, -1) AS depth, coalesce(path, '') AS path FROM own LEFT JOIN tree USING (id)",
-    "p5_descendants": f"""WITH RECURSIVE {_UP}, below AS (SELECT tree.id AS a, tree.id AS d FROM tree UNION ALL SELECT below.a, up.id FROM below JOIN up ON up.parent = below.d)
+    "p5_found": f"WITH RECURSIVE {UP} SELECT own.id AS node_id, coalesce(root_id, -1) AS root_id, coalesce(depth, -1) AS depth, coalesce(path, '') AS path FROM own LEFT JOIN tree USING (id)",
+    "p5_descendants": f"""WITH RECURSIVE {UP}, below AS (SELECT tree.id AS a, tree.id AS d FROM tree UNION ALL SELECT below.a, up.id FROM below JOIN up ON up.parent = below.d)
         SELECT own.id AS node_id, CASE WHEN tree.id IS NOT NULL THEN n - 1 END AS n_descendants FROM own LEFT JOIN tree USING (id) LEFT JOIN (SELECT a AS id, count(*) AS n FROM below GROUP BY a) USING (id)""",
 }

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -28,14 +33,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Folders of tables that this process made in the shared folder.
+_MADE: list[str] = []
+
+
 def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared folder, which :func:`drop_all` deletes."""
+    _MADE.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def drop_all(spark: SparkSession) -> None:
+    """Delete every intermediate table that this process made; for when no result is read any more."""
+    while _MADE:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back, which cuts its lineage.
 
-    The table outlives lost executors. It is left to the owner of the folder to clear it after the job.
+    The table outlives lost executors. :func:`drop_all` deletes it once the results were read.
     """
     spark, path = df.sparkSession, table_path(df.sparkSession, name)
     writer = df.write.mode("overwrite")
@@ -58,3 +76,41 @@ def bounded_rows(df: DataFrame, limit: int = LOOKUP_ROWS, what: str = "lookup ta
     if len(rows) > limit:
         raise ValueError(f"{what} has more than {limit} rows")
     return rows
+
+
+def fingerprint(spark: SparkSession, inputs: list[str], version: str = "") -> str:
+    """Hash of the names, sizes and times of the files below ``inputs``, and of ``version``."""
+    found, jvm = [version], spark.sparkContext._jvm
+    for path in inputs:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(p, True)
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:32]
+
+
+def cached_table(spark: SparkSession, build: Callable[[], DataFrame], inputs: list[str], folder: str, version: str = "1") -> DataFrame:
+    """The table that ``build`` makes of the files ``inputs``, kept under ``folder`` until they or ``version`` change.
+
+    A table counts as kept once its write has ended; one that was broken off is made again.
+    """
+    path = f"{folder.rstrip('/')}/{fingerprint(spark, inputs, version)}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors as a zip file in the shared folder; needed where it is not installed on them."""
+    root, data = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    path = table_path(spark, "package") + ".zip"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(path)

@@ -4,10 +4,10 @@ import os
 
 import pytest
 
-from braidwork.plans import cluster_queries, core_queries, graph_queries, metric_queries, ontology_queries, record_queries, step_queries, store_queries, text_queries
+from braidwork.plans import cluster_queries, core_queries, graph_queries, induction_queries, metric_queries, ontology_queries, record_queries, step_queries, store_queries, text_queries
 from tests.compare import SMALL, connection, same
 
-MODULES = (core_queries, cluster_queries, graph_queries, metric_queries, ontology_queries, record_queries, step_queries, store_queries, text_queries)
+MODULES = (core_queries, cluster_queries, graph_queries, induction_queries, metric_queries, ontology_queries, record_queries, step_queries, store_queries, text_queries)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables are missing")
