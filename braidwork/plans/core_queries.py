@@ -104,4 +104,6 @@ SQL: dict[str, str] = {
     "p5_found": f"WITH RECURSIVE {UP} SELECT own.id AS node_id, coalesce(root_id, -1) AS root_id, coalesce(depth, -1) AS depth, coalesce(path, '') AS path FROM own LEFT JOIN tree USING (id)",
     "p5_descendants": f"""WITH RECURSIVE {UP}, below AS (SELECT tree.id AS a, tree.id AS d FROM tree UNION ALL SELECT below.a, up.id FROM below JOIN up ON up.parent = below.d)
         SELECT own.id AS node_id, CASE WHEN tree.id IS NOT NULL THEN n - 1 END AS n_descendants FROM own LEFT JOIN tree USING (id) LEFT JOIN (SELECT a AS id, count(*) AS n FROM below GROUP BY a) USING (id)""",
+    "p5_descendant_pairs": f"""WITH RECURSIVE {UP}, below AS (SELECT tree.id AS ancestor_id, tree.id AS node_id, 0 AS distance FROM tree UNION ALL SELECT below.ancestor_id, up.id, below.distance + 1 FROM below JOIN up ON up.parent = below.node_id)
+        SELECT * FROM below WHERE distance > 0""",
 }
