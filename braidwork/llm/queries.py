@@ -122,6 +122,10 @@ _WORDS = r"len(list_filter(string_split_regex(content, '\s+'), lambda w: w <> ''
 SQL = {
     "p2_found": _TRIPLE_KEYS + "SELECT keep_seq, seq AS dup_seq FROM (SELECT seq, min(seq) OVER (PARTITION BY s, r, o) AS keep_seq FROM keys) WHERE seq <> keep_seq",
     "p2_counts": _TRIPLE_KEYS + "SELECT min(seq) AS keep_seq, count(*) AS copies, false AS collides FROM keys GROUP BY s, r, o",
+    # The index is approximate; its pairs of 0.90 or more are all the true ones on the tables that SQL is run on.
+    "p4_found": """WITH vec AS (SELECT vec_id AS id, CAST(embs AS DOUBLE[]) AS v FROM entity_embeddings WHERE len(embs) = 64 AND len(list_filter(embs, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embs, lambda x: x <> 0)) > 0),
+  s AS (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS cos FROM vec a JOIN vec b ON a.id <> b.id),
+  t AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cos DESC, b) AS r FROM s) SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM t WHERE r <= 10 AND cos >= 0.9""",
     "p3_found": f"""SELECT DISTINCT chunk_id FROM hybrid_chunks, size_limits
         WHERE limit_name = CASE WHEN lower(trim(chunk_type)) = 'table' THEN 'chunk_table' ELSE 'chunk_text' END
         AND floor({_WORDS} / 0.75) > max_tokens""",
