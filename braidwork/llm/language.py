@@ -29,8 +29,8 @@ STRETCH_WORDS, LONG = 12, 40
 REJECT = 0.45
 #: What a change of language costs, in word-weighted cosine.
 SWITCH = 1.2
-#: Characters scored at a time.
-BLOCK = 400_000
+#: Characters taken at a time, and n-grams scored at a time.
+BLOCK, SCORED = 400_000, 5000
 #: Cosine from which the means of two labels are of one language, which then is the label with more documents.
 SAME = 0.97
 #: Further names of languages, beside codes, English and own names.
@@ -96,12 +96,17 @@ def sentences(text: str) -> tuple[list[tuple[int, int]], list[int]]:
     spans, words = [], []
 
     def add(a: int, b: int) -> None:
-        found = [m.span() for m in re.finditer(r"\S+", text[a:b])]
-        for i in range(0, len(found), LONG // 2) if len(found) > LONG else (0,):
-            part = found[i : i + LONG // 2] if len(found) > LONG else found
-            if part:
-                spans.append((a + part[0][0], a + part[-1][1]))
-                words.append(len(part))
+        part = text[a:b]
+        n = len(part.split())
+        if 0 < n <= LONG:
+            spans.append((a + len(part) - len(part.lstrip()), a + len(part.rstrip())))
+            words.append(n)
+        elif n:
+            found = [m.span() for m in re.finditer(r"\S+", part)]
+            for i in range(0, n, LONG // 2):
+                cut = found[i : i + LONG // 2]
+                spans.append((a + cut[0][0], a + cut[-1][1]))
+                words.append(len(cut))
 
     fields_follow = False
     kept = []
@@ -168,9 +173,15 @@ class Model:
             if len(s):
                 v = self.weights(s, k, c, b - a)
                 first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-                for lo in range(0, self.centroids.shape[1], CENTROIDS):
-                    sums = np.add.reduceat(self.centroids[:, lo : lo + CENTROIDS][k] * v[:, None], first, axis=0)
-                    out[a + s[first], lo // CENTROIDS] = sums.max(axis=1)
+                at = 0
+                while at < len(first):  # sentences of about SCORED n-grams, whose rows of centroids stay in the processor's cache
+                    to = max(at + 1, int(np.searchsorted(first, first[at] + SCORED)))
+                    lo, hi = first[at], first[to] if to < len(first) else len(s)
+                    rows = self.centroids.take(k[lo:hi], axis=0)
+                    rows *= v[lo:hi, None]
+                    sums = np.add.reduceat(rows, first[at:to] - lo, axis=0)
+                    out[a + s[first[at:to]]] = sums.reshape(len(sums), -1, CENTROIDS).max(axis=2)
+                    at = to
             a = b
         return out
 
