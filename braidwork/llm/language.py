@@ -244,17 +244,9 @@ def fit(labelled: list[tuple[str, str]], seed: int = 0) -> Model:
     return Model(kept_languages, idf, np.ascontiguousarray(np.concatenate(tables).T), float(min(reached)) * REJECT)
 
 
-def stretches(scores: np.ndarray, words: list[int], floor: float) -> list[tuple[int, int, int, float]]:
-    """(first sentence, end, language, confidence) of each stretch; language -1 where all was rejected.
-
-    The best sequence of languages by word-weighted cosine, less SWITCH for each change. Stretches of fewer than
-    STRETCH_WORDS words then join the neighbour with more words, shortest first, so only a whole text may be shorter.
-    """
-    n, k = scores.shape
-    if not n or not k:
-        return [(0, n, -1, 0.0)] if n else []
-    w = np.minimum(np.array(words, dtype=np.float64), 25)
-    gain = np.where((scores.max(axis=1) >= floor)[:, None], scores, 0.0) * w[:, None]
+def _best_runs(gain: np.ndarray, words: list[int]) -> list[list[int]]:
+    """[first sentence, end, language, words] of the sequence of languages with the highest gain less SWITCH for each change."""
+    n, k = gain.shape
     best, back = gain[0].copy(), np.zeros((n, k), dtype=np.int32)
     for i in range(1, n):
         top = int(best.argmax())
@@ -265,13 +257,31 @@ def stretches(scores: np.ndarray, words: list[int], floor: float) -> list[tuple[
     path = [int(best.argmax())]
     for i in range(n - 1, 0, -1):
         path.append(int(back[i][path[-1]]))
-    path.reverse()
-    runs = []
-    for i, lang in enumerate(path):
+    runs: list[list[int]] = []
+    for i, lang in enumerate(reversed(path)):
         if runs and runs[-1][2] == lang:
             runs[-1][1], runs[-1][3] = i + 1, runs[-1][3] + words[i]
         else:
             runs.append([i, i + 1, lang, words[i]])
+    return runs
+
+
+def stretches(scores: np.ndarray, words: list[int], floor: float) -> list[tuple[int, int, int, float]]:
+    """(first sentence, end, language, confidence) of each stretch; language -1 where all was rejected.
+
+    The best sequence of languages by word-weighted cosine, less SWITCH for each change. Stretches of fewer than
+    STRETCH_WORDS words then join the neighbour with more words, shortest first, so only a whole text may be shorter.
+    """
+    n, k = scores.shape
+    if not n or not k:
+        return [(0, n, -1, 0.0)] if n else []
+    w, peak, top = np.minimum(np.array(words, dtype=np.float64), 25), scores.max(axis=1), scores.argmax(axis=1)
+    sure = peak >= floor
+    named = top[sure]
+    if len(named) and (named == named[0]).all():  # no other sequence can gain more
+        runs = [[0, n, int(named[0]), sum(words)]]
+    else:
+        runs = _best_runs(np.where(sure[:, None], scores, 0.0) * w[:, None], words)
     while len(runs) > 1:
         j = min(range(len(runs)), key=lambda x: (runs[x][3], x))
         if runs[j][3] >= STRETCH_WORDS:
@@ -288,10 +298,10 @@ def stretches(scores: np.ndarray, words: list[int], floor: float) -> list[tuple[
         runs = merged
     out = []
     for a, b, lang, _ in runs:
-        mean = np.average(scores[a:b], axis=0, weights=np.maximum(w[a:b], 1e-9))
+        mean = np.maximum(w[a:b], 1e-9) @ scores[a:b] / max(w[a:b].sum(), 1e-9)
         e = np.exp((mean - mean.max()) / 0.05)
-        sure = mean[lang] >= floor
-        out.append((a, b, lang if sure else -1, float(e[lang] / e.sum()) if sure else 0.0))
+        known = mean[lang] >= floor
+        out.append((a, b, lang if known else -1, float(e[lang] / e.sum()) if known else 0.0))
     return out
 
 
