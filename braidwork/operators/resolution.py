@@ -7,6 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pfs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +21,8 @@ PREFIXES = ("POL-", "CLM-", "REC-", "PER-", "PROP-")
 THRESHOLD = 0.90
 #: Keyed rows that one task compares.
 TASK_ROWS = 200_000
+#: Rows that one task compares with all rows behind them, at most and at least, and tasks that there are then.
+STRIP_ROWS, STRIP_LEAST, STRIPS = 16_384, 256, 32
 
 
 def has_prefix(c: Column, prefixes=PREFIXES) -> Column:
@@ -176,3 +182,97 @@ def cosine_pairs(vectors: DataFrame, threshold: float = THRESHOLD, miss: float =
     dot = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
     exact = near.join(own.select(F.col("id").alias("a"), "v"), "a").join(own.select(F.col("id").alias("b"), F.col("v").alias("w")), "b").select("a", "b", dot.alias("sim"))
     return exact.where(F.col("sim") >= F.lit(threshold) - 1e-9).unionByName(copies)
+
+
+def prefix_size(x: np.ndarray, least: float) -> int:
+    """Leading coordinates of turned rows by which pairs are compared first with the least work; all of them if fewer save none.
+
+    Work is judged on rows of ``x``: numbers multiplied for each pair, and pairs left to compare in full (in nanoseconds,
+    as measured). With the length of the rest the product has a multiple of eight numbers.
+    """
+    dim, some = x.shape[1], x[:: max(1, len(x) // 512)]
+    best, size = 0.037 * dim, dim
+    for k in range(7, dim - 1, 8):
+        rest = np.linalg.norm(some[:, k:], axis=1)
+        left = (some[:, :k] @ some[:, :k].T + rest[:, None] * rest >= least).mean()
+        if 0.037 * (k + 1) + 150 * left < best:
+            best, size = 0.037 * (k + 1) + 150 * left, k
+    return size
+
+
+def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, strip: int | None = None) -> DataFrame:
+    """(a, b, sim) of every two rows (id, v), a < b, whose vectors of length one have a cosine of at least ``threshold``.
+
+    All pairs are compared, those of equal vectors too. The rows are one table in the shared folder, and a task reads it
+    from its own strip of rows on, so nothing is shuffled or held twice. Coordinates are turned so that the first say
+    most; the product of these and of the lengths of the rest bounds the cosine, and what it leaves is compared in full.
+    Null vectors and ids have no pairs.
+    """
+    rows = materialize(vectors.where("id is not null and v is not null").select("id", F.col("v").cast("array<double>").alias("v")), "pair-rows")
+    spark, id_type = rows.sparkSession, dict(rows.dtypes)["id"]
+
+    def opened(uri: str) -> pq.ParquetFile:
+        fs, path = pfs.FileSystem.from_uri(uri)
+        return pq.ParquetFile(fs.open_input_file(path))
+
+    files, n = [], 0
+    for uri in sorted(rows.inputFiles()):
+        k = opened(uri).metadata.num_rows
+        files += [(uri, n, n + k)] if k else []
+        n += k
+    if n < 2:
+        return spark.createDataFrame([], f"a {id_type}, b {id_type}, sim double")
+    strip = strip or min(STRIP_ROWS, max(STRIP_LEAST, -(-n // STRIPS)))
+    least = threshold - 1e-9
+
+    def blocks(start: int, end: int) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+        """(number of the first row, ids, vectors) of the rows from start to end."""
+        for uri, first, last in files:
+            if last <= start or first >= end:
+                continue
+            for b in opened(uri).iter_batches(4096):
+                lo, hi = max(start - first, 0), min(end - first, len(b))
+                if lo < hi:
+                    part = b.slice(lo, hi - lo)
+                    yield first + lo, part.column("id"), part.column("v").flatten().to_numpy().reshape(len(part), -1)
+                first += len(b)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for start in (i * strip for b in batches for i in b.column("id").to_pylist()):
+            own = list(blocks(start, min(n, start + strip)))
+            ids, x = pa.concat_arrays([i for _, i, _ in own]), np.concatenate([v for *_, v in own])
+            turn = np.linalg.eigh(x.T @ x)[1][:, ::-1]
+            size = prefix_size(x @ turn, least)
+
+            def bounds(v: np.ndarray) -> np.ndarray:
+                t = (v @ turn).astype(np.float32)
+                return t if size == t.shape[1] else np.column_stack([t[:, :size], np.linalg.norm(t[:, size:], axis=1)])
+
+            left, longest = bounds(x), np.linalg.norm(x, axis=1).max()
+            found, waiting = [], 0
+            for at, other, y in blocks(start, n):
+                right, product, near = bounds(y), np.empty((256, len(y)), np.float32), np.empty((256, len(y)), bool)
+                slack = np.float32(least - 1e-5 * max(1.0, longest * np.linalg.norm(y, axis=1).max()))  # beyond the error of single precision
+                for r in range(0, len(x), 256):
+                    k = len(left[r : r + 256])
+                    np.greater_equal(np.matmul(left[r : r + 256], right.T, out=product[:k]), slack, out=near[:k])
+                    hit = np.flatnonzero(near[:k])
+                    for h in range(0, len(hit), 1 << 16):
+                        i, j = np.divmod(hit[h : h + (1 << 16)], len(y))
+                        i, keep = i + r, start + i + r < at + j
+                        i, j = i[keep], j[keep]
+                        sim = np.einsum("ij,ij->i", x[i], y[j])
+                        i, j, sim = i[sim >= least], j[sim >= least], sim[sim >= least]
+                        if len(i):
+                            p, q = ids.take(pa.array(i)), other.take(pa.array(j))
+                            part = pa.table({"a": pc.if_else(pc.less(p, q), p, q), "b": pc.if_else(pc.less(p, q), q, p), "sim": sim})
+                            found.append(part.filter(pc.not_equal(p, q)))
+                            waiting += len(i)
+                    if waiting > 50_000:
+                        yield from pa.concat_tables(found).combine_chunks().to_batches()
+                        found, waiting = [], 0
+            if found:
+                yield from pa.concat_tables(found).combine_chunks().to_batches()
+
+    strips = -(-n // strip)
+    return spark.range(0, strips, 1, strips).mapInArrow(compare, f"a {id_type}, b {id_type}, sim double")

@@ -171,6 +171,21 @@ def test_pairs_are_exact(spark):
     assert got == want | {(3, 7), (3, 11)}
 
 
+@pytest.mark.parametrize(("dim", "threshold", "kind"), [(6, 0.9, "long"), (40, 0.6, "string"), (40, 0.9, "long")])
+def test_every_similar_pair(spark, dim, threshold, kind):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(12, dim))[rng.integers(0, 12, 500)] + 0.3 * rng.normal(size=(500, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[7] = x[3] = x[11]  # pairs of copies, and of each copy with its neighbours
+    ids = [i if kind == "long" else f"n{i:03}" for i in range(500)]
+    order = rng.permutation(500)
+    df = spark.createDataFrame([(ids[i], x[i].tolist()) for i in order] + [(None, x[0].tolist()), (ids[0], None)], f"id {kind}, v array<double>").repartition(3)
+    got = [(r["a"], r["b"]) for r in Re.similar_pairs(df, threshold, strip=70).collect()]
+    s = x @ x.T
+    assert sorted(got) == [(ids[i], ids[j]) for i in range(500) for j in range(i + 1, 500) if s[i, j] >= threshold] and {(ids[3], ids[7]), (ids[7], ids[11])} < set(got)
+    assert Re.similar_pairs(df.where("v is null"), threshold).collect() == []
+
+
 def test_rewrite(spark):
     t = triples(spark, [("Flood", "c", "R", "flood", "c"), ("x", "c", "R", "flood", "c"), (None, "c", "R", "y", "c")])
     merges = Re.elect(spark.createDataFrame([("Flood", "k"), ("flood", "k"), ("floods", "k")], "id string, component string"))
