@@ -35,7 +35,7 @@ def ward_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def community_levels(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = Re.cosine_pairs(unit_vectors(spark, sf).select("id", "v"), 0.8)
+    pairs = Re.similar_pairs(unit_vectors(spark, sf).select("id", "v"), 0.8)
     return I.community_levels(C.similarity_graph(pairs, _profiles(spark, sf), 0.3))[0]
 
 

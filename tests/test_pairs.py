@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from braidwork.plans import cluster_queries
+from braidwork.plans import cluster_queries, induction_queries
 from tests.compare import connection, same
 
 
@@ -27,3 +27,11 @@ def test_similarity_graph_weighs_every_copy(spark, copies):
     found = cluster_queries.similarity_graph(spark, copies)
     assert {(r["a"], r["b"]) for r in found.collect()} == EVERY
     same(found, cluster_queries.SQL["similarity_graph"], connection(copies))
+
+
+def test_community_levels_over_every_copy(spark, copies, monkeypatch):
+    seen = []
+    levels = induction_queries.I.community_levels
+    monkeypatch.setattr(induction_queries.I, "community_levels", lambda edges: seen.append(edges) or levels(edges))
+    assert {r["level"] for r in induction_queries.community_levels(spark, copies).collect()} == {0, 1, 2}
+    assert {(r["a"], r["b"]) for r in seen[0].collect()} == EVERY
