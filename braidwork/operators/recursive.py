@@ -20,7 +20,8 @@ RELATIONS, TYPES, SOURCES = 64, 32, 16
 
 def _unit(v: Column) -> Column:
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(v, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)))
+    # The norm is an array of its own: inside a lambda it would be computed once for every number.
+    return F.zip_with(v, F.array_repeat(norm, F.size(v)), lambda x, n: F.coalesce(F.try_divide(x, n), F.lit(0.0)))
 
 
 def hashed_counts(rows: DataFrame, feature: str, size: int, out: str) -> DataFrame:
@@ -36,8 +37,8 @@ def fused_vectors(entities: DataFrame, edges: DataFrame, embedder: Embedder | No
     ``edges``: src, rel, dst, source. What an entity lacks is zero. At most RELATIONS counts of one entity are gathered.
     """
     ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.concat(F.lit(">"), "rel").alias("rel"), "source"), F.struct(F.col("dst").alias("id"), F.concat(F.lit("<"), "rel").alias("rel"), "source"))).alias("e")).select("e.*")
-    named = embed_column(entities.select("id", "entity_type"), "id", embedder, "name")
-    out = named.join(hashed_counts(ends, "rel", RELATIONS, "r"), "id", "left").join(hashed_counts(entities.select("id", "entity_type"), "entity_type", TYPES, "t"), "id", "left").join(hashed_counts(ends, "source", SOURCES, "s"), "id", "left")
+    counted = entities.select("id").join(hashed_counts(ends, "rel", RELATIONS, "r"), "id", "left").join(hashed_counts(entities.select("id", "entity_type"), "entity_type", TYPES, "t"), "id", "left").join(hashed_counts(ends, "source", SOURCES, "s"), "id", "left")
+    out = embed_column(counted, "id", embedder, "name")  # after the joins, whose shuffles are then narrow
 
     def part(c: str, weight: float, size: int | None) -> Column:
         v = F.col(c) if size is None else F.coalesce(F.col(c), F.array_repeat(F.lit(0.0), size))

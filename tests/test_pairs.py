@@ -1,8 +1,12 @@
 """Queries over pairs, on small tables with copies and with blocks that overlap."""
 
+import re
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from braidwork.operators import recursive
 from braidwork.plans import cluster_queries, induction_queries
 from tests.compare import connection, same
 
@@ -35,3 +39,10 @@ def test_community_levels_over_every_copy(spark, copies, monkeypatch):
     monkeypatch.setattr(induction_queries.I, "community_levels", lambda edges: seen.append(edges) or levels(edges))
     assert {r["level"] for r in induction_queries.community_levels(spark, copies).collect()} == {0, 1, 2}
     assert {(r["a"], r["b"]) for r in seen[0].collect()} == EVERY
+
+
+def test_norm_of_a_fused_vector_is_computed_once(spark):
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<double>").select(recursive._unit(F.col("v")).alias("v"))
+    assert [r["v"] for r in df.collect()] == [[0.6, 0.8], [0.0, 0.0], None]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "SQRT" in plan and not re.search(r"lambdafunction\([^)]*SQRT", plan)
