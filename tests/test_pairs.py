@@ -68,3 +68,13 @@ def test_pairs_of_overlapping_blocks_once_and_never_shuffled(spark, monkeypatch)
     assert not re.search(r"Aggregate \[type_a#\d+, type_b#\d+, a#\d+, b#\d+\]", pairs._jdf.queryExecution().optimizedPlan().toString())
     scored = L.score_pairs(p, shared, 2).collect()
     assert len(scored) == len(want) and {(r["a"], r["b"]): (round(r["score"], 6), r["n_matched"]) for r in scored} == want
+
+
+def test_rounds_of_communities_let_their_shuffles_go(spark, monkeypatch):
+    from braidwork.operators import clustering
+
+    went = []
+    drop = clustering.drop_shuffles
+    monkeypatch.setattr(clustering, "drop_shuffles", lambda df: went.append(1) or drop(df))
+    got = {r["id"]: r["community"] for r in clustering.communities(spark.createDataFrame([("a", "b", 1.0), ("c", "d", 1.0)], "a string, b string, weight double")).collect()}
+    assert len(went) >= 2 and got["a"] == got["b"] != got["c"] == got["d"]
