@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..models import LLMClient, ask
-from ..session import bounded_rows
+from ..session import bounded_rows, materialize
 from .chunking import sliding_windows
 from .clustering import LINKAGE_POINTS, cluster_parents, communities, labels_at, linkage_cut, silhouette
 from .extraction import extract
@@ -96,6 +96,7 @@ def merge_siblings(centres: DataFrame, least: float = SIBLINGS) -> DataFrame:
 
 def community_levels(edges: DataFrame, resolutions: tuple[float, ...] = RESOLUTIONS) -> tuple[DataFrame, DataFrame]:
     """((id, level, community), (child, parent, overlap)): communities at each resolution, and the coarser one above each."""
+    edges = materialize(edges, "level-edges")
     found = [communities(edges, r).select("id", F.lit(i).alias("level"), F.concat(F.lit(f"{i}:"), F.col("community").cast("string")).alias("community")) for i, r in enumerate(resolutions)]
     out, links = found[0], None
     for coarse, fine in zip(found, found[1:]):
