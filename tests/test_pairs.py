@@ -1,14 +1,16 @@
 """Queries over pairs, on small tables with copies and with blocks that overlap."""
 
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from braidwork import session
 from braidwork.operators import linkage as L
 from braidwork.operators import recursive
-from braidwork.plans import cluster_queries, induction_queries
+from braidwork.plans import cluster_queries, graph_queries, induction_queries
 from tests.compare import connection, same
 
 
@@ -34,6 +36,20 @@ def test_similarity_graph_weighs_every_copy(spark, copies):
     same(found, cluster_queries.SQL["similarity_graph"], connection(copies))
 
 
+def test_cosine_pairs_take_the_room_of_their_numbers_and_no_shuffle(spark, tmp_path):
+    rng, n = np.random.default_rng(4), 3000
+    x = (rng.normal(size=(400, 64))[rng.integers(0, 400, n)] + 0.3 * rng.normal(size=(n, 64))).astype(np.float32) * rng.uniform(0.1, 9, (n, 1)).astype(np.float32)
+    spark.createDataFrame([(i, f"n{i}", "T", 1, v.tolist()) for i, v in enumerate(x)], "vec_id long, id string, entity_type string, degree int, embs array<float>").write.parquet(f"{tmp_path}/entity_embeddings.parquet")
+    before = len(session._MADE)
+    found = graph_queries.cosine_pairs(spark, str(tmp_path))
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    rows = [(r["a"], r["b"]) for r in found.collect()]
+    want = {(i, j) for i, j in zip(*np.nonzero(unit @ unit.T >= 0.9 - 1e-9)) if i < j}
+    assert len(rows) == len(want) > 1000 and set(rows) == want
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sum(f.stat().st_size for p in session._MADE[before:] for f in Path(p).rglob("*.parquet")) < 300 * n
+
+
 def test_community_levels_over_every_copy(spark, copies, monkeypatch):
     seen = []
     levels = induction_queries.I.community_levels
